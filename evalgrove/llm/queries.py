@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, secrets, warc
+from . import decontaminate, language, mixing, near_dedup, quality, rules, secrets, spans, warc
 from .common import shared_dir, table
 
 
@@ -23,16 +23,42 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
     return warc.read_index(spark, folder).withColumnRenamed("id", "page_id")
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op4_secret_scan, op7_warc, op9_decontaminate)}
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.deduplicate(table(spark, sf_dir, "documents"))
+    kept = F.coalesce("kept_text", F.lit(""))
+    return found.select("doc_id", "n_sentences", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_near_dedup, op4_secret_scan, op5_language, op6_quality, op7_warc, op8_rules,
+        op9_decontaminate, op10_sentence_spans,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

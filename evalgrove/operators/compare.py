@@ -103,7 +103,7 @@ def headline(rollouts: DataFrame, supported: Column, key: str = "example_id") ->
     per = hit_counts(rollouts, key, supported)
     return per.agg(
         F.count("*").alias("examples"), F.avg((F.col("c") > 0).cast("double")).alias("hit_rate"), F.avg("c").alias("mean_hits"),
-        F.count_if("s > 0").alias("supported"), F.count_if("c > 0 and s = 0").alias("unsupported"), F.count_if("c = 0").alias("missed"),
+        F.count_if(F.col("s") > 0).alias("supported"), F.count_if((F.col("c") > 0) & (F.col("s") == 0)).alias("unsupported"), F.count_if(F.col("c") == 0).alias("missed"),
     )
 
 

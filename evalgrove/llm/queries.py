@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_dedup, quality, rules, secrets, spans, warc
+from . import decontaminate, language, mixing, near_dedup, quality, rules, secrets, spans, suffixes, warc
 from .common import shared_dir, table
 
 
@@ -19,6 +19,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_mix_sources, op2_near_dedup, op4_secret_scan, op5_language, op6_quality, op7_warc, op8_rules,
+        op1_mix_sources, op2_near_dedup, op3_suffix_dedup, op4_secret_scan, op5_language, op6_quality, op7_warc, op8_rules,
         op9_decontaminate, op10_sentence_spans,
     )
 }

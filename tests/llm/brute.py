@@ -108,3 +108,57 @@ def leaks(docs, items, window=10):
                     who |= x
         out[d["doc_id"]] = (len(w), len(hit), len(who), sha(",".join(sorted(who))))
     return out
+
+
+def repeats(docs, size=50):
+    """Per document: bytes, removed bytes, removed runs, digest of the rest."""
+    first: dict[bytes, int] = {}
+    data = {d["doc_id"]: (d["text"] or "").encode() for d in docs}
+    for i in sorted(data):
+        for k in range(len(data[i]) - size + 1):
+            first.setdefault(data[i][k : k + size], i)
+    out = {}
+    for i, b in data.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - size + 1):
+            if first[b[k : k + size]] < i:
+                gone[k : k + size] = b"\x01" * size
+        marks = bytes(gone)
+        kept = bytes(c for c, g in zip(b, marks) if not g)
+        out[i] = (len(b), sum(marks), len(re.findall(b"\x01+", marks)), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def quality_counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    wins = defaultdict(list)
+    for i in range(len(words) - 7):
+        wins[tuple(words[i : i + 8])].append(i)
+    hit = {j for at in wins.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
+
+
+def spans_removed(docs, sentences, least, words):
+    """Sentences that a non-first repeated span covers, by plain counting."""
+    runs, first = [], {}
+    for d in sorted(docs, key=lambda d: d["doc_id"]):
+        parts = sentences(d["text"])
+        for i in range(len(parts)):
+            e = i + least
+            while e <= len(parts) and sum(len(p.split()) for p in parts[i:e]) < words:
+                e += 1
+            if e <= len(parts):
+                key = " ".join(" ".join(parts[i:e]).split())
+                first.setdefault(key, (d["doc_id"], i))
+                runs.append((key, d["doc_id"], i, e))
+    gone = defaultdict(set)
+    for key, d, i, e in runs:
+        if first[key] != (d, i):
+            gone[d].update(range(i, e))
+    return gone

@@ -59,3 +59,50 @@ def test_leaks(spark, medium, docs):
     got = result(q.op9_decontaminate(spark, medium))
     assert {k: tuple(r)[1:5] for k, r in got.items()} == brute.leaks(docs, brute.rows(medium, "benchmark"))
     assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got.values())
+
+
+def test_repeats(spark, small):
+    docs = brute.rows(small, "documents")
+    got = result(q.op3_suffix_dedup(spark, small))
+    assert {k: tuple(r)[1:] for k, r in got.items()} == brute.repeats(docs)
+
+
+def test_language(spark, medium, docs):
+    import zlib
+
+    got = result(q.op5_language(spark, medium))
+    assert len(got) == len(docs)
+    held = [d for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0]
+    assert {d["doc_id"] for d in held} == {k for k, r in got.items() if r["held_out"]}
+    assert sum(got[d["doc_id"]]["lang_pred"] == d["lang"] for d in held) >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_quality(spark, medium, docs):
+    labels = {r["doc_id"]: r["quality"] for r in brute.rows(medium, "labels")}
+    got = result(q.op6_quality(spark, medium))
+    held = [k for k, r in got.items() if r["held_out"] and k in labels]
+    good, bad = ([got[k]["score"] for k in held if labels[k] == y] for y in (1, 0))
+    assert sum(g > b for g in good for b in bad) >= 0.9 * len(good) * len(bad)
+    assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_rules(spark, medium, docs):
+    got = result(q.op8_rules(spark, medium))
+    for d in docs:
+        r, want = got[d["doc_id"]], brute.quality_counts(d["text"])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+    labels = {r["doc_id"]: r["quality"] for r in brute.rows(medium, "labels")}
+    clean = [k for k, y in labels.items() if y == 1 and not got[k]["base_failed"]]
+    assert sum(got[k]["kept"] for k in clean) >= 0.98 * len(clean)
+
+
+def test_sentence_spans(spark, medium, docs):
+    from evalgrove.llm import spans
+
+    want = brute.spans_removed(docs, spans.sentences, spans.SENTENCES, spans.WORDS)
+    got = result(q.op10_sentence_spans(spark, medium))
+    assert {k: r["n_removed"] for k, r in got.items()} == {d["doc_id"]: len(want[d["doc_id"]]) for d in docs}
+    assert all("".join(spans.sentences(d["text"])) == (d["text"] or "") for d in docs)

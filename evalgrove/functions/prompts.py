@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 #: Question prompts by variant; {} takes the question.
 VARIANTS = {
     "base_pretrained": "Q: {}\nA:",
@@ -71,11 +73,11 @@ def judge_prompt(question: Column, truth: Column, answer: Column) -> Column:
 def evidence_block(labels: Column, descriptions: Column) -> Column:
     """Up to three described levels under a title; empty without any description."""
     one = lambda i, role: F.when(
-        F.trim(F.get(descriptions, F.lit(i))) != "",
+        strip(F.get(descriptions, F.lit(i))) != "",
         F.concat(
             F.lit(f"- {role}: "),
-            F.when(F.trim(F.get(labels, F.lit(i))) != "", F.concat(F.trim(F.get(labels, F.lit(i))), F.lit(" — "))).otherwise(F.lit("")),
-            F.trim(F.get(descriptions, F.lit(i))),
+            F.when(strip(F.get(labels, F.lit(i))) != "", F.concat(strip(F.get(labels, F.lit(i))), F.lit(" — "))).otherwise(F.lit("")),
+            strip(F.get(descriptions, F.lit(i))),
         ),
     )
     lines = F.array_compact(F.array(*[one(i, role) for i, role in enumerate(ROLES)]))
@@ -106,9 +108,9 @@ def feedback_block(round_no: Column, failed: Column, max_chars: int = 2000, fina
 
 
 def aggregation_prompt(question: Column, candidates: Column, variant: str = "barebones") -> Column:
-    asked = F.concat(F.lit("Question:\n\n"), F.trim(question_prompt(question, variant)), F.lit("\n"))
-    one = F.concat(F.lit("Candidate answer (may contain mistakes):\n\n---- Candidate ----\n"), F.trim(F.get(candidates, F.lit(0))), F.lit("\n\nNow write the improved final answer."))
-    each = F.transform(candidates, lambda t, i: F.concat(F.lit("---- Answer "), (i + 1).cast("string"), F.lit(" ----\n"), F.trim(t), F.lit("\n")))
+    asked = F.concat(F.lit("Question:\n\n"), strip(question_prompt(question, variant)), F.lit("\n"))
+    one = F.concat(F.lit("Candidate answer (may contain mistakes):\n\n---- Candidate ----\n"), strip(F.get(candidates, F.lit(0))), F.lit("\n\nNow write the improved final answer."))
+    each = F.transform(candidates, lambda t, i: F.concat(F.lit("---- Answer "), (i + 1).cast("string"), F.lit(" ----\n"), strip(t), F.lit("\n")))
     many = F.concat_ws("\n", F.lit("Candidate answers (may contain mistakes):\n"), F.array_join(each, "\n"), F.lit("Now write a single improved final answer."))
     return F.when(F.size(candidates) == 1, F.concat_ws("\n", F.lit(ONE_CANDIDATE), asked, one)).otherwise(F.concat_ws("\n", F.lit(MANY_CANDIDATES), asked, many))
 
@@ -117,8 +119,8 @@ def parse_structured(reply: Column) -> Column:
     """struct(verdict, reason, parse_ok) of a JSON reply; anything malformed is false, '(parse error)'."""
     fields = F.from_json(reply, "verdict string, reason string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     texts = F.regexp_like(reply, F.lit(r'"reason"\s*:\s*"')) & F.regexp_like(reply, F.lit(r"(?s)^\s*\{.*\}\s*$"))
-    ok = F.coalesce(fields["_bad"].isNull() & fields["verdict"].isin("yes", "no") & (F.trim(fields["reason"]) != "") & texts, F.lit(False))
-    return F.struct((ok & (fields["verdict"] == "yes")).alias("verdict"), F.when(ok, F.trim(fields["reason"])).otherwise(F.lit("(parse error)")).alias("reason"), ok.alias("parse_ok"))
+    ok = F.coalesce(fields["_bad"].isNull() & fields["verdict"].isin("yes", "no") & (strip(fields["reason"]) != "") & texts, F.lit(False))
+    return F.struct((ok & (fields["verdict"] == "yes")).alias("verdict"), F.when(ok, strip(fields["reason"])).otherwise(F.lit("(parse error)")).alias("reason"), ok.alias("parse_ok"))
 
 
 def parse_free_form(reply: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The characters that count as white space at the ends of texts.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks that model output carries, removed in this order.
 MARKS = ("A: ", "A:", "<answer>", "</answer>", "<s>", "</s>")
 HEADER_END, TURN_END = "<|end_header_id|>", "<|eot_id|>"
@@ -31,6 +33,11 @@ REFUSAL_PATTERNS = (
 SUPPORTED = ("exact", "alias", "contains_answer", "contains_alias")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends; trim() alone knows blanks only."""
+    return F.trim(text, F.lit(BLANKS))
+
+
 def normalize_scores(text: Column) -> Column:
     """Lower case, hyphens to blanks, other ASCII punctuation deleted; white space stays."""
     return F.translate(F.translate(F.lower(text), "-", " "), PUNCTUATION, "")
@@ -47,7 +54,7 @@ def normalize_match(text: Column) -> Column:
 
 def normalize_audit(text: Column) -> Column:
     """Lower case, tags to blanks, everything but a-z and 0-9 to single blanks."""
-    bare = F.regexp_replace(F.trim(F.lower(text)), "<[^>]+>", " ")
+    bare = F.regexp_replace(strip(F.lower(text)), "<[^>]+>", " ")
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
@@ -61,7 +68,7 @@ def clean_light(text: Column) -> Column:
     """Without output marks, trimmed."""
     for mark in MARKS:
         text = F.replace(text, F.lit(mark), F.lit(""))
-    return F.trim(text)
+    return strip(text)
 
 
 def clean_full(text: Column) -> Column:
@@ -69,7 +76,7 @@ def clean_full(text: Column) -> Column:
     for mark in MARKS:
         text = F.replace(text, F.lit(mark), F.lit(""))
     text = F.substring_index(F.substring_index(text, HEADER_END, -1), TURN_END, 1)
-    return F.trim(F.regexp_replace(F.trim(text), r"[.!?,;]\z", ""))
+    return strip(F.regexp_replace(strip(text), r"[.!?,;]\z", ""))
 
 
 def words(text: Column) -> Column:
@@ -117,11 +124,11 @@ def is_alias_seed(alias: Column) -> Column:
 
 
 def is_refusal(text: Column) -> Column:
-    return F.lower(F.trim(text)).isin(*REFUSALS)
+    return F.lower(strip(text)).isin(*REFUSALS)
 
 
 def is_refusal_fuzzy(text: Column) -> Column:
-    low = F.lower(F.trim(text))
+    low = F.lower(strip(text))
     return is_refusal(text) | F.regexp_like(low, F.lit("|".join(REFUSAL_PATTERNS)))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrove.functions import prompts as P
+from evalgrove.functions.text import strip
 
 Source = Callable[[DataFrame], DataFrame]
 
@@ -75,7 +76,7 @@ def population(rollouts: DataFrame, size: int, selection: str = "first", seed: s
     'first' takes them in order, 'random' in order of md5(seed/key/idx). Without any, all slots are ''.
     """
     order = F.struct(F.lit(0).alias("o"), "idx") if selection == "first" else F.struct(F.md5(F.concat_ws("/", F.lit(seed), F.col(key).cast("string"), F.col("idx").cast("string"))).alias("o"), "idx")
-    full = F.trim("text") != ""
+    full = strip(F.col("text")) != ""
     packed = rollouts.groupBy(key).agg(F.array_sort(F.collect_list(F.when(full, F.struct(order.alias("o"), "text")))).alias("c"))
     slots = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(i.alias("slot"), F.when(F.size("c") > 0, F.get("c", i % F.greatest(F.size("c"), F.lit(1)))["text"]).otherwise("").alias("text")))
     return packed.select(key, F.explode(slots).alias("s")).select(key, "s.slot", "s.text")

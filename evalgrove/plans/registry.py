@@ -108,6 +108,12 @@ def d_scores(x: str) -> str:
     return f"translate(translate(lower({x}), '-', ' '), {_quoted(PUNCTUATION)}, '')"
 
 
+def d_strip(x: str) -> str:
+    from evalgrove.functions.text import BLANKS
+
+    return f"trim({x}, {' || '.join(f'chr({ord(c)})' for c in BLANKS)})"
+
+
 def d_match(x: str) -> str:
     return rf"trim(regexp_replace({d_scores(x)}, '\s+', ' ', 'g'))"
 
@@ -129,12 +135,12 @@ def d_marks(x: str) -> str:
 
 
 def d_light(x: str) -> str:
-    return f"trim({d_marks(x)})"
+    return d_strip(d_marks(x))
 
 
 def d_full(x: str) -> str:
     turn = f"split_part(list_last(string_split({d_marks(x)}, '<|end_header_id|>')), '<|eot_id|>', 1)"
-    return f"trim(regexp_replace(trim({turn}), '[.!?,;]$', ''))"
+    return d_strip(f"regexp_replace({d_strip(turn)}, '[.!?,;]$', '')")
 
 
 def d_grams(x: str, n: int) -> str:

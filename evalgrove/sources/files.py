@@ -29,9 +29,9 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def read_lookup_csv(spark: SparkSession, path: str, key: str = "image_id", value: str = "path") -> DataFrame:
-    """key, value, dataset of a two-column CSV with a header: the dataset is the path's first part."""
+    """key, value, dataset of a two-column CSV with a header, the last line of a key counting."""
     rows = spark.read.option("header", True).schema(f"{key} string, {value} string").csv(path)
-    return lookup(rows, key, value)
+    return lookup(rows.withColumn("_line", F.monotonically_increasing_id()), key, value, "_line")
 
 
 def lookup(rows: DataFrame, key: str = "image_id", value: str = "path", order: str | None = None) -> DataFrame:

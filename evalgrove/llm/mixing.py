@@ -22,6 +22,8 @@ from .common import Staged, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
+#: Names that no column of documents has.
+_ID, _COPIES = "_evalgrove_id", "_evalgrove_copies"
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -86,10 +88,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as mix() says, numbered from 0 in column copy.
+    """The rows of docs, each as often as mix() says, numbered from 0 in column copy, which replaces one of that name.
 
     Ids are expected to be unique here; rows without an id are never drawn.
     """
-    drawn = mixed.where(F.col("copies") > 0).select(F.col(id_col).alias("_id"), F.col("copies").alias("_copies")).dropDuplicates(["_id"])
-    out = docs.drop("copy").join(drawn, F.col(id_col) == F.col("_id")).drop("_id")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int")))).drop("_copies")
+    drawn = mixed.where(F.col("copies") > 0).select(F.col(id_col).alias(_ID), F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")).alias(_COPIES)).dropDuplicates([_ID])
+    out = docs.drop("copy").join(drawn, F.col(id_col) == F.col(_ID))
+    return out.withColumn("copy", F.explode(_COPIES)).drop(_ID, _COPIES)

@@ -170,7 +170,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, columns: lis
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    return docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select("quality", F.col(id_col).alias("_id"), *columns)
+    rows = docs.select(F.col(id_col).alias("_row"), *columns)
+    return rows.join(F.broadcast(known), F.col("_row") == F.col("_id")).drop("_row")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_limit: int = DOCS, lines: int = LINES) -> np.ndarray:

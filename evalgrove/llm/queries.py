@@ -65,4 +65,41 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "coalesce(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_BENCH_WORDS = "regexp_extract_all(" + _LOW.format(x="text") + ", '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS k FROM d WHERE length(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1),
+c AS (SELECT w.doc_id, w.k FROM w JOIN f ON w.s = f.s WHERE f.first < w.doc_id),
+m AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM c),
+g AS (SELECT doc_id, k, sum((p IS NULL OR p + 50 < k)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM m),
+spans AS (SELECT doc_id, run, min(k) AS s, max(k) + 50 AS e, lag(max(k) + 50, 1, 1) OVER (PARTITION BY doc_id ORDER BY run) AS before FROM g GROUP BY 1, 2),
+cut AS (SELECT doc_id, sum(e - s) AS gone, count(*) AS n, max(e) AS last FROM spans GROUP BY 1),
+kept AS (SELECT p.doc_id, string_agg(substr(d.h, 2 * before - 1, 2 * (s - before)), '' ORDER BY run) AS x FROM spans p JOIN d ON p.doc_id = d.doc_id GROUP BY 1)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(concat(coalesce(kept.x, ''), substr(h, 2 * coalesce(last, 1) - 1)))) AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner FROM pages),
+x AS (SELECT page_id, owner, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS hex FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((list_reduce([strpos('0123456789abcdef', substr(hex, 5 * (k // 4) + c, 1)) - 1 for c in [1, 2, 3, 4, 5]], lambda a, b: a * 16 + b) >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1) for k in range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM x
+""",
+    "op9_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+hit AS (SELECT DISTINCT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
+words AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS all_items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(all_items, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+""",
+}

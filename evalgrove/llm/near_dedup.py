@@ -7,9 +7,11 @@
 3. A band value that several classes share is a bucket. Each member is paired with the bucket's least
    member only, so a bucket gives as many pairs as members.
 4. Pairs are confirmed on full shingle sets and joined to components.
-5. Buckets that still hold several components get the pairs between those components, confirmed in the
-   same way: together with step 3 no pair of a bucket stays untested unless its classes are already
-   connected. These are few, since what meets in a bucket is mostly alike.
+5. Buckets that still hold several components are compared in full, so that no pair of a bucket stays
+   untested unless its classes are already connected. Their members are dealt into blocks, each pair of
+   blocks goes to a task with its members' sets, and the task counts common shingles by an index of
+   shingles and returns only links that join components: never more than members, however many pairs.
+   These links are confirmed too.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SALTS = 4096
 #: Ids up to this number (8 bytes each) may be broadcast; beyond it the texts are fetched by a shuffle join.
 BROADCAST_IDS = 1_000_000
 BLOCK = 4096
+#: Members of a bucket that are compared with each other in one task, about.
+MEMBERS = 512
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -133,6 +137,71 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFr
     return dealt.mapInArrow(_confirmer(k, percent), "u long, v long")
 
 
+def _joining(rows: list[tuple], crossed: bool, k: int, percent: int, known: _Words) -> Iterator[tuple[int, int]]:
+    """Links between components among the rows (rep, comp, block, text); only between blocks if crossed."""
+    sets = [_hashes(words_of(r[3]), k, known) for r in rows]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = np.split(owner[np.argsort(code, kind="stable")], np.cumsum(times)[:-1])
+    of = np.split(code, np.cumsum(sizes)[:-1])
+    block = np.array([r[2] for r in rows])
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    for i, r in enumerate(rows):
+        both = np.bincount(np.concatenate([holders[c] for c in of[i].tolist()]), minlength=len(rows))
+        near = 100 * both >= percent * (sizes + sizes[i] - both)
+        near[: i + 1] = False
+        if crossed:
+            near &= block != block[i]
+        for j in np.flatnonzero(near).tolist():
+            x, y = root(r[1]), root(rows[j][1])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                yield (r[0], rows[j][0])
+
+
+def _joiner(k: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at, held = _Words(), None, []
+
+        def links() -> pa.RecordBatch:
+            found = list(_joining(held, at[1] != at[2], k, percent, known))
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for key, p, q, rep, comp, block, text in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", "rep", "comp", "block", "text"))):
+                if (key, p, q) != at:
+                    if len(held) > 1:
+                        yield links()
+                    at, held = (key, p, q), []
+                held.append((rep, comp, block, text))
+        if len(held) > 1:
+            yield links()
+
+    return run
+
+
+def joining(buckets: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that join components of the same bucket. buckets: (key, rep, comp); rows: (id, text)."""
+    ids = buckets.select(F.col("rep").alias("id")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = Staged(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts").df
+    blocks = buckets.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).withColumnRenamed("key", "k")
+    dealt = buckets.join(blocks, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("p"), F.greatest("block", j).alias("q")))
+    dealt = dealt.select("key", "rep", "comp", "block", F.inline(pairs)).join(texts, F.col("rep") == F.col("id"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("key", "p", "q", "rep", "comp", "block", "text").repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "rep")
+    return dealt.mapInArrow(_joiner(k, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, rows: int = ROWS, seed: int = 7) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
@@ -159,13 +228,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     left = buckets.df.join(found.df, F.col("rep") == F.col("u"), "left").select("key", "rep", F.coalesce("v", "rep").alias("comp"))
     left = Staged(left, "left")
-    split = left.df.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("lead")).where("c0 < c1").select("key", "lead")
+    split = left.df.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
     open_ = Staged(left.df.join(split, "key"), "open")
-    x, y = open_.df.alias("x"), open_.df.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")))
-    pairs = pairs.where("x.rep <> x.lead and y.rep <> y.lead").select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    pairs = Staged(pairs, "pairs")
-    if pairs.df.limit(1).count():
+    pairs = Staged(joining(open_.df, base, shingle_words, percent).distinct(), "pairs")
+    if not pairs.df.isEmpty():
         more = confirmed(pairs.df, base, shingle_words, percent)
         found = components(Staged(links.df.unionByName(more), "links").df)
     for done in (left, open_, pairs, buckets):

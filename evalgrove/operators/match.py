@@ -81,9 +81,10 @@ def nearest(queries: DataFrame, nodes: DataFrame, k: int, key: str = "id", vecto
     return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _deepest(candidates: Column) -> Column:
-    """Of structs with depth and rank the deepest, the first of several."""
-    return F.try_element_at(F.array_sort(F.transform(candidates, lambda x: F.struct((-x["depth"]).alias("d"), x["rank"].alias("r"), x.alias("x")))), F.lit(1))["x"]
+def _deepest(candidates: Column, method: str) -> Column:
+    """struct(node, path, method) of the deepest of structs with depth and rank, the first of several; null of none."""
+    ranked = F.transform(candidates, lambda x: F.struct((-x["depth"]).alias("d"), x["rank"].alias("r"), F.struct(x["label"].alias("node"), x["path"].alias("path"), F.lit(method).alias("method")).alias("x")))
+    return F.array_min(ranked)["x"]
 
 
 def voted(candidates: Column, votes: int = 2) -> Column:
@@ -101,32 +102,32 @@ def cascade(texts: DataFrame, nodes: DataFrame, candidates: DataFrame, min_score
     text's n-grams; nothing, if the best score is below min_score; if scores are ambiguous, the ancestor
     that most candidates share; the first candidate. The deepest node of a stage wins.
     """
-    full = nodes.where(F.col("norm") != "").select("label", "path", "ord", "norm", "depth")
-    info = full.unionByName(nodes.where(F.col("norm") == "").select("label", "path", "ord", "norm", "depth")).select(F.col("ord").alias("_o"), "norm", "depth")
-    packed = candidates.join(info, F.col("ord") == F.col("_o")).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "path", "norm", "depth", "score"))).alias("top"))
+    sizes = (4, 3, 2, 1)
+    info = nodes.select(F.col("ord").alias("_o"), "norm", "depth", *[T.ngrams(F.col("norm"), n).alias(f"g{n}") for n in sizes])
+    packed = candidates.join(info, F.col("ord") == F.col("_o")).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "path", "norm", "depth", "score", *[f"g{n}" for n in sizes]))).alias("top"))
     texts = texts.select("text").distinct().withColumn("p", T.normalize_match(T.clean_light(F.col("text"))))
-    grams = F.concat(*[F.transform(T.ngrams(F.col("p"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in (4, 3, 2, 1)])
+    texts = texts.withColumns({f"p{n}": T.ngrams(F.col("p"), n) for n in sizes})
+    grams = F.concat(*[F.transform(f"p{n}", lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in sizes])
+    full = nodes.where(F.col("norm") != "").select("label", "path", "ord", "norm", "depth")
     whole = texts.select("text", F.explode(grams).alias("x")).select("text", "x.n", "x.g").join(full, F.col("g") == F.col("norm"))
-    whole = whole.groupBy("text", "n").agg(F.max_by(F.struct("label", "path"), F.struct("depth", -F.col("ord"))).alias("node"))
-    whole = whole.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("n", "node"))).alias("whole"))
-    row = texts.join(packed, "text").join(whole, "text", "left")
+    whole = whole.groupBy("text", "n").agg(F.max_by(F.struct("label", "path"), F.struct("depth", -F.col("ord"))).alias("b"))
+    named = F.struct(F.col("b.label").alias("node"), F.col("b.path").alias("path"), F.concat(F.lit("ngram_match_"), F.col("n").cast("string")).alias("method"))
+    whole = whole.groupBy(F.col("text").alias("_t")).agg(F.map_from_entries(F.collect_list(F.struct("n", named.alias("node")))).alias("whole"))
+    row = texts.join(packed, "text").join(whole, F.col("text") == F.col("_t"), "left")
 
+    # each stage is a struct(node, path, method) or null; the first that isn't null counts
     top = F.col("top")
-    result = lambda node, method: F.struct(node["label"].alias("node"), node["path"].alias("path"), F.lit(method).alias("method"))
-    equal = _deepest(F.filter(top, lambda x: (x["norm"] == F.col("p")) & (x["norm"] != "")))
-    found = F.when(equal.isNotNull(), result(equal, "exact_match_in_top_k"))
-    for n in (4, 3, 2, 1):
-        share = _deepest(F.filter(top, lambda x: F.arrays_overlap(T.ngrams(F.col("p"), n), T.ngrams(x["norm"], n))))
-        any_node = F.try_element_at(F.col("whole"), F.lit(n))
-        found = found.when(share.isNotNull(), result(share, f"ngram_topk_match_{n}")).when(any_node.isNotNull(), result(any_node, f"ngram_match_{n}"))
+    stages = [_deepest(F.filter(top, lambda x: (x["norm"] == F.col("p")) & (x["norm"] != "")), "exact_match_in_top_k")]
+    for n in sizes:
+        stages += [_deepest(F.filter(top, lambda x: F.arrays_overlap(F.col(f"p{n}"), x[f"g{n}"])), f"ngram_topk_match_{n}"), F.try_element_at("whole", F.lit(n))]
     scores = F.transform(top, lambda x: x["score"])
-    none = F.struct(F.lit(None).cast("string").alias("node"), F.lit(None).cast("array<string>").alias("path"), F.lit("none").alias("method"))
+    nothing = F.lit(None).cast("array<string>").alias("path")
     if min_score is not None:
-        found = found.when(F.array_max(scores) < min_score, none)
-    vote = voted(top, votes)
-    found = found.when(M.is_ambiguous(M.softmax(scores), top2, topk) & vote.isNotNull(), F.struct(vote.alias("node"), F.lit(None).cast("array<string>").alias("path"), F.lit("voting").alias("method")))
-    found = found.otherwise(result(F.try_element_at(top, F.lit(1)), "top_score"))
-    out = row.select("text", found.alias("f")).select("text", F.col("f.node").alias("predicted_node"), F.col("f.path").alias("_path"), F.col("f.method").alias("mapping_method"))
+        stages.append(F.when(F.array_max(scores) < min_score, F.struct(F.lit(None).cast("string").alias("node"), nothing, F.lit("none").alias("method"))))
+    vote = F.filter(F.array(voted(top, votes)), lambda v: v.isNotNull() & M.is_ambiguous(M.softmax(scores), top2, topk))
+    stages.append(F.get(F.transform(vote, lambda v: F.struct(v.alias("node"), nothing, F.lit("voting").alias("method"))), F.lit(0)))
+    stages.append(F.get(F.transform(top, lambda x: F.struct(x["label"].alias("node"), x["path"].alias("path"), F.lit("top_score").alias("method"))), F.lit(0)))
+    out = row.select("text", F.coalesce(*stages).alias("f")).select("text", F.col("f.node").alias("predicted_node"), F.col("f.path").alias("_path"), F.col("f.method").alias("mapping_method"))
     # the root may be voted for but is no node: it stays without a path
     by_label = nodes.select(F.col("label").alias("_l"), F.col("path").alias("_voted"))
     return out.join(by_label, F.col("predicted_node") == F.col("_l"), "left").select("text", "predicted_node", F.coalesce("_path", "_voted").alias("predicted_path"), "mapping_method")

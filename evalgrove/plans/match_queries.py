@@ -9,6 +9,7 @@ from evalgrove.functions import metrics as MX
 from evalgrove.operators import match as M
 from evalgrove.operators import score as S
 from evalgrove.operators import taxonomy as X
+from evalgrove.sources.staging import staged
 
 from .registry import Tables, d_full, d_grams, d_light, d_match, d_scores, query
 from .score_queries import _round
@@ -29,7 +30,10 @@ _TEXTS = (
 
 
 def part_nodes(t: Tables) -> DataFrame:
-    return X.with_ordinals(X.node_paths(X.edges(t.part_chains)))
+    """The nodes, walked once for a query however often it refers to them."""
+    if "part_nodes" not in t.kept:
+        t.kept["part_nodes"] = staged(X.with_ordinals(X.node_paths(X.edges(t.part_chains))), "nodes")
+    return t.kept["part_nodes"]
 
 
 def _texts(t: Tables) -> DataFrame:

@@ -64,7 +64,7 @@ class Tables:
     """The tables of a folder and the views over them, as attributes."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._views = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._views, self.kept = spark, sf_dir, {}, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

@@ -11,12 +11,14 @@ remove_repeats() has to bring equal strings of SIZE bytes of a corpus together w
 corpus together. Every such string has a least hash among its GRAM-byte substrings, which equal strings
 share. Neighbouring strings of a document mostly share it too, so a document falls into runs, a run being
 the text that all strings with one least hash cover. Then
-1. least hashes found in a single document are dropped; what is left is a small part of the text;
-2. equal runs are one, with the least document id that has them;
-3. runs of one least hash that differ are put into one text, its suffix array brings equal strings
-   together, and each string gets the least id of the runs that have it; more runs than PART of one least
-   hash are dealt over several texts, whose strings are then merged by digest;
-4. a string is removed from documents of larger ids than its least one.
+1. runs are known by least hash and digest. Batches of documents send each run's numbers, not its text, to
+   the part of its least hash, and a run that several documents of the batch have only once. Runs whose
+   least hash one document alone has are dropped;
+2. equal runs are removed from all documents but the one of least id;
+3. runs of one least hash that differ may still share strings. Their texts are fetched, cut to where
+   fingerprints of strings occur twice, and put into one text, whose suffix array brings equal strings
+   side by side; a string of larger id than the least of its neighbours is removed. More runs than PART
+   of one least hash are dealt over several texts, whose strings are then merged by digest.
 """
 
 from __future__ import annotations
@@ -37,10 +39,13 @@ SIZE = 50
 GRAM = 16
 #: Strings in a run at most, so that periodic text makes no endless runs.
 RUN = 256
-#: Runs of one least hash that are sorted in one text at most.
-PART = 128
-#: Symbols of texts that are sorted together.
+#: Runs of one least hash that are sorted in one text, about.
+PART = 4096
+#: Bytes of runs whose fingerprints are compared together, and symbols that are sorted together, if not of one least hash.
+FETCHED = 1 << 20
 TEXT = 1 << 15
+#: Runs a batch of documents holds before it is sent.
+HELD = 1_000_000
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -166,125 +171,158 @@ def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-# 1. least hashes of several documents. Batches send each hash to its part once, with its document if only one has it
+# 1. runs by least hash
+
+NUMBERS = np.dtype([("h", "<i8"), ("g", "<i8"), ("id", "<i8"), ("start", "<i4"), ("n", "<i2"), ("many", "?")])
+FULL, CLASS, MEMBER, ASKED = range(4)
+ROWS = "kind int, h long, g long, id long, start int, n int, of int"
+
+
+#: Hashes travel with six bytes each: least hash and digest together tell runs apart by 96 bits.
+MASK = np.int64((1 << 48) - 1)
+
+
+def _pack(rows: np.ndarray) -> bytes:
+    """Byte planes, one column after another: the upper planes are mostly zeros, which shuffles compress away."""
+    planes = [np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in NUMBERS.names]
+    return len(rows).to_bytes(4, "little") + b"".join(planes)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n, at = int.from_bytes(data[:4], "little"), 4
+    rows = np.empty(n, NUMBERS)
+    for c in NUMBERS.names:
+        size = NUMBERS[c].itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        rows[c] = np.ascontiguousarray(planes.T).reshape(-1).view(NUMBERS[c])
+        at += n * size
+    return rows
+
+
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows change in any of the columns, the first row included."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    change = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(True, change))
 
 
 def _scanner(parts: int, size: int):
-    def send(ids: np.ndarray, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        h = np.concatenate([*found, np.zeros(0, np.int64)])
-        by = np.lexsort((owner, h))
-        h, owner = h[by], owner[by]
-        new = np.append(True, h[1:] != h[:-1])[: len(h)]
-        several = np.zeros(len(h), bool)
-        if len(h):
-            several = np.repeat(np.add.reduceat(np.ones(len(h), int), np.flatnonzero(new)) > 1, np.diff(np.append(np.flatnonzero(new), len(h))))
-        part = h.view(np.uint64) % np.uint64(parts)
-        keep = np.flatnonzero(new)
-        keep = keep[np.argsort(part[keep], kind="stable")]
-        cuts = np.flatnonzero(np.append(True, part[keep][1:] != part[keep][:-1]))[: len(keep)]
-        rows: dict[str, list] = {"part": [], "hashes": [], "ids": []}
-        for a, b in zip(cuts, np.append(cuts[1:], len(keep))):
-            one = keep[a:b]
-            rows["part"].append(int(part[one[0]]))
-            rows["hashes"].append(h[one].tobytes())
-            rows["ids"].append(np.where(several[one], np.int64(-1), ids[owner[one]]).tobytes())
-        # hashes that documents of the batch share are known now; -1 before tells them from parts
-        if several.any():
-            mine, hashes = owner[several], h[several]
-            by = np.argsort(mine, kind="stable")
-            mine, hashes = mine[by], hashes[by]
-            cuts = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(mine))):
-                rows["part"].append(-1 - int(xxhash.xxh3_64_intdigest(int(ids[mine[a]]).to_bytes(8, "little", signed=True)) % parts))
-                rows["hashes"].append(hashes[a:b].tobytes())
-                rows["ids"].append(ids[mine[a]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int64()), pa.array(rows["hashes"], pa.binary()), pa.array(rows["ids"], pa.binary())], ["part", "hashes", "ids"])
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows["start"], rows["id"], rows["g"], rows["h"]))]
+        cuts = _cuts(rows["h"], rows["g"])
+        times = np.diff(np.append(cuts, len(rows)))
+        several = rows["id"][cuts] != rows["id"][cuts + times - 1]
+        in_several = np.repeat(several, times)
+        once = rows[cuts[several]]
+        once["many"] = True
+        sent = np.concatenate([rows[~in_several], once])
+        part = (sent["h"].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        sent, part = sent[by], part[by]
+        cuts = _cuts(part)
+        out = [(int(part[a]), _pack(sent[a:b])) for a, b in zip(cuts, np.append(cuts[1:], len(sent)))]
+        # the documents that have them stay out of the parts; they are told by class, see CLASS
+        members = rows[in_several]
+        out += [(-1 - int(abs(int(members["g"][a])) % parts), _pack(members[a : a + 20_000])) for a in range(0, len(members), 20_000)]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["part", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        found: list[np.ndarray] = []
-        held = 0
+        held: list[np.ndarray] = []
+        count = 0
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                h = np.unique(runs(_bytes(text), size)[0])
-                if len(h):
-                    ids.append(i)
-                    found.append(h)
-                    held += len(h)
-                if held > 1_500_000:
-                    yield from send(np.array(ids, np.int64), found)
-                    ids, found, held = [], [], 0
-        if ids:
-            yield from send(np.array(ids, np.int64), found)
+                data = _bytes(text)
+                h, starts, n = runs(data, size)
+                if not len(h):
+                    continue
+                rows = np.empty(len(h), NUMBERS)
+                rows["h"], rows["id"], rows["start"], rows["n"], rows["many"] = h & MASK, i, starts, n, False
+                rows["g"] = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), (starts + n + size - 1).tolist())), np.uint64, len(h)).view(np.int64) & MASK
+                held.append(rows)
+                count += len(rows)
+                if count >= HELD:
+                    yield send(held)
+                    held, count = [], 0
+        if held:
+            yield send(held)
 
     return run
 
 
-def _sharer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, hashes) of hashes that several documents have; a part arrives whole, sorted, parts one after another."""
-
-    def shared(hashes: list[bytes], ids: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-        h, i = np.frombuffer(b"".join(hashes), np.int64), np.frombuffer(b"".join(ids), np.int64)
-        by = np.argsort(h, kind="stable")
-        h, i = h[by], i[by]
-        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        times = np.diff(np.append(new, len(h)))
-        # one batch is enough for -1: its documents are known, but others have to hear of it, so they count
-        tell = np.repeat(times > 1, times) & (i != -1)
-        h, i = h[tell], i[tell]
-        by = np.argsort(i, kind="stable")
-        h, i = h[by], i[by]
-        cuts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))[: len(i)]
-        for a, b in zip(cuts, np.append(cuts[1:], len(i))):
-            yield int(i[a]), h[a:b]
-
-    def rows(found) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([h for _, h in found], pa.list_(pa.int64()))], ["id", "hashes"])
-
-    at, hashes, ids = None, [], []
-    for batch in batches:
-        known = []
-        for part, h, i in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "ids"))):
-            if part < 0:
-                known.append((int(np.frombuffer(i, np.int64)[0]), np.frombuffer(h, np.int64)))
-                continue
-            if part != at and hashes:
-                known += shared(hashes, ids)
-                hashes, ids = [], []
-            at = part
-            hashes.append(h)
-            ids.append(i)
-        if known:
-            yield rows(known)
-    if hashes:
-        yield rows(list(shared(hashes, ids)))
-
-
-# 2. the runs of those hashes
-
-
-def _extractor(size: int):
+def _rows(kind: int, rows: np.ndarray, of) -> pa.RecordBatch:
+    columns = [np.full(len(rows), kind, np.int32), rows["h"], rows["g"], rows["id"], rows["start"], rows["n"].astype(np.int32), np.broadcast_to(np.asarray(of, np.int32), len(rows))]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["kind", "h", "g", "id", "start", "n", "of"])
+
+
+def _decide(rows: np.ndarray, per_part: int) -> Iterator[pa.RecordBatch]:
+    """What becomes of the runs of a part: FULL to remove, ASKED to compare by text, CLASS to tell members."""
+    rows = rows[np.lexsort((rows["start"], rows["id"], rows["g"], rows["h"]))]
+    heads = _cuts(rows["h"])
+    lengths = np.diff(np.append(heads, len(rows)))
+    shared = np.maximum.reduceat(rows["many"], heads) | (np.maximum.reduceat(rows["id"], heads) != np.minimum.reduceat(rows["id"], heads))
+    rows = rows[np.repeat(shared, lengths)]
+    if not len(rows):
+        return
+    classes = _cuts(rows["h"], rows["g"])
+    members = np.diff(np.append(classes, len(rows)))
+    first = rows["id"][classes]
+    of_h = _cuts(rows["h"][classes])
+    number = np.diff(np.append(of_h, len(classes)))
+    differ = (number > 1) & (np.maximum.reduceat(first, of_h) != np.minimum.reduceat(first, of_h))
+    of = np.repeat(np.where(differ, -(-number // per_part), 0), number)  # by class; 0: nothing to compare
+    first_of, of_of = np.repeat(first, members), np.repeat(of, members)
+    plain = ~rows["many"]
+    whole = rows[plain & (rows["id"] > first_of)]
+    whole["h"] = whole["g"] = 0  # not needed any more
+    yield _rows(FULL, whole, 0)
+    ask = plain & (rows["id"] == first_of) & (of_of > 0)
+    yield _rows(ASKED, rows[ask], of_of[ask])
+    told = np.maximum.reduceat(rows["many"], classes)
+    yield _rows(CLASS, rows[classes][told], of[told])
+
+
+def _decider(per_part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
-            out: list[tuple] = []
-            for i, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "hashes"))):
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist()):
+                if part < 0:
+                    yield _rows(MEMBER, _unpack(data), 0)
+                    continue
+                if part != at and held:
+                    yield from _decide(np.concatenate(held), per_part)
+                    held = []
+                at = part
+                held.append(_unpack(data))
+        if held:
+            yield from _decide(np.concatenate(held), per_part)
+
+    return run
+
+
+# 2. texts of the runs to compare
+
+
+def _fetcher(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, text, asked in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "asked"))):
                 data = _bytes(text)
-                h, starts, n = runs(data, size)
-                for k in np.flatnonzero(np.isin(h, np.array(wanted, np.int64))).tolist():
-                    a, m = int(starts[k]), int(n[k])
-                    s = data[a : a + m + size - 1]
-                    out.append((int(h[k]), xxhash.xxh3_64_intdigest(s) - (1 << 63), i, a, m, s))
+                out += [(x["h"], x["part"], x["of"], i, x["start"], data[x["start"] : x["start"] + x["n"] + size - 1]) for x in asked]
             columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())))], ["h", "g", "id", "start", "n", "s"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["h", "part", "of", "id", "start", "s"])
 
     return run
 
 
 # 3. equal strings by suffix array
 
-MINS = pa.list_(pa.int64())
-
 
 def _least_of(strings: list[bytes], firsts: list[int], size: int) -> list[np.ndarray]:
     """For each of the runs the least first id of the runs that have each of its strings."""
@@ -314,67 +352,130 @@ def _least_of(strings: list[bytes], firsts: list[int], size: int) -> list[np.nda
     return [at[b : b + len(s) - size + 1] for b, s in zip(begin, strings)]
 
 
-def _sorter(size: int):
-    """Runs come sorted by (h, part); several small groups share a text, since their strings differ anyway."""
+def _twice(strings: list[bytes], size: int) -> list[tuple[int, int]]:
+    """Of each run the first string and the one after the last whose fingerprint occurs twice; (0, 0) if none does."""
+    data = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1)
+    doubled, step = [(1, data)], 1
+    while 2 * step <= size:
+        h = doubled[-1][1]
+        h = h[:-step] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * step) + h[step:]
+        h ^= h >> np.uint64(30)
+        step *= 2
+        doubled.append((step, h))
+    have, h = doubled[-1]
+    for step, g in reversed(doubled):
+        while have + step <= size:
+            n = len(data) - have - step + 1
+            h = h[:n] * np.uint64(0xD6E8FEB86659FD93) + g[have : have + n]
+            h ^= h >> np.uint64(29)
+            have += step
+    lengths = np.array([len(s) for s in strings])
+    begin = np.cumsum(lengths) - lengths
+    counts = lengths - size + 1
+    at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())  # starts of whole strings
+    _, inverse, times = np.unique(h[at], return_inverse=True, return_counts=True)
+    hit = np.flatnonzero(times[inverse] > 1)
+    owner = np.repeat(np.arange(len(strings)), counts)[hit]
+    place = at[hit] - begin[owner]
+    out = [(0, 0)] * len(strings)
+    cuts = _cuts(owner)
+    for a, b in zip(cuts, np.append(cuts[1:], len(owner))):
+        out[int(owner[a])] = (int(place[a]), int(place[b - 1]) + 1)
+    return out
+
+
+def _solved(rows: list[tuple], size: int) -> Iterator[tuple[tuple, int, np.ndarray]]:
+    """(row, from, least) of each run (h, part, of, id, start, s) that has strings twice: least ids from there on.
+
+    Rows are sorted by (h, part). Runs of one such group share a text; groups share one too while it is short.
+    """
+    jobs: dict[bytes, int] = {}  # cut runs and their least id
+    pending: list[tuple[tuple, int, bytes]] = []
+    held = 0
+
+    def flush():
+        strings = list(jobs)
+        least = dict(zip(strings, _least_of(strings, [jobs[s] for s in strings], size)))
+        yield from ((row, a, least[cut]) for row, a, cut in pending)
+
+    at = None
+    for row, (a, b) in zip(rows, _twice([r[5] for r in rows], size)):
+        if b <= a:
+            continue
+        if row[:2] != at and held > TEXT:
+            yield from flush()
+            jobs, pending, held = {}, [], 0
+        at = row[:2]
+        cut = row[5][a : b + size - 1]
+        if cut not in jobs:
+            held += len(cut) + 1
+        jobs[cut] = min(jobs.get(cut, row[3]), row[3])
+        pending.append((row, a, cut))
+    if pending:
+        yield from flush()
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows sorted by (h, part), some groups at a time, none of them torn."""
+    held: list[tuple] = []
+    length, at = 0, None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "part", "of", "id", "start", "s"))):
+            if row[:2] != at and length > FETCHED:
+                yield held
+                held, length = [], 0
+            at = row[:2]
+            held.append(row)
+            length += len(row[5])
+    if held:
+        yield held
 
-    def solve(group: list[tuple]) -> pa.RecordBatch:
-        # a group's runs may have the same string in another group only by a clash of hashes, which is right too
-        least = _least_of([r[3] for r in group], [r[2] for r in group], size)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in group], pa.int64()), pa.array([r[1] for r in group], pa.int64()), pa.array(least, MINS)], ["h", "g", "least"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        length, at = 0, None
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "g", "first", "s", "part"))):
-                key = (row[0], row[4])
-                if key != at and length > TEXT:
-                    yield solve(held)
-                    held, length = [], 0
-                at = key
-                held.append(row)
-                length += len(row[3]) + 1
-        if held:
-            yield solve(held)
+def _spans_of(i: int, start: int, hit: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+    """Byte spans that the strings at the given places of a run cover."""
+    if len(hit):
+        cut = np.flatnonzero(np.diff(hit) > size)
+        for a, b in zip(np.append(hit[0], hit[cut + 1]).tolist(), np.append(hit[cut], hit[-1]).tolist()):
+            yield i, start + a, start + b + size
 
-    return run
 
+SPAN_COLUMNS = "id long, s int, e int"
 
-def _digester(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for s in batch.column("s").to_pylist():
-                out.append([xxhash.xxh3_128_digest(s[k : k + size]) for k in range(len(s) - size + 1)])
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), batch.column("least"), pa.array(out, pa.list_(pa.binary()))], ["h", "g", "least", "digests"])
 
-    return run
+def _span_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*found)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], ["id", "s", "e"])
 
 
-# 4. what to remove
+def _sorter(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            yield _span_batch([x for r, a, least in _solved(rows, size) for x in _spans_of(r[3], r[4] + a, np.flatnonzero(least < r[3]), size)])
+
+    return run
 
 
-def _coverer(size: int):
-    """Byte spans of each occurrence whose strings an earlier document has."""
+def _part_sorter(size: int):
+    """For groups dealt over several texts: each string with its digest and least id so far, strings of one text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, froms, tos = [], [], []
-            for i, start, n, one, least in zip(*(batch.column(c).to_pylist() for c in ("id", "start", "n", "first", "least"))):
-                if least is None:
-                    if one < i:
-                        ids.append(i), froms.append(start), tos.append(start + n - 1 + size)
-                    continue
-                hit = np.flatnonzero(np.array(least, np.int64) < i)
-                if len(hit):
-                    cut = np.flatnonzero(np.diff(hit) > size)
-                    for a, b in zip(np.append(hit[0], hit[cut + 1]), np.append(hit[cut], hit[-1])):
-                        ids.append(i), froms.append(start + int(a)), tos.append(start + int(b) + size)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(froms, pa.int32()), pa.array(tos, pa.int32())], ["id", "s", "e"])
+        for rows in _groups(batches):
+            known = {id(r): (a, least) for r, a, least in _solved(rows, size)}
+            out = []
+            for r in rows:
+                a, least = known.get(id(r), (0, ()))
+                for k in range(len(r[5]) - size + 1):
+                    best = int(least[k - a]) if a <= k < a + len(least) else r[3]
+                    out.append((r[3], r[4] + k, best, xxhash.xxh3_128_digest(r[5][k : k + size])))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["id", "at", "least", "digest"])
 
     return run
 
 
+# 4. what to remove
+
+
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, count, digest = [], [], [], []
@@ -407,49 +508,32 @@ def _release(spark: SparkSession) -> None:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(id, s, e): byte spans, possibly overlapping, of strings of size bytes that start in a document of smaller id."""
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sent = rows.mapInArrow(_scanner(parts, size), "part long, hashes binary, ids binary")
-    sent = sent.repartition(parts // 2, "part").sortWithinPartitions("part")
-    wanted = Staged(sent.mapInArrow(_sharer, "id long, hashes array<long>"), "shared")
+    sent = rows.mapInArrow(_scanner(2 * n, size), "part long, rows binary")
+    sent = sent.repartition(n, "part").sortWithinPartitions("part")
+    found = Staged(sent.mapInArrow(_decider(PART), ROWS), "runs")
     _release(spark)
 
-    mine = wanted.df.groupBy(F.col("id").alias("of")).agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
-    held = rows.join(mine, F.col("id") == F.col("of")).select("id", "text", "hashes")
-    occ = Staged(held.mapInArrow(_extractor(size), "h long, g long, id long, start int, n int, s binary"), "runs")
-    wanted.drop()
-    _release(spark)
+    told = found.df.where(F.col("kind") == CLASS).select(F.col("h").alias("h1"), F.col("g").alias("g1"), F.col("id").alias("first"), F.col("of").alias("of1"))
+    members = found.df.where(F.col("kind") == MEMBER).drop("of").join(told, (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1")))
+    whole = found.df.where(F.col("kind") == FULL).unionByName(members.where("id > first").select(*[c for c in found.df.columns if c != "of"], F.lit(0).alias("of")))
+    whole = whole.select("id", F.col("start").alias("s"), (F.col("start") + F.col("n") + (size - 1)).alias("e"))
 
-    different = Staged(occ.df.groupBy("h", "g").agg(F.min(F.struct("id", "start")).alias("first")).select("h", "g", "first.*"), "different")
-    several = different.df.groupBy("h").agg(F.count("*").alias("runs"), F.min("id").alias("a"), F.max("id").alias("b")).where("runs > 1 and a < b")
-    several = several.select(F.col("h").alias("h2"), F.ceil(F.col("runs") / PART).cast("int").alias("of"))
-    asked = different.df.join(several, F.col("h") == F.col("h2")).select("h", "g", F.col("id").alias("first"), "start", F.pmod("g", "of").cast("int").alias("part"), "of")
-    asked = Staged(asked, "asked")
-    text = occ.df.select(F.col("h").alias("h3"), F.col("g").alias("g3"), F.col("id").alias("id3"), F.col("start").alias("start3"), "s")
-    full = asked.df.join(text, (F.col("h") == F.col("h3")) & (F.col("g") == F.col("g3")) & (F.col("first") == F.col("id3")) & (F.col("start") == F.col("start3")))
-    full = Staged(full.select("h", "g", "first", "part", "of", "s").dropDuplicates(["h", "g"]), "strings")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = full.df.select("h", "g", "first", "s", "part").repartition(n, "h", "part").sortWithinPartitions("h", "part")
-    solved = Staged(dealt.mapInArrow(_sorter(size), "h long, g long, least array<long>"), "sorted")
-    asked.drop()
-
-    # groups dealt over several texts: the same string of different parts is merged by digest
-    split = full.df.where("of > 1").select(F.col("h").alias("h4"), F.col("g").alias("g4"), "s")
-    split = split.join(solved.df, (F.col("h") == F.col("h4")) & (F.col("g") == F.col("g4"))).select("h", "g", "least", "s")
-    digested = split.mapInArrow(_digester(size), "h long, g long, least array<long>, digests array<binary>")
-    each = Staged(digested.select("h", "g", F.posexplode(F.arrays_zip("least", "digests")).alias("k", "x")).select("h", "g", "k", "x.least", F.col("x.digests").alias("digest")), "strings")
-    merged = each.df.groupBy("digest").agg(F.min("least").alias("all")).withColumnRenamed("digest", "d")
-    again = each.df.join(merged, F.col("digest") == F.col("d")).groupBy("h", "g").agg(F.array_sort(F.collect_list(F.struct("k", "all"))).alias("x"))
-    again = again.select(F.col("h").alias("h5"), F.col("g").alias("g5"), F.transform("x", lambda x: x["all"]).alias("better"))
-    best = solved.df.join(again, (F.col("h") == F.col("h5")) & (F.col("g") == F.col("g5")), "left").select(F.col("h").alias("h6"), F.col("g").alias("g6"), F.coalesce("better", "least").alias("least"))
-    best = different.df.select("h", "g", F.col("id").alias("first")).join(best, (F.col("h") == F.col("h6")) & (F.col("g") == F.col("g6")), "left").select(F.col("h").alias("h7"), F.col("g").alias("g7"), "first", "least")
-    best = Staged(best, "least")
+    asked = found.df.where(F.col("kind") == ASKED).select("h", "g", "id", "start", "n", "of")
+    asked = asked.unionByName(members.where("id = first and of1 > 0").select("h", "g", "id", "start", "n", F.col("of1").alias("of")))
+    asked = asked.withColumn("part", F.pmod("g", "of").cast("int")).groupBy(F.col("id").alias("of_id")).agg(F.collect_list(F.struct("h", "part", "of", "start", "n")).alias("asked"))
+    held = rows.join(asked, F.col("id") == F.col("of_id")).select("id", "text", "asked")
+    strings = Staged(held.mapInArrow(_fetcher(size), "h long, part int, of int, id long, start int, s binary"), "strings")
     _release(spark)
 
-    back = occ.df.select("h", "g", "id", "start", "n").join(best.df, (F.col("h") == F.col("h7")) & (F.col("g") == F.col("g7")))
-    back = back.where("least is not null or first < id").select("id", "start", "n", "first", "least")
-    spans = Staged(back.mapInArrow(_coverer(size), "id long, s int, e int"), "spans")
-    for done in (occ, different, full, solved, each, best):
+    dealt = lambda some: strings.df.where(some).repartition(n, "h", "part").sortWithinPartitions("h", "part")
+    compared = dealt("of = 1").mapInArrow(_sorter(size), SPAN_COLUMNS)
+    parted = Staged(dealt("of > 1").mapInArrow(_part_sorter(size), "id long, at int, least long, digest binary"), "parted")
+    best = parted.df.groupBy("digest").agg(F.min("least").alias("best")).withColumnRenamed("digest", "d")
+    merged = parted.df.join(best, F.col("digest") == F.col("d")).where("best < id").select("id", F.col("at").alias("s"), (F.col("at") + size).alias("e"))
+    spans = Staged(whole.unionByName(compared).unionByName(merged), "spans")
+    for done in (found, strings, parted):
         done.drop()
     _release(spark)
     return spans.df

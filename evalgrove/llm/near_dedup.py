@@ -46,7 +46,7 @@ def bands_for(threshold: float, rows: int = ROWS, miss: float = 1e-6) -> int:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -33,7 +33,7 @@ STATS = 11
 
 class _Columns(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word) % WORDS
         return h

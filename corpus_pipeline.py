@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 from evalgrove.llm import decontaminate, language, mixing, near_dedup, secrets
 from evalgrove.llm.common import Staged, table
 
-#: Least score of the language that wins; what no language explains better than chance is rejected.
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text is in one of the learned languages."""
+    """Keeps documents whose text has a language. Short clean texts have low scores, so no score is asked for."""
     found = Staged(language.identify(docs), "language").df
-    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_LANGUAGE_SCORE)).select("doc_id")
+    bad = found.where(F.col("lang_pred") == language.UNDETERMINED).select("doc_id")
     return docs.join(bad, "doc_id", "left_anti")
 
 

@@ -12,7 +12,9 @@ from evalgrove.sources import files
 
 from .registry import Tables, d_audit, d_index, query
 
-_joined = F.array_join("path", " > ")
+def _joined():
+    return F.array_join("path", " > ")
+
 
 
 def _all_paths(t: Tables) -> DataFrame:
@@ -40,7 +42,7 @@ def taxonomy_edges(t: Tables) -> DataFrame:
 
 @query(f"SELECT label, array_to_string(path, ' > ') AS path, depth::INT AS depth FROM {_NODES}")
 def taxonomy_paths(t: Tables) -> DataFrame:
-    return nodes_of(t).select("label", _joined.alias("path"), "depth")
+    return nodes_of(t).select("label", _joined().alias("path"), "depth")
 
 
 @query(f"SELECT label, (row_number() OVER (ORDER BY label) - 1)::BIGINT AS ord FROM {_NODES}")
@@ -50,7 +52,7 @@ def node_ordinals(t: Tables) -> DataFrame:
 
 @query(f"SELECT {d_index('label')} AS norm, array_to_string(min_by(path, label), ' > ') AS path, count(*)::BIGINT AS paths FROM {_NODES} GROUP BY 1")
 def label_paths(t: Tables) -> DataFrame:
-    return X.label_paths(nodes_of(t)).select("norm", _joined.alias("path"), "paths")
+    return X.label_paths(nodes_of(t)).select("norm", _joined().alias("path"), "paths")
 
 
 @query(
@@ -70,7 +72,7 @@ def path_from_chain(t: Tables) -> DataFrame:
 @query("SELECT id, array_to_string(path, ' > ') AS path FROM {part_chains} WHERE chain[3] <> 'made' UNION ALL SELECT id, array_to_string([chain[1], chain[2], 'root'], ' > ') FROM {part_chains} WHERE chain[3] = 'made'")
 def entity_paths(t: Tables) -> DataFrame:
     rows = t.part_chains.withColumn("pruned", M.prune_chain(F.col("chain"), drop_through=["made"]))
-    return X.entity_paths(rows).select("id", _joined.alias("path"))
+    return X.entity_paths(rows).select("id", _joined().alias("path"))
 
 
 @query(f"SELECT {d_index('alias')} AS alias, min(label) AS label FROM {{part_aliases}} GROUP BY 1")

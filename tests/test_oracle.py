@@ -43,3 +43,13 @@ def test_twin(spark, small, duck, name):
     assert sorted(names) == columns
     assert got == ordered(tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
     assert got
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

@@ -64,6 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     docs are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = Staged(rows, "sizes").df  # a range exchange reads its input twice: the sizes, not the texts
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("source").asc_nulls_last(), "size", "id").sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "id")

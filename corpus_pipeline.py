@@ -15,21 +15,17 @@ from evalgrove.llm.common import Staged, table
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text has a language. Short clean texts have low scores, so no score is asked for."""
-    found = Staged(language.identify(docs), "language").df
-    bad = found.where(F.col("lang_pred") == language.UNDETERMINED).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    return language.with_language(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near copies."""
-    found = Staged(near_dedup.near_duplicates(docs), "near").df
-    return docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti")
+    return near_dedup.first_of_copies(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of the benchmark occurs."""
-    found = Staged(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")), "leaks").df
-    return docs.join(found.where(F.size("spans") > 0).select("doc_id"), "doc_id", "left_anti")
+    return decontaminate.without_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

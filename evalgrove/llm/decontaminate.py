@@ -150,6 +150,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.withColumnRenamed("id", id_col)
 
 
+def _cleaner(shared, window: int, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = WuManber({w: [] for _, words in shared.value for w in windows_of(words, window)})
+        for batch in batches:
+            clean = [next(search.find(words_of(t)), None) is None for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, in which no window of the benchmark occurs; a pass a block, nothing is shuffled."""
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    for part in _blocks(items, block_bytes):
+        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(part), window, text_col), docs.schema)
+    return docs
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) from contamination()."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])

@@ -209,9 +209,28 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     labelled. Ties go to the language that sorts first. Null ids are not held out and not learned from.
     Rows that repeat are rows of their own. Other columns of docs are not read.
     """
-    sample = training_sample(docs, id_col, text_col, lang_col, docs_per_language)
-    shared = docs.sparkSession.sparkContext.broadcast(sample)
-    key = xxhash.xxh3_128_hexdigest(repr(sorted(sample.items())).encode("utf-8", "surrogatepass"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_identifier(shared, key), f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    run = _identifier(*_shared_sample(docs, id_col, text_col, lang_col, docs_per_language))
+    return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def _shared_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int):
+    sample = training_sample(docs, id_col, text_col, lang_col, docs_per_language)
+    key = xxhash.xxh3_128_hexdigest(repr(sorted(sample.items())).encode("utf-8", "surrogatepass"))
+    return docs.sparkSession.sparkContext.broadcast(sample), key
+
+
+def _keeper(shared, key: str, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(key, shared.value)
+        for batch in batches:
+            names, _ = model.predict(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
+
+    return run
+
+
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS) -> DataFrame:
+    """The rows of docs, all columns, that identify() gives a language; one pass, nothing is shuffled."""
+    return docs.mapInArrow(_keeper(*_shared_sample(docs, id_col, text_col, lang_col, docs_per_language), text_col), docs.schema)

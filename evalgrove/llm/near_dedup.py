@@ -241,3 +241,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.df.drop("bands").join(of_class, F.col("digest") == F.col("d"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def first_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those whose component has a smaller id.
+
+    Rows go by id; those without one are copies of what they are linked with, but stay. The ids to drop are
+    broadcast up to BROADCAST_IDS, so that no text moves; beyond that the join shuffles.
+    """
+    found = Staged(near_duplicates(docs, id_col, text_col, shingle_words, percent), "near").df
+    drop = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col)
+    if drop.count() <= BROADCAST_IDS:
+        drop = F.broadcast(drop)
+    return docs.join(drop, id_col, "left_anti")

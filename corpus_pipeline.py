@@ -14,7 +14,7 @@ from evalgrove.llm.common import Staged, table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text has a language. Short clean texts have low scores, so no score is asked for."""
+    """Keeps documents whose text is in a learned language, by its bits a character against labelled texts of like length."""
     return language.with_language(docs)
 
 

@@ -12,6 +12,10 @@ a time, in every language at once; a cut costs one phrase at most. Whole texts a
 
 The sample is bounded: of each language the DOCS documents of least id hash, CHARS characters in all,
 shared out evenly.
+
+A text is in a language only if it costs no more bits a character than labelled texts of like length do.
+limits() measures that within the sample: what one half of a language's documents costs by the automaton of
+the other half, against the same pieces with their characters shuffled, which are of no language.
 """
 
 from __future__ import annotations
@@ -34,6 +38,9 @@ CUT = 1024
 #: Characters parsed in one go.
 BATCH = 2_000_000
 UNDETERMINED = "und"
+#: Lengths in characters for which limits are measured, and pieces of a language measured at each.
+LENGTHS = tuple(4 << k for k in range(9))
+PIECES = 200
 
 
 def held_out(id_column):
@@ -168,6 +175,43 @@ class Model:
         return names, scores
 
 
+def limits(samples: dict[str, list[str]]) -> dict[str, list[float]]:
+    """Bits a character that a text of each of LENGTHS may cost in each language.
+
+    The middle between what 99 of 100 labelled pieces cost at most and the median of shuffled ones; where
+    the two overlap, as in a few characters, the former, so that short clean texts stay. Languages of
+    fewer than two documents can't be measured and have no limit.
+    """
+    model = Model({lang: texts[::2] for lang, texts in samples.items()})
+    rng = np.random.default_rng(0)
+    out = {}
+    for j, lang in enumerate(model.languages):
+        other = "\n".join(samples[lang][1::2])
+        out[lang] = []
+        for size in LENGTHS:
+            if not other:
+                out[lang].append(float("inf"))
+                continue
+            size = min(size, len(other))
+            pieces = [other[at : at + size] for at in np.linspace(0, len(other) - size, PIECES).astype(int).tolist()]
+            mixed = ["".join(p[i] for i in rng.permutation(len(p)).tolist()) for p in pieces]
+            clean, junk = float(np.quantile(model.cost(pieces)[:, j], 0.99)), float(np.median(model.cost(mixed)[:, j]))
+            out[lang].append(max(clean, (clean + junk) / 2))
+    return out
+
+
+def in_language(model: Model, limit: dict[str, list[float]], texts: list[str | None]) -> list[bool]:
+    """Whether each text has a letter and costs at most its best language's limit for its length."""
+    out = []
+    for text, c in zip(texts, model.cost(texts)):
+        if not len(c) or not text or not any(map(str.isalpha, text)):
+            out.append(False)
+            continue
+        best = int(np.argmin(c))
+        out.append(bool(c[best] <= np.interp(np.log2(len(text)), np.log2(LENGTHS), limit[model.languages[best]])))
+    return out
+
+
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS) -> dict[str, list[str]]:
     """The texts of each language that its automaton is built from: labelled, not held out, with text; by id hash, ties by id and text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -221,16 +265,21 @@ def _shared_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, d
     return docs.sparkSession.sparkContext.broadcast(sample), key
 
 
-def _keeper(shared, key: str, text_col: str):
+def _keeper(shared, key: str, limit: dict[str, list[float]], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key, shared.value)
         for batch in batches:
-            names, _ = model.predict(batch.column(text_col).to_pylist())
-            yield batch.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
+            yield batch.filter(pa.array(in_language(model, limit, batch.column(text_col).to_pylist()), pa.bool_()))
 
     return run
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS) -> DataFrame:
-    """The rows of docs, all columns, that identify() gives a language; one pass, nothing is shuffled."""
-    return docs.mapInArrow(_keeper(*_shared_sample(docs, id_col, text_col, lang_col, docs_per_language), text_col), docs.schema)
+    """The rows of docs, all columns, whose text is in a learned language; one pass, nothing is shuffled.
+
+    Junk and texts in languages that are not learned cost more than the limits() of the language nearest to
+    them and go, as do texts that identify() gives no language. Below about 16 characters junk can't be
+    told from clean text, and most of it stays.
+    """
+    shared, key = _shared_sample(docs, id_col, text_col, lang_col, docs_per_language)
+    return docs.mapInArrow(_keeper(shared, key, limits(shared.value), text_col), docs.schema)

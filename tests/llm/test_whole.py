@@ -7,7 +7,7 @@ import base64
 import brute
 import numpy as np
 import pytest
-from evalgrove.llm import language
+from evalgrove.llm import language, spans
 
 
 def test_language_stage_rejects_planted_junk(spark, small):
@@ -27,3 +27,40 @@ def test_language_stage_rejects_planted_junk(spark, small):
     assert len(kept & {d[0] for d in junk}) == 0
     assert len(kept & {d[0] for d in docs}) >= 0.98 * len(docs)
     assert len(kept & {d[0] for d in clean}) >= 0.97 * len(clean)
+
+
+def every_run_removed(docs, least=spans.SENTENCES, words=spans.WORDS):
+    """Sentences that any repeated run covers which is not the first of its text, over all runs that are long enough."""
+    first, runs = {}, []
+    for d, text in sorted(docs):
+        parts = spans.sentences(text)
+        for i in range(len(parts)):
+            for e in range(i + least, len(parts) + 1):
+                w = " ".join(parts[i:e]).split()
+                if len(w) >= words:
+                    first.setdefault(tuple(w), (d, i))
+                    runs.append((tuple(w), d, i, e))
+    gone = {d: set() for d, _ in docs}
+    for key, d, i, e in runs:
+        if first[key] != (d, i):
+            gone[d].update(range(i, e))
+    return {d: len(g) for d, g in gone.items()}
+
+
+def test_short_ends_of_repeated_runs_go(spark):
+    """Sentences of 12, 12 and 6 words in whole copies and within other text, and random runs, against all runs."""
+    rng = np.random.default_rng(9)
+    words = ["aa", "bo", "cu", "di", "ew", "fy", "ga", "hi", "ix", "jo"]
+
+    def sentence(n):
+        return " ".join(rng.choice(words, n)) + "."
+
+    run = " ".join(sentence(n) for n in (12, 12, 6))
+    docs = [(1, run), (2, run), (3, f"{sentence(15)} {run} {sentence(30)}"), (4, f"{sentence(9)} {run} {sentence(17)}")]
+    pool = [sentence(int(n)) for n in rng.integers(1, 15, 30)]
+    for i in range(5, 30):
+        at = int(rng.integers(0, 20))
+        docs.append((i, " ".join([sentence(7), *pool[at : at + int(rng.integers(1, 10))], sentence(4)])))
+    got = {r["doc_id"]: r for r in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[2]["kept_text"] == ""
+    assert {k: r["n_removed"] for k, r in got.items()} == every_run_removed(docs)

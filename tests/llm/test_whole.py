@@ -64,3 +64,21 @@ def test_short_ends_of_repeated_runs_go(spark):
     got = {r["doc_id"]: r for r in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[2]["kept_text"] == ""
     assert {k: r["n_removed"] for k, r in got.items()} == every_run_removed(docs)
+
+
+@pytest.mark.parametrize("leads", [(4, 8), (4, 20), (0, 33)])
+def test_passages_pasted_in_mid_sentence_line_up(spark, leads):
+    """Two sentences of 26 and 27 words behind leads without a stop: most of each second copy goes."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"{''.join(rng.choice(list('abcdefghijklmnop'), 6))}" for _ in range(n)]
+    docs, passages = [], []
+    for k in range(20):
+        passage = " ".join(fresh(26)) + ". " + " ".join(fresh(27)) + "."
+        for j, lead in enumerate(leads):
+            docs.append((2 * k + j, " ".join([*fresh(lead), passage, *fresh(9)])))
+        passages.append(passage.split())
+    got = {r["doc_id"]: r["kept_text"] for r in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    left = [len(set(got[2 * k + 1].split()) & set(p)) for k, p in enumerate(passages)]
+    assert all(got[2 * k] == docs[2 * k][1] for k in range(20))
+    assert sum(left) <= 0.35 * 53 * 20 and sum(n < 53 for n in left) >= 19
+    assert all("".join(spans.sentences(t)) == t for _, t in docs)

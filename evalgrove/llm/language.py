@@ -5,7 +5,8 @@ the longest phrases that occur in the sample; the fewer phrases it needs, the mo
 explains. Phrase counts are normalised to bits, each phrase costing the logarithm of the sample's size
 per character of the text, and the language of least cost wins.
 
-The automata become one transition table. Where a state has no transition on a character the phrase ends
+The automata become one transition table. The commonest characters have columns in it; the transitions on
+all others are a sorted array by state and character, so no script is left out. Where a state has no transition on a character the phrase ends
 and the next begins with that character, so the table goes on from the root and the step counts one
 phrase. Texts are cut into rows of CUT characters and all rows of a batch advance together, a character at
 a time, in every language at once; a cut costs one phrase at most. Whole texts are read.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 #: Labelled documents of each language, and characters of them, that its automaton is built from.
 DOCS = 60
 CHARS = 30_000
-#: Characters that get a column of their own in the transition table; rarer ones share none.
+#: Characters that get a column of their own in the transition table; those of rarer ones are looked up.
 ALPHABET = 63
 #: Characters of a text parsed in one row.
 CUT = 1024
@@ -83,30 +84,38 @@ def _codes(text: str) -> np.ndarray:
 
 
 class Model:
-    """Tables of all languages: step[base + state * width + symbol] is twice the next row, odd where a phrase ends."""
+    """Tables of all languages: step[base + state * width + symbol] is twice the next row, odd where a phrase ends.
+
+    Symbols from width on have no column: rare holds (row * symbols + symbol) of their transitions in order, and
+    rare_step what step would. Symbol 0 is a character of no sample.
+    """
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         texts = {lang: np.concatenate([np.append(_codes(t), 0x0A) for t in samples[lang]])[:CHARS] for lang in self.languages}
         every = np.concatenate([*texts.values(), np.zeros(0, np.uint32)])
         chars, counts = np.unique(every, return_counts=True)
-        chars = chars[np.lexsort((chars, -counts))][:ALPHABET]
-        self.symbol = np.zeros(0x110000, np.uint8)  # 0: a character of no column
+        chars = chars[np.lexsort((chars, -counts))]
+        self.symbol = np.zeros(0x110000, np.int32)
         self.symbol[chars] = np.arange(1, len(chars) + 1)
-        self.width = len(chars) + 1
+        self.symbols = len(chars) + 1
+        self.width = min(len(chars), ALPHABET) + 1
         tables, self.roots, self.bits, base = [], [], [], 0
+        rare: dict[int, int] = {}
         for lang in self.languages:
             codes = self.symbol[texts[lang]].tolist()
             nxt = suffix_automaton(codes)
             root = np.full(self.width, base, np.int64)  # an unknown character ends the phrase at the root
             for c, s in nxt[0].items():
-                if c:
+                if c < self.width:
                     root[c] = base + s
             table = np.tile(root * 2 + 1, (len(nxt), 1))
             for s, moves in enumerate(nxt):
                 for c, t in moves.items():
-                    if c:
+                    if c < self.width:
                         table[s, c] = (base + t) * 2
+                    else:
+                        rare[(base + s) * self.symbols + c] = (base + t) * 2
             # the root's own moves begin the phrase that is open, they end none; unknown characters do
             table[0, 1:] = np.where(root[1:] == base, base * 2 + 1, root[1:] * 2)
             tables.append(table.astype(np.int32))
@@ -114,16 +123,33 @@ class Model:
             self.bits.append(np.log2(max(2, len(codes))))
             base += len(nxt)
         self.step = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.rare = np.array(sorted(rare), np.int64)
+        self.rare_step = np.array([rare[k] for k in self.rare.tolist()], np.int32)
+
+    def _rare(self, rows: np.ndarray, symbols: np.ndarray, root: int) -> np.ndarray:
+        """step of symbols without a column: by their own transition, else by the root's with a phrase ended, else the root."""
+
+        def find(key):
+            at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+            return self.rare[at] == key, self.rare_step[at]
+
+        own, there = find(rows.astype(np.int64) * self.symbols + symbols)
+        known, begun = find(np.int64(root) * self.symbols + symbols)
+        return np.where(own, there, np.where(known, begun + 1, root * 2 + 1)).astype(np.int32)
 
     def phrases(self, rows: list[np.ndarray]) -> np.ndarray:
         """Phrases each row needs in each language. rows: symbols, longest first."""
         n, k = len(rows), len(self.languages)
         longest = len(rows[0]) if rows else 0
-        grid = np.zeros((longest, n), np.uint8)
+        grid = np.zeros((longest, n), np.int32)
         lengths = np.array([len(r) for r in rows])
         for i, r in enumerate(rows):
             grid[: len(r), i] = r
         alive = np.searchsorted(-lengths, -np.arange(longest), side="left")  # rows with a character at each place
+        off = [np.flatnonzero(g) for g in grid >= self.width] if (grid >= self.width).any() else [()] * longest
+        rare = [(where, grid[t, where]) for t, where in enumerate(off)]
+        for t, where in enumerate(off):
+            grid[t, where] = 0
         out = np.ones((k, n), np.int64)
         for j, root in enumerate(self.roots):
             state = np.full(n, root, np.int32)
@@ -131,6 +157,9 @@ class Model:
             for t in range(longest):
                 m = alive[t]
                 at = self.step[state[:m] * np.int32(self.width) + grid[t, :m]]
+                where, symbols = rare[t]
+                if len(where):
+                    at[where] = self._rare(state[where], symbols, root)
                 count[:m] += at & 1
                 np.right_shift(at, 1, out=state[:m])
         return out.T

@@ -82,3 +82,33 @@ def test_passages_pasted_in_mid_sentence_line_up(spark, leads):
     assert all(got[2 * k] == docs[2 * k][1] for k in range(20))
     assert sum(left) <= 0.35 * 53 * 20 and sum(n < 53 for n in left) >= 19
     assert all("".join(spans.sentences(t)) == t for _, t in docs)
+
+
+def test_languages_of_many_characters():
+    """Three scripts of 300 characters each, and rare letters: phrases are the greedy ones and texts of a sample go to its language."""
+    rng = np.random.default_rng(5)
+    words = {lang: ["".join(chr(start + int(c)) for c in rng.integers(0, 300, 2)) for _ in range(400)] for lang, start in (("aa", 0x4E00), ("bb", 0xAC00), ("cc", 0x5E00))}
+    words["zz"] = ["the", "cat", "sat", "on", "mats"]
+    text = lambda lang, n: "".join(rng.choice(words[lang], n))
+    samples = {lang: [text(lang, 300 if lang == "aa" else 900) for _ in range(3)] for lang in words}
+    model = language.Model(samples)
+    for lang in words:
+        got, _ = model.predict([samples[lang][1][100:300], text(lang, 60)])
+        assert got == [lang, lang]
+
+    def greedy(t, source):
+        n, at = 0, 0
+        while at < len(t):
+            size = 1
+            while at + size < len(t) and t[at : at + size + 1] in source:
+                size += 1
+            at += size
+            n += 1
+        return n
+
+    for lang in words:
+        t = samples["bb"][0][50:90] + text(lang, 20)
+        got = model.phrases([model.symbol[language._codes(t)]])[0]
+        for j, other in enumerate(model.languages):
+            unknown = sum(c not in "".join(samples[other]) for c in t)
+            assert abs(int(got[j]) - greedy(t, "\n".join(samples[other]))) <= 1 + unknown

@@ -82,6 +82,8 @@ SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
 def _searcher(shared, window: int):
+    """Adds one block's spans and items to those that the rows carry from the blocks before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners = defaultdict(list)
         for item, words in shared.value:
@@ -90,16 +92,16 @@ def _searcher(shared, window: int):
         search = WuManber(owners)
         for batch in batches:
             n, spans, items = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text, old, known in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items"))):
                 words = words_of(text)
-                hits, who = [], set()
+                hits, who = [(x["s"], x["e"]) for x in old], set(known)
                 for at, s in search.find(words):
                     hits.append((at, at + len(s)))
                     who.update(owners[s])
                 n.append(len(words))
                 spans.append([{"s": s, "e": e} for s, e in _covered(hits)])
                 items.append(sorted(who))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], ["id", "text", "n_words", "spans", "items"])
 
     return run
 
@@ -119,34 +121,23 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
     yield part
 
 
-def _union(spans):
-    """Column: disjoint spans from sorted ones that may overlap."""
-    grow = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["s"] <= F.try_element_at(acc, F.lit(-1))["e"]),
-        F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["e"]).alias("e")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<s:bigint,e:bigint>>"), grow)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_words, spans, items): where windows of the benchmark occur in each text, and whose they are.
 
     spans are disjoint word positions, end exclusive; items are item ids as strings, sorted. A null or
     wordless text has no spans; items without words or id are left out; an empty benchmark hits nothing.
-    Items that repeat an id count as one. Other columns of docs are not read. Documents that repeat are
-    rows of their own, but with a benchmark over block_bytes rows of one id and text are one.
+    Items that repeat an id count as one. Other columns of docs are not read. Documents that repeat an id
+    are rows of their own, however large the benchmark; a pass a block, nothing is shuffled.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_words long, spans array<struct<s:bigint,e:bigint>>, items array<string>"
+    schema = f"id {kind}, text string, n_words long, spans array<struct<s:bigint,e:bigint>>, items array<string>"
     sc = docs.sparkSession.sparkContext
-    passes = [rows.mapInArrow(_searcher(sc.broadcast(part), window), schema) for part in _blocks(items, block_bytes)]
-    found = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            found = found.unionByName(more)
-        found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), _union(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = rows.withColumns({"spans": F.array().cast("array<struct<s:bigint,e:bigint>>"), "items": F.array().cast("array<string>")})
+    for part in _blocks(items, block_bytes):
+        found = found.mapInArrow(_searcher(sc.broadcast(part), window), schema)
+    found = found.select("id", "n_words", "spans", "items")
     return found.withColumnRenamed("id", id_col)
 
 

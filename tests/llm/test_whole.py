@@ -7,7 +7,7 @@ import base64
 import brute
 import numpy as np
 import pytest
-from evalgrove.llm import language, spans
+from evalgrove.llm import decontaminate, language, spans
 
 
 def test_language_stage_rejects_planted_junk(spark, small):
@@ -112,3 +112,14 @@ def test_languages_of_many_characters():
         for j, other in enumerate(model.languages):
             unknown = sum(c not in "".join(samples[other]) for c in t)
             assert abs(int(got[j]) - greedy(t, "\n".join(samples[other]))) <= 1 + unknown
+
+
+def test_benchmark_in_blocks_keeps_rows_apart(spark):
+    """Rows that repeat an id, with equal and other texts, and rows without one, by one pass and by a pass an item."""
+    docs = [(1, "a b c d"), (1, "x a b y z w"), (1, "x a b y z w"), (None, "z w q"), (None, "nothing"), (None, None), (2, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b"), (2, "z w"), (3, "b y z"), (4, "unseen words")], "item_id long, text string")
+    want = [(i, len((t or "").split())) for i, t in docs]
+    one, many = ([tuple(map(str, r)) for r in decontaminate.contamination(frame, bench, block_bytes=b).collect()] for b in (decontaminate.BLOCK_BYTES, 1))
+    assert sorted(one) == sorted(many)
+    assert sorted((r[0], r[1]) for r in many) == sorted((str(i), str(n)) for i, n in want)

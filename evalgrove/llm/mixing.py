@@ -23,7 +23,7 @@ from .common import Staged, word_count
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 #: Names that no column of documents has.
-_ID, _COPIES = "_evalgrove_id", "_evalgrove_copies"
+_ID, _COPIES, _ROW, _AT, _NTH = "_evalgrove_id", "_evalgrove_copies", "_evalgrove_row", "_evalgrove_at", "_evalgrove_nth"
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -88,11 +88,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return joined.withColumn("copies", copies).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as often as mix() says, numbered from 0 in column copy, which replaces one of that name.
 
-    Ids are expected to be unique here; rows without an id are never drawn.
+    Rows of one id, source and size, null ones too, are numbered on both sides and meet by number; they weigh
+    the same, so which of them gets a copy makes no difference.
     """
-    drawn = mixed.where(F.col("copies") > 0).select(F.col(id_col).alias(_ID), F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")).alias(_COPIES)).dropDuplicates([_ID])
-    out = docs.drop("copy").join(drawn, F.col(id_col) == F.col(_ID))
-    return out.withColumn("copy", F.explode(_COPIES)).drop(_ID, _COPIES)
+    drawn = mixed.where(F.col("copies") > 0).select(F.struct(F.col(id_col).alias("id"), F.col("source"), F.col("size")).alias(_ID), "copies")
+    drawn = drawn.select(_ID, F.row_number().over(Window.partitionBy(_ID).orderBy(F.desc("copies"))).alias(_NTH), F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")).alias(_COPIES))
+    row = F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.drop("copy").withColumn(_ROW, row)
+    rows = rows.withColumn(_AT, F.row_number().over(Window.partitionBy(_ROW).orderBy(F.xxhash64(text_col))))
+    out = rows.join(drawn, (F.col(_ROW) == F.col(_ID)) & (F.col(_AT) == F.col(_NTH)))
+    return out.withColumn("copy", F.explode(_COPIES)).drop(_ROW, _AT, _ID, _NTH, _COPIES)

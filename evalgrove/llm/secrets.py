@@ -113,8 +113,14 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """docs with every span of text_col replaced by mark; overlapping spans by one. Ids are expected to be unique."""
-    found = scan(docs, id_col, text_col, source_col, max_owners).groupBy(F.col(id_col).alias(_ID)).agg(F.max("spans").alias(_SPANS))
+    """docs with every span of text_col replaced by mark; overlapping spans by one.
+
+    Spans and owners depend on texts and sources alone, so each text gets its own back by its digest: ids may
+    repeat or be null, and are not read.
+    """
+    digest = F.unhex(F.sha2(F.col(text_col), 256))
+    texts = docs.select(digest.alias(_ID), F.col(text_col), F.col(source_col))
+    found = scan(texts, _ID, text_col, source_col, max_owners).groupBy(_ID).agg(F.max("spans").alias(_SPANS))
     text, spans = F.col(text_col), F.col(_SPANS)
     reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda x: x["end"])), F.lit(0).cast("long"))
     piece = F.transform(spans, lambda x, i: F.struct(reach(i).alias("from"), x["start"].alias("to")))
@@ -122,5 +128,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     before = F.transform(gaps, lambda x: F.substring(text, (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")))
     rest = F.substring(text, (reach(F.size(spans)) + 1).cast("int"), F.length(text))
     clean = F.concat(F.array_join(before, mark), F.lit(mark), rest)
-    out = docs.join(found, F.col(id_col) == F.col(_ID), "left")
+    out = docs.join(found, digest == F.col(_ID), "left")
     return out.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(_ID, _SPANS)

@@ -7,7 +7,7 @@ import base64
 import brute
 import numpy as np
 import pytest
-from evalgrove.llm import decontaminate, language, spans
+from evalgrove.llm import decontaminate, language, mixing, secrets, spans
 
 
 def test_language_stage_rejects_planted_junk(spark, small):
@@ -123,3 +123,21 @@ def test_benchmark_in_blocks_keeps_rows_apart(spark):
     one, many = ([tuple(map(str, r)) for r in decontaminate.contamination(frame, bench, block_bytes=b).collect()] for b in (decontaminate.BLOCK_BYTES, 1))
     assert sorted(one) == sorted(many)
     assert sorted((r[0], r[1]) for r in many) == sorted((str(i), str(n)) for i, n in want)
+
+
+def test_secrets_and_copies_of_rows_without_an_own_id(spark):
+    """Null and repeated ids: every text loses its own secrets, and each source is drawn to its target."""
+    secret = "password=hunter22xyz"
+    rows = [(None, f"see {secret} here", "a"), (None, "nothing here at all", "a"), (1, f"{secret} first", "a"), (1, f"a longer lead before {secret}", "b"), (1, "clean text", "b"), (2, "plain words", None)]
+    clean = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r["text"] for r in clean) == sorted(t.replace(secret, "[SECRET]") for _, t, _ in rows)
+    many = [(None if i % 3 == 0 else i % 5, "w " * (i % 7 + 1) + f"x{i}", "a" if i % 4 else "b") for i in range(300)] + [(9, "w w", None)] * 3
+    docs = spark.createDataFrame(many, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs)
+    taken = {}
+    for r in mixed.collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    out = mixing.emit(docs, mixed).collect()
+    words = {s: sum(len(r["text"].split()) for r in out if r["source"] == s) for s in taken}
+    assert words == taken
+    assert len({(r["doc_id"], r["text"], r["copy"]) for r in out if r["source"]}) == len([r for r in out if r["source"]])

@@ -11,8 +11,9 @@ and the next begins with that character, so the table goes on from the root and
 phrase. Texts are cut into rows of CUT characters and all rows of a batch advance together, a character at
 a time, in every language at once; a cut costs one phrase at most. Whole texts are read.
 
-The sample is bounded: of each language the DOCS documents of least id hash, CHARS characters in all,
-shared out evenly.
+The sample is bounded: of each language the DOCS documents of least id hash, CHARS characters in all.
+They are shared out evenly, what short documents leave going to longer ones; of a document with more than its
+share, pieces of about PIECE characters are taken, evenly spaced from its beginning to its end.
 
 A text is in a language only if it costs no more bits a character than labelled texts of like length do.
 limits() measures that within the sample: what one half of a language's documents costs by the automaton of
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 #: Labelled documents of each language, and characters of them, that its automaton is built from.
 DOCS = 60
 CHARS = 30_000
+PIECE = 250
 #: Characters that get a column of their own in the transition table; those of rarer ones are looked up.
 ALPHABET = 63
 #: Characters of a text parsed in one row.
@@ -245,9 +247,24 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The texts of each language that its automaton is built from: labelled, not held out, with text; by id hash, ties by id and text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")) & (F.length("text") > 0))
-    rows = rows.select("lang", "id", F.xxhash64("id").alias("h"), F.substring("text", 1, CHARS // docs_per_language + 1).alias("text"))
+    rows = rows.select("lang", "id", F.xxhash64("id").alias("h"), "text")
     first = Window.partitionBy("lang").orderBy("h", "id", "text")
-    sample = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language)
+    sample = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language).withColumn("size", F.length("text"))
+    # in order of size each document may take an equal part of what those before it leave
+    rising = Window.partitionBy("lang").orderBy("size", "n")
+    everything = Window.partitionBy("lang")
+    left = F.lit(CHARS) - F.coalesce(F.sum("size").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = F.floor(left / (F.count("*").over(everything) - F.row_number().over(rising) + 1))
+    # the first document that is larger than its part sets the share of all after it
+    sample = sample.withColumn("level", level)
+    share = F.coalesce(F.min(F.when(F.col("size") > F.col("level"), F.struct("size", "n", "level"))).over(everything)["level"], F.col("size")).cast("int")
+    sample = sample.withColumn("share", F.least("size", share)).where("share > 0")
+    pieces = F.least(F.col("share"), F.greatest(F.lit(1), F.ceil(F.col("share") / PIECE).cast("int")))
+    sample = sample.withColumn("pieces", F.when(F.col("size") > F.col("share"), F.greatest(pieces, F.lit(2))).otherwise(1))
+    sample = sample.withColumn("piece", F.floor(F.col("share") / F.col("pieces")).cast("int"))
+    start = lambda i: F.floor(i * (F.col("size") - F.col("piece")) / F.greatest(F.col("pieces") - 1, F.lit(1))).cast("int") + 1
+    cut = F.array_join(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.substring(F.col("text"), start(i), F.col("piece"))), "\n")
+    sample = sample.select("lang", "n", cut.alias("text"))
     samples: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["n"])):
         samples.setdefault(r["lang"], []).append(r["text"])

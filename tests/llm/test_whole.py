@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import re
+import zlib
 
 import brute
 import numpy as np
@@ -141,3 +143,19 @@ def test_secrets_and_copies_of_rows_without_an_own_id(spark):
     words = {s: sum(len(r["text"].split()) for r in out if r["source"] == s) for s in taken}
     assert words == taken
     assert len({(r["doc_id"], r["text"], r["copy"]) for r in out if r["source"]}) == len([r for r in out if r["source"]])
+
+
+def test_sample_is_taken_from_whole_texts(spark):
+    """Few long documents fill the budget, with pieces from all of each; short ones are taken whole."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    text = lambda n: " ".join(f"w{k:05d}" for k in range(n))
+    docs = [(i, text(20000), "aa") for i in ids[:3]] + [(ids[3], "short text", "bb"), (ids[4], text(9000), "bb")] + [(i, text(1000), "cc") for i in ids[5:90]]
+    got = language.training_sample(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert {k: len(v) for k, v in got.items()} == {"aa": 3, "bb": 2, "cc": language.DOCS}
+    for lang, texts in got.items():
+        assert 0.95 * language.CHARS <= sum(map(len, texts)) <= 1.05 * language.CHARS, lang
+    assert "short text" in got["bb"]
+    for t, n in [*((t, 20000) for t in got["aa"]), *((t, 1000) for t in got["cc"])]:
+        seen = [int(w[1:]) for w in t.split() if re.fullmatch(r"w\d{5}", w)]
+        assert min(seen) < 0.05 * n and max(seen) > 0.9 * n
+    assert all(any(abs(int(w[1:]) - 10000) < 500 for w in t.split() if re.fullmatch(r"w\d{5}", w)) for t in got["aa"])

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import re
+import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,20 +22,47 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where the session names none, a temporary folder serves in local mode, in which there is one machine; on a
+    cluster that is an error, since no machine sees another's folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="evalgrove-")
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all machines share ({master})")
+        own = tempfile.mkdtemp(prefix="evalgrove-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-class Staged:
+#: Tables and folders that wait for their end.
+_LIVE: list[Folder] = []
+
+
+class Folder:
+    """A place in the shared folder, until it is dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _LIVE.append(self)
+
+    def drop(self) -> None:
+        if self in _LIVE:
+            _LIVE.remove(self)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Staged(Folder):
     """A table written to the shared folder, so that a lost executor never costs more than a reread."""
 
     def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        super().__init__(df.sparkSession, name)
         df.write.parquet(self.path)
         self.schema = df.schema
 
@@ -34,10 +70,40 @@ class Staged:
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+def clear(keep: list[Folder] | None = None) -> None:
+    """Drops all staged tables but those to keep. Results that still read them have to be written before."""
+    for folder in [f for f in _LIVE if f not in (keep or [])]:
+        folder.drop()
+
+
+@contextmanager
+def scratch(keep: list[Folder]) -> Iterator[None]:
+    """Drops at its end what was staged inside, but for what was put into keep meanwhile."""
+    before = list(_LIVE)
+    try:
+        yield
+    finally:
+        clear(before + keep)
+
+
+@atexit.register
+def _end() -> None:
+    if SparkContext._active_spark_context is not None:
+        with suppress(Py4JError, OSError):  # the session may end at the same time
+            clear()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps before the next ones are written.
+
+    Spark deletes them once the driver has collected their handles; the second call takes what the first
+    made unreachable.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

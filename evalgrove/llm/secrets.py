@@ -2,9 +2,9 @@
 
 Base rules find assignments, access keys and long hex runs. Beside them any long token that mixes letters
 and digits is a candidate. Candidates' hashes are counted over the corpus by distinct repositories (here
-documents) and owners (here sources): a value that many owners hold is a widely copied example, one that
-few hold is specific to them and looks live. Live tokens become spans of kind token; base spans stay
-spans either way and carry the verdict.
+documents) and owners (here sources): a value that many owners hold, or many repositories even of one owner, is a
+widely copied example; one in few places is specific to its owner and looks live. Live tokens become spans of
+kind token; base spans stay spans either way and carry the verdict.
 
 Positions come from splitting the text at the matches: a match starts where the pieces and matches
 before it end. That sum runs over rows, one a match, in a window of one text; no array grows by copying.
@@ -25,8 +25,9 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9_-]{24,}"
 KINDS = ("assign", "access", "hex", "token")
 MIN_ASSIGN = 6
-#: Owners up to which a value looks live.
+#: Owners, and repositories of all owners, up to which a value looks live.
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 50
 
 #: Names that no column of documents has.
 _ID, _SPANS = "_evalgrove_id", "_evalgrove_spans"
@@ -43,13 +44,16 @@ def _matches(text: Column, kind: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(F.array().cast("array<struct<kind:string,gap:bigint,len:bigint,value:string>>"))
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(row, kind, start, end, value, id, source) of every base span and token candidate."""
+def matched(docs: DataFrame, id_col: str, text_col: str, source_col: str, repository_col: str) -> Staged:
+    """(row, id, source, repository, found): all matches of each row, written so that rows keep their numbers."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.concat(*[_matches(text, k) for k in KINDS]).alias("found"))
-    found = found.where(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id())
-    each = found.select("row", "id", "source", F.posexplode("found").alias("n", "m")).select("row", "id", "source", "n", "m.*")
-    each = Staged(each, "matches").df
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(repository_col).alias("repository"), F.concat(*[_matches(text, k) for k in KINDS]).alias("found"))
+    return Staged(rows.withColumn("row", F.monotonically_increasing_id()), "matches")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(row, kind, start, end, value, source, repository) of every base span and token candidate among matched() rows."""
+    each = rows.select("row", "source", "repository", F.posexplode("found").alias("n", "m")).select("row", "source", "repository", "n", "m.*")
     so_far = Window.partitionBy("row", "kind").orderBy("n")
     each = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far)).withColumn("start", F.col("end") - F.col("len"))
     real = (
@@ -57,37 +61,56 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
         .when(F.col("kind") == "token", F.regexp_like("value", F.lit("[0-9]")) & F.regexp_like("value", F.lit("[A-Za-z]")))
         .otherwise(True)
     )
-    return each.where(real).select("row", "kind", "start", "end", "value", "id", "source")
+    return each.where(real).select("row", "kind", "start", "end", "value", "source", "repository")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, repositories, owners) of each candidate value: how many documents and sources hold it."""
+    """(hash, repositories, owners) of each candidate value: how many documents and sources hold it.
+
+    Rows without a repository are one each.
+    """
     key = F.xxhash64("value")
-    held = found.groupBy(key.alias("hash"), "source", "id").agg(F.lit(1).alias("one")).groupBy("hash", "source").agg(F.count("*").alias("n"))
+    row = F.when(F.col("repository").isNull(), F.col("row"))
+    held = found.groupBy(key.alias("hash"), "source", "repository", row.alias("alone")).agg(F.lit(1).alias("one")).groupBy("hash", "source").agg(F.count("*").alias("n"))
     return held.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(id, source, n, spans): one row for each row that holds a span; spans sorted by start, then kind as listed.
+def spans_of(rows: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """(row, spans) of the matched() rows that hold a span; spans sorted by start, then kind as listed.
 
-    A span is struct(start, rank, end, kind, hash, repositories, owners, live) in code points, end exclusive.
-    Tokens that many owners hold, or that overlap a base span, are no spans. A null or empty text has
-    none. A null source is an owner of its own. Rows that repeat are rows of their own.
+    A span is struct(start, rank, end, kind, hash, repositories, owners, live, reach) in code points, end
+    exclusive; reach is the furthest end of the spans before it. Tokens that aren't live, or that overlap a
+    base span, are no spans. A null or empty text has none. A null source is an owner of its own.
     """
-    found = Staged(candidates(docs, id_col, text_col, source_col), "secrets").df
+    found = Staged(candidates(rows), "secrets").df
     owned = ownership(found).withColumnRenamed("hash", "h")
     spans = found.withColumn("hash", F.xxhash64("value")).join(owned, F.col("hash") == F.col("h")).drop("h", "value")
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    span = F.struct("start", rank.alias("rank"), "end", "kind", "hash", "repositories", "owners", (F.col("owners") <= max_owners).alias("live"))
+    spans = spans.withColumns({"rank": rank, "live": live})
     # a token that overlaps a base span: the furthest end of a base span that starts before the token ends
-    by_row = Window.partitionBy("row")
+    by_row = Window.partitionBy("row").orderBy("start", "rank")
     base = F.col("kind") != "token"
-    earlier = by_row.orderBy("start", rank).rowsBetween(Window.unboundedPreceding, 0)
-    later = by_row.orderBy("start", rank).rowsBetween(0, Window.unboundedFollowing)
-    spans = spans.withColumn("reach", F.max(F.when(base, F.col("end"))).over(earlier)).withColumn("next", F.min(F.when(base, F.col("start"))).over(later))
-    lone = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next") >= F.col("end"), F.lit(True)))
-    spans = spans.where(base | (lone & (F.col("owners") <= max_owners)))
-    return spans.groupBy("row").agg(F.first("id").alias("id"), F.first("source").alias("source"), F.array_sort(F.collect_list(span)).alias("spans")).select(F.col("id").alias(id_col), "source", "spans")
+    earlier = by_row.rowsBetween(Window.unboundedPreceding, 0)
+    later = by_row.rowsBetween(0, Window.unboundedFollowing)
+    spans = spans.withColumn("base_end", F.max(F.when(base, F.col("end"))).over(earlier)).withColumn("next", F.min(F.when(base, F.col("start"))).over(later))
+    lone = (F.coalesce("base_end", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next") >= F.col("end"), F.lit(True)))
+    spans = spans.where(base | (lone & F.col("live")))
+    spans = spans.withColumn("reach", F.coalesce(F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    span = F.struct("start", "rank", "end", "kind", "hash", "repositories", "owners", "live", "reach")
+    return spans.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """(id, source, spans) of every row, spans as in spans_of(), empty where there are none.
+
+    Rows that repeat, id included, are rows of their own; those of one id are one repository, each without an id is one.
+    """
+    rows = matched(docs, id_col, text_col, source_col, id_col).df
+    found = spans_of(rows, max_owners, max_repositories)
+    found = found.select(F.col("row").alias("of"), "spans")
+    out = rows.drop("found").join(found, F.col("row") == F.col("of"), "left")
+    return out.select(F.col("id").alias(id_col), "source", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans"))
 
 
 def text_of(spans: Column, base_only: bool) -> Column:
@@ -97,36 +120,36 @@ def text_of(spans: Column, base_only: bool) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Per row: counts of each kind, digest of the base spans, all spans, and how many values look live."""
-    # rows with and without spans meet in one grouping; rows of one id and source count as one document
-    found = scan(docs, id_col, text_col, source_col, max_owners)
-    bare = docs.select(F.col(id_col), F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
-    rows = bare.unionByName(found.select(id_col, "spans"))
-    grouped = rows.groupBy(id_col).agg(F.max("spans").alias("spans")).withColumn("spans", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)))
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """Per row: counts of each kind, digest of the base spans, all spans, and how many values look live.
+
+    Null and empty texts have no spans. Rows that repeat an id, or have none, each keep their own spans.
+    """
+    rows = scan(docs, id_col, text_col, source_col, max_owners, max_repositories)
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
-    return grouped.select(
+    return rows.select(
         id_col, count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(text_of(F.col("spans"), True), 256).alias("base_sha256"), text_of(F.col("spans"), False).alias("spans"),
         F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"), count("token").alias("n_token"),
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark: str = "[SECRET]", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """docs with every span of text_col replaced by mark; overlapping spans by one.
 
-    Spans and owners depend on texts and sources alone, so each text gets its own back by its digest: ids may
-    repeat or be null, and are not read.
+    Spans depend on a row's text and on whole-corpus counts alone, so each text gets its own back by its digest:
+    ids may repeat or be null, and only count repositories.
     """
     digest = F.unhex(F.sha2(F.col(text_col), 256))
-    texts = docs.select(digest.alias(_ID), F.col(text_col), F.col(source_col))
-    found = scan(texts, _ID, text_col, source_col, max_owners).groupBy(_ID).agg(F.max("spans").alias(_SPANS))
+    rows = matched(docs.select(digest.alias(_ID), F.col(text_col), F.col(source_col), F.col(id_col)), _ID, text_col, source_col, id_col).df
+    found = spans_of(rows, max_owners, max_repositories)
+    found = rows.select("row", F.col("id").alias(_ID)).join(found.withColumnRenamed("row", "of"), F.col("row") == F.col("of"))
+    found = found.groupBy(_ID).agg(F.max("spans").alias(_SPANS))
     text, spans = F.col(text_col), F.col(_SPANS)
-    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda x: x["end"])), F.lit(0).cast("long"))
-    piece = F.transform(spans, lambda x, i: F.struct(reach(i).alias("from"), x["start"].alias("to")))
-    gaps = F.filter(piece, lambda x: (x["to"] >= x["from"]))
-    before = F.transform(gaps, lambda x: F.substring(text, (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")))
-    rest = F.substring(text, (reach(F.size(spans)) + 1).cast("int"), F.length(text))
+    gaps = F.filter(spans, lambda x: x["start"] >= x["reach"])
+    before = F.transform(gaps, lambda x: F.substring(text, (x["reach"] + 1).cast("int"), (x["start"] - x["reach"]).cast("int")))
+    reached = F.array_max(F.transform(spans, lambda x: x["end"]))
+    rest = F.substring(text, (reached + 1).cast("int"), F.length(text))
     clean = F.concat(F.array_join(before, mark), F.lit(mark), rest)
     out = docs.join(found, digest == F.col(_ID), "left")
     return out.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(_ID, _SPANS)

@@ -91,15 +91,39 @@ def test_near_links_that_stars_miss(spark):
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == brute.near([{"doc_id": i, "text": t} for i, t in rows], 3, 85)
 
 
-def test_blocks_of_a_bucket(spark, monkeypatch):
+@pytest.mark.parametrize("members,signatures,shingles", [(4, 3, 1 << 20), (512, 2048, 1 << 20), (512, 2048, 100)])
+def test_blocks_of_a_bucket(spark, monkeypatch, members, signatures, shingles):
+    for name, value in (("MEMBERS", members), ("SIGNATURES", signatures), ("SHINGLES", shingles)):
+        monkeypatch.setattr(near_dedup, name, value)
     rows = spark.createDataFrame([(i, " ".join(f"w{j + i // 2}" for j in range(40))) for i in range(30)], "id long, text string")
-    buckets = rows.select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rep"), F.col("id").alias("comp"))
+    signed = rows.withColumn("t", near_dedup.text_key(F.col("text"))).mapInArrow(near_dedup._signer(3, 24, 5, 7), "id long, t binary, n_shingles long, digest binary, bands array<long>, signature binary").withColumn("row", F.col("id"))
+    buckets = rows.select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"), F.col("id").alias("comp"))
     want = brute.near([{"doc_id": r["id"], "text": r["text"]} for r in rows.collect()], 3, 85)
-    for members in (4, 512):
-        monkeypatch.setattr(near_dedup, "MEMBERS", members)
-        pairs = near_dedup.joining(buckets, rows, 3, 85).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        linked = {r["u"]: r["v"] for r in components.components(pairs).df.collect()}
-        assert {i: linked.get(i, i) for i in range(30)} == {k: c for k, (_, c) in want.items()}
+    agree = near_dedup.least_agreement(0.85, 120)
+    pairs = near_dedup.joining(buckets, signed, rows, 3, 85, agree).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    linked = {r["u"]: r["v"] for r in components.components(pairs).df.collect()}
+    assert {i: linked.get(i, i) for i in range(30)} == {k: c for k, (_, c) in want.items()}
+
+
+def test_links_of_rows_without_an_id(spark):
+    """Two texts without an id that only link with each other and, in a chain, with id 5; and two of no id at all."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(words[1:]), " ".join(words[2:])
+    lone = [" ".join(f"x{i}" for i in range(s, 50)) for s in (0, 1)]
+    rows = [(None, a), (None, b), (5, c), (None, lone[0]), (None, lone[1]), (None, lone[1]), (7, "other"), (7, a), (8, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(frame).collect()
+    want = [(None, 5), (None, 5), (5, 5), (None, None), (None, None), (None, None), (7, 7), (7, 5), (8, 8), (None, None)]
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(want, key=str)
+    kept = [tuple(r) for r in near_dedup.first_of_copies(frame).collect()]
+    assert sorted(kept, key=str)[:2] == [(5, c), (7, "other")] and (8, None) in kept and (None, "") in kept
+    assert {t for _, t in kept} & set(lone) and not {(None, a), (None, b), (7, a)} & set(kept) and len({t for _, t in kept} & set(lone)) == 1
+
+
+def test_signatures_agree_as_sets_do():
+    """A bound that pairs at the threshold pass, and pairs far below it do not."""
+    agree = near_dedup.least_agreement(0.85, 120)
+    assert 60 < agree < 102 and near_dedup.least_agreement(1.0, 120) == 120
 
 
 @pytest.mark.parametrize("edges,want", [([(1, 2), (2, 3), (5, 4), (9, 9)], {2: 1, 3: 1, 5: 4}), ([(i, i + 1) for i in range(40)], {i: 0 for i in range(1, 41)}), ([], {})])

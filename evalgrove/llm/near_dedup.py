@@ -176,7 +176,7 @@ def _verifier(agree: int):
 def verified(pairs: DataFrame, signed: DataFrame, agree: int) -> DataFrame:
     """Those of the pairs (a, b) whose signatures agree in enough minima. signed: (row, signature, ...)."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = Staged(signed.join(_few(nodes), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "signature"), "signatures").df
+    known = signed.join(_few(nodes), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "signature")
     held = pairs.join(known.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
     held = held.join(known.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
     return held.select("a", "b", "sig_a", "sig_b").mapInArrow(_verifier(agree), "a long, b long")
@@ -319,11 +319,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, perc
     left = Staged(buckets.df.join(found.df, F.col("node") == F.col("u"), "left").select("key", "node", F.coalesce("v", "node").alias("comp")), "left")
     split = left.df.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
     open_ = Staged(left.df.join(split, "key"), "open")
-    pairs = Staged(joining(open_.df, signed, base, shingle_words, percent, agree).distinct(), "pairs")
-    if not pairs.df.isEmpty():
-        more = confirmed(pairs.df, signed, base, shingle_words, percent)
-        found = components(Staged(links.df.unionByName(more), "links").df)
-    for done in (left, open_, pairs, buckets):
+    if not open_.df.isEmpty():
+        pairs = Staged(joining(open_.df, signed, base, shingle_words, percent, agree).distinct(), "pairs").df
+        if not pairs.isEmpty():
+            more = confirmed(pairs, signed, base, shingle_words, percent)
+            found = components(Staged(links.df.unionByName(more), "links").df)
+    for done in (left, open_, buckets):
         done.drop()
 
     # a component's id is the least of its classes' ids, of which there may be none

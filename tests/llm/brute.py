@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -162,3 +164,45 @@ def spans_removed(docs, sentences, least, words):
         if first[key] != (d, i):
             gone[d].update(range(i, e))
     return gone
+
+
+class Parser:
+    """Greedy longest-match parsing against a sample, by bisection in its sorted suffixes."""
+
+    def __init__(self, texts):
+        self.source = "".join(t.lower() + "\n" for t in texts)
+        self.starts = sorted(range(len(self.source)), key=lambda i: self.source[i : i + 400])
+
+    def longest(self, text, at):
+        """Length of the longest prefix of text[at:] that occurs in the sample; the suffix next to it in order has it."""
+        piece = text[at : at + 400]
+        place = bisect.bisect_left(self.starts, piece, key=lambda i: self.source[i : i + 400])
+        best = 0
+        for i in self.starts[max(0, place - 1) : place + 1]:
+            n = 0
+            while at + n < len(text) and i + n < len(self.source) and text[at + n] == self.source[i + n]:
+                n += 1
+            best = max(best, n)
+        return best
+
+    def phrases(self, text):
+        text, at, n = text.lower(), 0, 0
+        while at < len(text):
+            at += max(1, self.longest(text, at))
+            n += 1
+        return n
+
+
+def languages(docs, samples):
+    """Per document: predicted language and score."""
+    parsers = {lang: Parser(samples[lang]) for lang in sorted(samples)}
+    out = {}
+    for d in docs:
+        text = d["text"] or ""
+        if not any(c.isalpha() for c in text):
+            out[d["doc_id"]] = ("und", 0.0)
+            continue
+        cost = {lang: p.phrases(text) * math.log2(max(2, len(p.source))) / len(text.lower()) for lang, p in parsers.items()}
+        best = min(cost, key=cost.get)
+        out[d["doc_id"]] = (best, 1 / sum(2 ** (-2 * (c - cost[best])) for c in cost.values()))
+    return out

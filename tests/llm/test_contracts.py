@@ -78,6 +78,17 @@ def test_language(spark, medium, docs):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_by_brute_force(spark, small):
+    """Every whole text's language and score, by another way of greedy parsing."""
+    from evalgrove.llm import language
+
+    docs = brute.rows(small, "documents")
+    want = brute.languages(docs, language.training_sample(spark.read.parquet(f"{small}/documents.parquet")))
+    got = result(q.op5_language(spark, small))
+    assert {k: r["lang_pred"] for k, r in got.items()} == {k: x for k, (x, _) in want.items()}
+    assert all(r["score"] == pytest.approx(want[k][1], rel=1e-9) for k, r in got.items())
+
+
 def test_quality(spark, medium, docs):
     labels = {r["doc_id"]: r["quality"] for r in brute.rows(medium, "labels")}
     got = result(q.op6_quality(spark, medium))

@@ -54,7 +54,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.deduplicate(table(spark, sf_dir, "documents"))
     kept = F.coalesce("kept_text", F.lit(""))
-    return found.select("doc_id", "n_sentences", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_pieces", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 QUERIES = {

@@ -10,6 +10,7 @@ import re
 from collections import defaultdict
 
 import pyarrow.parquet as pq
+import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -146,24 +147,47 @@ def quality_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
 
 
-def spans_removed(docs, sentences, least, words):
-    """Sentences that a non-first repeated span covers, by plain counting."""
-    runs, first = [], {}
-    for d in sorted(docs, key=lambda d: d["doc_id"]):
-        parts = sentences(d["text"])
+def pieces(text):
+    """(piece, whether a sentence ends with it) by plain scanning: stops, line ends and every eighth word by its hash."""
+    out, at, held = [], 0, ""
+    words = list(re.finditer(r"\S+", text or ""))
+    if text and (not words or "\n" in text[: words[0].start()]):
+        out.append((text[: words[0].start()] if words else text, True))
+        at = len(out[0][0])
+    for k, m in enumerate(words):
+        end = words[k + 1].start() if k + 1 < len(words) else len(text)
+        gap = text[m.end() : end]
+        held += text[at:end]
+        at = end
+        stop = bool(gap) and (m[0].endswith((".", "!", "?")) or "\n" in gap) or k + 1 == len(words)
+        if stop or xxhash.xxh3_64_intdigest(m[0].encode()) % 8 == 0:
+            out.append((held, stop))
+            held = ""
+    return out
+
+
+def spans_removed(docs, sentences=3, least=2, words=20):
+    """Pieces of each document that a non-first repeated run covers, over all runs that are long enough."""
+    first, runs = {}, []
+    for d, text in sorted(docs):
+        parts = pieces(text)
         for i in range(len(parts)):
-            e = i + least
-            while e <= len(parts) and sum(len(p.split()) for p in parts[i:e]) < words:
-                e += 1
-            if e <= len(parts):
-                key = " ".join(" ".join(parts[i:e]).split())
-                first.setdefault(key, (d["doc_id"], i))
-                runs.append((key, d["doc_id"], i, e))
-    gone = defaultdict(set)
+            h, n, whole = xxhash.xxh3_128(), 0, 0
+            starts = i == 0 or parts[i - 1][1]
+            for e in range(i, len(parts)):
+                own = parts[e][0].split()
+                h.update("".join(w + " " for w in own))
+                n += len(own)
+                whole += parts[e][1]
+                if e + 1 - i >= least and n >= words or starts and parts[e][1] and whole >= sentences and parts[i][0].strip():
+                    key = h.digest()
+                    first.setdefault(key, (d, i))
+                    runs.append((key, d, i, e + 1))
+    gone = {d: set() for d, _ in docs}
     for key, d, i, e in runs:
         if first[key] != (d, i):
             gone[d].update(range(i, e))
-    return gone
+    return {d: len(g) for d, g in gone.items()}
 
 
 class Parser:

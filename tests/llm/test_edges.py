@@ -290,7 +290,7 @@ def test_mix_is_systematic(spark):
 
 def test_sentence_pieces():
     for text in ("", None, "a", "One. Two! Three?\nFour", "w " * 500, "x" * 1000, " lead. tail "):
-        assert "".join(spans.sentences(text)) == (text or "")
+        assert "".join(spans.pieces(text)) == (text or "")
 
 
 def test_pipeline_columns(spark, small):

@@ -31,24 +31,6 @@ def test_language_stage_rejects_planted_junk(spark, small):
     assert len(kept & {d[0] for d in clean}) >= 0.97 * len(clean)
 
 
-def every_run_removed(docs, least=spans.SENTENCES, words=spans.WORDS):
-    """Sentences that any repeated run covers which is not the first of its text, over all runs that are long enough."""
-    first, runs = {}, []
-    for d, text in sorted(docs):
-        parts = spans.sentences(text)
-        for i in range(len(parts)):
-            for e in range(i + least, len(parts) + 1):
-                w = " ".join(parts[i:e]).split()
-                if len(w) >= words:
-                    first.setdefault(tuple(w), (d, i))
-                    runs.append((tuple(w), d, i, e))
-    gone = {d: set() for d, _ in docs}
-    for key, d, i, e in runs:
-        if first[key] != (d, i):
-            gone[d].update(range(i, e))
-    return {d: len(g) for d, g in gone.items()}
-
-
 def test_short_ends_of_repeated_runs_go(spark):
     """Sentences of 12, 12 and 6 words in whole copies and within other text, and random runs, against all runs."""
     rng = np.random.default_rng(9)
@@ -65,7 +47,15 @@ def test_short_ends_of_repeated_runs_go(spark):
         docs.append((i, " ".join([sentence(7), *pool[at : at + int(rng.integers(1, 10))], sentence(4)])))
     got = {r["doc_id"]: r for r in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[2]["kept_text"] == ""
-    assert {k: r["n_removed"] for k, r in got.items()} == every_run_removed(docs)
+    assert {k: r["n_removed"] for k, r in got.items()} == brute.spans_removed(docs)
+
+
+def test_short_sentences_and_one_document_in_rows(spark):
+    """Three short sentences repeat and go; two stay; equal rows of one id keep what the first keeps."""
+    run = "Yes, he did. So did I. Then we left."
+    docs = [(1, f"Some lead here. {run} One end."), (2, f"{run} Another end."), (3, "So did I. Then we left. Third end of it."), (4, f"{run} Own. {run} Tail."), (4, f"{run} Own. {run} Tail.")]
+    got = sorted(map(tuple, spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).select("doc_id", "kept_text").collect()))
+    assert got == [(1, docs[0][1]), (2, "Another end."), (3, docs[2][1]), (4, "Own. Tail."), (4, "Own. Tail.")]
 
 
 @pytest.mark.parametrize("leads", [(4, 8), (4, 20), (0, 33)])
@@ -83,7 +73,7 @@ def test_passages_pasted_in_mid_sentence_line_up(spark, leads):
     left = [len(set(got[2 * k + 1].split()) & set(p)) for k, p in enumerate(passages)]
     assert all(got[2 * k] == docs[2 * k][1] for k in range(20))
     assert sum(left) <= 0.35 * 53 * 20 and sum(n < 53 for n in left) >= 19
-    assert all("".join(spans.sentences(t)) == t for _, t in docs)
+    assert all("".join(spans.pieces(t)) == t for _, t in docs)
 
 
 def test_languages_of_many_characters():

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language, mixing, near_dedup, quality, rules, secrets, spans, suffixes, warc
-from .common import shared_dir, table
+from .common import Folder, release, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +35,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    folder = Folder(spark, "archive").path
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    release(spark)
     return warc.read_index(spark, folder).withColumnRenamed("id", "page_id")
 
 
@@ -52,7 +51,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.deduplicate(table(spark, sf_dir, "documents"))
+    """Passages: license lines and other runs of a few words stay, as they do in clean documents."""
+    found = spans.deduplicate(table(spark, sf_dir, "documents"), sentences=None)
     kept = F.coalesce("kept_text", F.lit(""))
     return found.select("doc_id", "n_pieces", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 

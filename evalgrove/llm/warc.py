@@ -2,7 +2,8 @@
 
 The archive is a folder with two Parquet tables. blocks holds each different payload once: sha256, sha1,
 length, owner (the least id of its records) and the bytes. headers holds one row a record: id, the exact
-header bytes and the payload's sha256. A record is header + payload + CRLF CRLF, put together by a join.
+header bytes and the payload's sha256. A record is header + payload + CRLF CRLF, put together by a join; what a
+record says, its type, digest, length and the record that it refers to, is read from those bytes alone.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Staged
+
 #: Fixed values of the WARC 1.1 format and of RFC 4648 base32.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -70,32 +73,54 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", uri_co
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("length").cast("string"))),
         F.lit(CRLF),
     )
-    records.select("id", F.encode(header, "UTF-8").alias("header"), "sha256", F.when(revisit, F.col("owner")).alias("refers_to")).write.parquet(f"{folder}/headers")
-
+    records.select("id", F.encode(header, "UTF-8").alias("header"), "sha256").write.parquet(f"{folder}/headers")
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, payload_bytes, payload_digest, record_type, refers_to) of each record, from the archive alone.
 
-    Each stored block is hashed again by both digests; one that doesn't match stops the job. The type and
-    digest come from the header's text and have to agree with the block.
-    """
-    blocks = spark.read.parquet(f"{folder}/blocks")
-    good = (F.sha2("payload", 256) == F.col("sha256")) & (F.sha1("payload") == F.col("sha1"))
-    checked = blocks.select(F.col("sha256").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), F.assert_true(good, "a stored payload does not match its digest").alias("ok")).where("ok is null")
-    header = F.decode("header", "UTF-8")
-    field = lambda name: F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)", 1)
-    headers = spark.read.parquet(f"{folder}/headers")
-    out = headers.join(checked, F.col("sha256") == F.col("digest"))
-    same = F.assert_true(field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")), "a header does not match its payload")
-    return out.select("id", "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), "refers_to", same.alias("same")).where("same is null").drop("same")
+def _field(header: Column, name: str) -> Column:
+    return F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)", 1)
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, record): the bytes of each record as a WARC file holds them."""
+    """(id, record): the bytes of each record as a WARC file holds them, put together from headers and blocks.
+
+    What type a record is says its header. Revisits hold no payload and need no block, so a payload that very
+    many records share is joined with its response alone.
+    """
     blocks = spark.read.parquet(f"{folder}/blocks").select(F.col("sha256").alias("digest"), "payload")
-    headers = spark.read.parquet(f"{folder}/headers")
-    body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    return headers.join(blocks, F.col("sha256") == F.col("digest")).select("id", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    headers = spark.read.parquet(f"{folder}/headers").select("id", "header", "sha256")
+    revisit = _field(F.decode("header", "UTF-8"), "WARC-Type") == "revisit"
+    end = F.lit(b"\r\n\r\n")
+    whole = headers.where(~revisit).join(blocks, F.col("sha256") == F.col("digest")).select("id", F.concat("header", "payload", end).alias("record"))
+    return whole.unionByName(headers.where(revisit).select("id", F.concat("header", end).alias("record")))
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, payload_bytes, payload_digest, record_type, refers_to) of each record, parsed from read_records() alone.
+
+    A response's size and digest are those of the payload that its record holds; it has to be as long as the
+    header says, to match the header's digest and to end as records do, or the job stops. A revisit gets size and
+    digest of the record that it refers to, which has to have the digest that the revisit's header names.
+    """
+    record = F.col("record")
+    header = F.substring_index(record.cast("string"), "\r\n\r\n", 1)
+    fields = {"type": "WARC-Type", "name": "WARC-Record-ID", "sha1": "WARC-Payload-Digest", "to": "WARC-Refers-To", "length": "Content-Length"}
+    at = F.octet_length("head") + F.lit(5)
+    parsed = read_records(spark, folder).select("id", "record", header.alias("head"))
+    parsed = parsed.select("id", *[_field(F.col("head"), v).alias(k) for k, v in fields.items()], F.substring("record", at, F.octet_length("record") - at - F.lit(3)).alias("payload"), F.hex(F.substring("record", F.octet_length("record") - F.lit(3), F.lit(4))).alias("tail"))
+    parsed = parsed.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32(F.sha1("payload"))})
+    whole = (F.col("tail") == "0D0A0D0A") & (F.col("bytes") == F.col("length").cast("long"))
+    whole = whole & ((F.col("type") == "revisit") | (F.concat(F.lit("sha1:"), F.col("digest")) == F.col("sha1")))
+    parsed = parsed.withColumn("broken", F.assert_true(whole, "a record does not match its header")).where("broken is null").drop("payload", "tail", "broken")
+    parsed = Staged(parsed, "parsed").df  # payloads are read once
+    responses = parsed.where("type = 'response'")
+    # records that repeat an id have one name; a revisit refers to any of them
+    named = responses.groupBy(F.col("name").alias("of")).agg(F.first("id").alias("owner"), F.first("bytes").alias("own_bytes"), F.first("digest").alias("own_digest"))
+    revisits = parsed.where("type = 'revisit'").join(named, F.col("to") == F.col("of"), "left")
+    same = F.assert_true(F.coalesce(F.concat(F.lit("sha1:"), F.col("own_digest")) == F.col("sha1"), F.lit(False)), "a revisit does not match what it refers to")
+    revisits = revisits.withColumn("broken", same).where("broken is null")
+    columns = lambda size, digest, to: ["id", F.col(size).alias("payload_bytes"), F.col(digest).alias("payload_digest"), F.col("type").alias("record_type"), to.alias("refers_to")]
+    out = responses.select(*columns("bytes", "digest", F.lit(None).cast("long")))
+    return out.unionByName(revisits.select(*columns("own_bytes", "own_digest", F.col("owner"))))
 
 
 def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:

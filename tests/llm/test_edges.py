@@ -271,6 +271,11 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(records) == 6 and sum(body == "<p>é</p>".encode() for _, body in records) == 1
     assert all(f["WARC-Type"] in ("response", "revisit") and "X" not in f for f, _ in records)
     assert spark.read.parquet(f"{folder}/blocks").count() == 2
+    wrong = spark.read.parquet(f"{folder}/blocks").withColumn("payload", F.concat("payload", F.lit(b"!")))
+    wrong.write.parquet(folder + "0/blocks")
+    spark.read.parquet(f"{folder}/headers").write.parquet(folder + "0/headers")
+    with pytest.raises(Exception, match="does not match its header"):
+        warc.read_index(spark, folder + "0").collect()
     warc.write_archive(pages, folder + "2", min_revisit_bytes=5)
     assert warc.read_index(spark, folder + "2").where("record_type = 'revisit'").count() == 3
     warc.write_archive(pages.limit(0), folder + "3")

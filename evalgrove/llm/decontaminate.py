@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 WINDOW = 10
 #: Words after A-Z have become a-z: what is left is 0-9, a-z and all beyond ASCII, here as UTF-8 bytes.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Bytes of benchmark text searched for at once; a larger benchmark takes several passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark words searched for at once; a larger benchmark takes several passes. Tables take about a hundred times as much.
+BLOCK_BYTES = 2 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -81,15 +81,29 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
-def _searcher(shared, window: int):
-    """Adds one block's spans and items to those that the rows carry from the blocks before."""
+#: The tables of a worker process, kept from task to task, by broadcast: those of the latest blocks.
+_BUILT: dict[tuple, tuple[dict, WuManber]] = {}
+KEPT = 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _tables(shared, key: str, window: int) -> tuple[dict, WuManber]:
+    """Whose each window of a block is, and the search for them."""
+    if (key, window) not in _BUILT:
         owners = defaultdict(list)
         for item, words in shared.value:
             for w in windows_of(words, window):
                 owners[w].append(item)
-        search = WuManber(owners)
+        while len(_BUILT) >= KEPT:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[key, window] = dict(owners), WuManber(owners)
+    return _BUILT[key, window]
+
+
+def _searcher(shared, key: str, window: int):
+    """Adds one block's spans and items to those that the rows carry from the blocks before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, search = _tables(shared, key, window)
         for batch in batches:
             n, spans, items = [], [], []
             for text, old, known in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items"))):
@@ -106,6 +120,10 @@ def _searcher(shared, window: int):
     return run
 
 
+def _key(part: list[tuple[str, list[bytes]]]) -> str:
+    return hashlib.blake2b(repr(part).encode(), digest_size=16).hexdigest()
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The benchmark in parts of bounded size, read one row at a time."""
     part, size = [], 0
@@ -136,14 +154,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sc = docs.sparkSession.sparkContext
     found = rows.withColumns({"spans": F.array().cast("array<struct<s:bigint,e:bigint>>"), "items": F.array().cast("array<string>")})
     for part in _blocks(items, block_bytes):
-        found = found.mapInArrow(_searcher(sc.broadcast(part), window), schema)
+        found = found.mapInArrow(_searcher(sc.broadcast(part), _key(part), window), schema)
     found = found.select("id", "n_words", "spans", "items")
     return found.withColumnRenamed("id", id_col)
 
 
-def _cleaner(shared, window: int, text_col: str):
+def _cleaner(shared, key: str, window: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = WuManber({w: [] for _, words in shared.value for w in windows_of(words, window)})
+        _, search = _tables(shared, key, window)
         for batch in batches:
             clean = [next(search.find(words_of(t)), None) is None for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
@@ -152,10 +170,13 @@ def _cleaner(shared, window: int, text_col: str):
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, in which no window of the benchmark occurs; a pass a block, nothing is shuffled."""
+    """The rows of docs, all columns, in which no window of the benchmark occurs; a pass a block, nothing is shuffled.
+
+    Null and wordless texts stay; rows that repeat are judged alike; an empty benchmark drops nothing. Ids are not read.
+    """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     for part in _blocks(items, block_bytes):
-        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(part), window, text_col), docs.schema)
+        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(part), _key(part), window, text_col), docs.schema)
     return docs
 
 

@@ -130,8 +130,12 @@ def _metadata(docs: DataFrame, meta_col: str | None):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_col: str | None = "n_chars", docs_limit: int = DOCS) -> Machine:
     sample = labelled_sample(docs, labels, docs_limit, [F.col(text_col).alias("text"), _metadata(docs, meta_col).alias("n_chars")], id_col)
     sample = sample.withColumn("_id", F.col("_id").cast("string"))
-    rows = sorted(sample.mapInArrow(_extractor(), "_id string, quality int, cols array<bigint>, vals array<double>").toArrow().to_pylist(), key=lambda r: (r["_id"], r["quality"], r["cols"], r["vals"]))
-    return Machine().fit([(np.array(r["cols"], int), np.array(r["vals"], float)) for r in rows], np.array([r["quality"] == 1 for r in rows], float))
+    found = sample.mapInArrow(_extractor(), "_id string, quality int, cols array<bigint>, vals array<double>").orderBy("_id").toArrow()
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in found.to_batches():  # arrays of the driver, at most a number for each of the model's columns a row
+        cuts = np.cumsum(batch.column("cols").value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        rows += zip(*(np.split(batch.column(c).flatten().to_numpy(zero_copy_only=False), cuts) for c in ("cols", "vals"))) if batch.num_rows else []
+    return Machine().fit(rows, (found.column("quality").to_numpy() == 1).astype(float))
 
 
 def _scorer(shared):

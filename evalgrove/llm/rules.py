@@ -1,10 +1,10 @@
 """Quality rules: plain counts, and a linear-chain conditional random field over a text's lines.
 
 The field labels each line content or boilerplate; Viterbi decoding finds the likeliest sequence, and the
-share of words in content lines decides whether a text stays. Line weights are trained piecewise: a
-logistic model on lines of labelled documents, each line taking its document's quality label, beside a
-fixed reward for staying in a state. The sample is bounded: DOCS documents of least id hash and LINES
-lines of each, evenly spaced.
+share of words in content lines decides whether a text stays. Line weights and the rewards for staying in either
+state are trained together, by the gradient of the sequences' likelihood, which the forward-backward sums give.
+Training sequences are the lines of labelled documents one after another, each line taking its document's quality
+label, so labels change within them. The sample is bounded: DOCS documents of least id hash, with all their lines.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .language import held_out
@@ -26,11 +26,14 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A text stays if at least this share of its words stands in content lines.
 MIN_CONTENT = 0.5
-#: Log reward of a line having the label of the line before.
-STAY = 1.5
+#: Labelled documents learned from.
 DOCS = 4000
-LINES = 40
 FEATURES = 10
+#: Training lines laid out side by side in sequences of this length; steps, rate and ridge of the training.
+SEQUENCE = 64
+STEPS = 120
+RATE = 0.1
+RIDGE = 1e-4
 
 
 class _Hashes(dict):
@@ -106,93 +109,137 @@ def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, float).reshape(len(rows), FEATURES), np.array(words, int)
 
 
-def viterbi(content: np.ndarray, stay: float = STAY) -> np.ndarray:
+class Field:
+    """Weights of the features towards content, and the rewards of two lines in a row being both boilerplate or both content."""
+
+    def __init__(self, weights: np.ndarray | None = None, stay: tuple[float, float] = (0.0, 0.0)):
+        self.weights = np.zeros(FEATURES) if weights is None else weights
+        self.stay = stay
+
+
+def viterbi(content: np.ndarray, stay: tuple[float, float]) -> np.ndarray:
     """Labels of the likeliest sequence: True for content. content: log odds of each line being content.
 
-    Only differences matter: d is the best score of ending in content less that of ending in boilerplate.
-    A step moves it to clip(d, -stay, stay) + odds; the clip says where the best path comes from.
+    Only differences matter: d is the best score of ending in content less that of ending in boilerplate. A
+    step moves it to max(d + stay[1], 0) - max(d, stay[0]) + odds; the maxima say where the best paths come from.
     """
     n = len(content)
+    low, high = stay
     d = np.empty(n)
     now = 0.0
     for i, x in enumerate(content.tolist()):
-        now = (stay if now > stay else -stay if now < -stay else now) + x if i else x
+        now = max(now + high, 0.0) - max(now, low) + x if i else x
         d[i] = now
     out = np.empty(n, bool)
     label = bool(n and d[-1] >= 0)
     for i in range(n - 1, -1, -1):
         out[i] = label
-        if i:  # staying pays unless the other state leads by more than its reward
-            before = d[i - 1]
-            label = before >= -stay if label else before > stay
+        if i:
+            label = d[i - 1] + high >= 0 if label else d[i - 1] > low
     return out
 
 
-def content_share(text: str, weights: np.ndarray) -> float:
+def content_share(text: str, field: Field) -> float:
     """Share of words in content lines; 0 for a text without words."""
     rows, words = lines_of(text)
     if not len(words):
         return 0.0
-    return float(words[viterbi(rows @ weights)].sum() / words.sum())
+    return float(words[viterbi(rows @ field.weights, field.stay)].sum() / words.sum())
 
 
-def fit(rows: np.ndarray, good: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic weights of content by Newton-scaled gradient steps; both classes weigh alike."""
-    if not len(rows) or good.all() or not good.any():
-        return np.zeros(rows.shape[1])
-    weight = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum())
-    hessian = 0.25 * (rows * weight[:, None]).T @ rows + ridge * np.eye(rows.shape[1])
-    w = np.zeros(rows.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        w -= np.linalg.solve(hessian, rows.T @ (weight * (p - good)) + ridge * w)
-    return w
+def gradient(odds: np.ndarray, good: np.ndarray, real: np.ndarray, stay: tuple[float, float]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of the labels, its gradient by each line's odds and by the two rewards.
 
-
-def _sampler(lines: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y, x = [], []
-            for text, quality in zip(batch.column("text").to_pylist(), batch.column("quality").to_pylist()):
-                rows, _ = lines_of(text or "")
-                at = np.unique(np.linspace(0, len(rows) - 1, min(lines, len(rows))).astype(int)) if len(rows) else []
-                x += rows[at].tolist() if len(at) else []
-                y += [quality] * len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
-
-    return run
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, columns: list[str], id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    Arrays are (sequence, place); real marks the places that hold a line, which come first.
+    """
+    n, length = odds.shape
+    low, high = stay
+    ahead, total = np.zeros((length, n, 2)), np.zeros((n, 2))
+    a = np.stack([np.zeros(n), odds[:, 0]], axis=1)
+    ahead[0] = a
+    for t in range(1, length):
+        step = np.stack([np.logaddexp(a[:, 0] + low, a[:, 1]), np.logaddexp(a[:, 0], a[:, 1] + high) + odds[:, t]], axis=1)
+        a = np.where(real[:, t, None], step, a)
+        ahead[t] = a
+    norm = np.logaddexp(a[:, 0], a[:, 1])
+    by_line, by_stay = np.zeros((n, length)), np.zeros(2)
+    b = np.zeros((n, 2))
+    score = -float(norm.sum()) + float((odds * (good & real)).sum())
+    for t in range(length - 1, -1, -1):
+        by_line[:, t] = np.where(real[:, t], good[:, t] - np.exp(ahead[t][:, 1] + b[:, 1] - norm), 0.0)
+        if t:
+            both = real[:, t]
+            here = b + np.stack([np.zeros(n), odds[:, t]], axis=1)
+            before = ahead[t - 1]
+            for k, reward in enumerate(stay):
+                seen = both & (good[:, t] == k) & (good[:, t - 1] == k)
+                score += reward * int(seen.sum())
+                by_stay[k] += seen.sum() - np.where(both, np.exp(before[:, k] + reward + here[:, k] - norm), 0.0).sum()
+            step = np.stack([np.logaddexp(here[:, 0] + low, here[:, 1]), np.logaddexp(here[:, 0], here[:, 1] + high)], axis=1)
+            b = np.where(both[:, None], step, b)
+    return score, by_line, by_stay
+
+
+def fit(rows: np.ndarray, good: np.ndarray, steps: int = STEPS) -> Field:
+    """The field of greatest likelihood of the lines' labels, less a ridge; both classes' documents count as they come."""
+    if not len(rows) or good.all() or not good.any():
+        return Field()
+    n = -(-len(rows) // SEQUENCE)
+    x = np.zeros((n * SEQUENCE, rows.shape[1]))
+    x[: len(rows)] = rows
+    y = np.zeros(n * SEQUENCE, bool)
+    y[: len(rows)] = good
+    real = (np.arange(n * SEQUENCE) < len(rows)).reshape(n, SEQUENCE)
+    y = y.reshape(n, SEQUENCE)
+    at = np.zeros(rows.shape[1] + 2)
+    mean, power = np.zeros_like(at), np.zeros_like(at)
+    for step in range(1, steps + 1):  # Adam on the mean log likelihood
+        _, by_line, by_stay = gradient((x @ at[:-2]).reshape(n, SEQUENCE), y, real, (at[-2], at[-1]))
+        g = np.append(by_line.reshape(-1) @ x, by_stay) / len(rows) - RIDGE * at
+        mean, power = 0.9 * mean + 0.1 * g, 0.999 * power + 0.001 * g**2
+        at += RATE * mean / (1 - 0.9**step) / (np.sqrt(power / (1 - 0.999**step)) + 1e-8)
+    return Field(at[:-2].copy(), (float(at[-2]), float(at[-1])))
+
+
+def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = [lines_of(text or "")[0].ravel() for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("quality"), pa.array(lines, pa.list_(pa.float64()))], ["_id", "quality", "lines"])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, columns: list[Column], id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """At most limit labelled rows that aren't held out, of least id hash, with label and columns of docs.
 
-    Conflicting labels of one id: the least counts.
+    Conflicting labels of one id: the least counts. Of rows that repeat an id, the one of least columns.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    rows = docs.select(F.col(id_col).alias("_row"), *columns)
-    return rows.join(F.broadcast(known), F.col("_row") == F.col("_id")).drop("_row")
+    rows = docs.select(F.col(id_col).alias("_row"), *columns).join(F.broadcast(known), F.col("_row") == F.col("_id"))
+    one = Window.partitionBy("_id").orderBy(*[c for c in rows.columns if c not in ("_row", "_id", "quality")])
+    return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_row", "_nth")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_limit: int = DOCS, lines: int = LINES) -> np.ndarray:
-    sample = labelled_sample(docs, labels, docs_limit, [F.col(text_col).alias("text")], id_col)
-    rows = sample.select("quality", "text").mapInArrow(_sampler(lines), "y int, x array<double>").orderBy("y", "x").toArrow()
-    x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, FEATURES)
-    return fit(x, np.array(rows.column("y").to_pylist(), int) == 1)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_limit: int = DOCS) -> Field:
+    sample = labelled_sample(docs, labels, docs_limit, [F.col(text_col).alias("text")], id_col).select(F.col("_id").cast("string").alias("_id"), "quality", "text")
+    found = sample.mapInArrow(_sampler, "_id string, quality int, lines array<double>").orderBy(F.xxhash64("_id"), "_id").toArrow().combine_chunks()
+    lines = found.column("lines").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.float64()))
+    rows = lines.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+    number = lines.value_lengths().to_numpy(zero_copy_only=False) // FEATURES
+    return fit(rows, np.repeat(found.column("quality").to_numpy() == 1, number))
 
 
-def _judge(weights: np.ndarray):
+def _judge(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            out = [(*counts(t or "", known), content_share(t or "", weights)) for t in batch.column("text").to_pylist()]
+            out = [(*counts(t or "", known), content_share(t or "", field)) for t in batch.column("text").to_pylist()]
             columns = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.float64())], ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content"])
 
     return run
 
 
-def judge(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", min_content: float = MIN_CONTENT) -> DataFrame:
+def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", min_content: float = MIN_CONTENT) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content, base_failed, kept) of every row.
 
     A null text counts as empty: no words, base_failed, not kept. Rows that repeat are rows of their own.
@@ -201,6 +248,6 @@ def judge(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_judge(weights), f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content double")
+    out = rows.mapInArrow(_judge(field), f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("content") >= min_content)).withColumnRenamed("id", id_col)

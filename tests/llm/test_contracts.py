@@ -98,6 +98,44 @@ def test_quality(spark, medium, docs):
     assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_quality_by_brute_force(spark, small):
+    """Scores of all documents with every pair of inputs summed one by one."""
+    import math
+
+    import numpy as np
+    from evalgrove.llm import quality
+
+    frame = spark.read.parquet(f"{small}/documents.parquet")
+    machine = quality.train(frame, spark.read.parquet(f"{small}/labels.parquet"))
+    got = result(q.op6_quality(spark, small))
+    for d in brute.rows(small, "documents"):
+        cols, x = quality.inputs(d["text"], d["n_chars"], quality._Columns())
+        inner = (machine.v[cols] @ machine.v[cols].T) * np.outer(x, x)
+        raw = machine.b + float(machine.w[cols] @ x) + float(np.triu(inner, 1).sum())
+        assert got[d["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, raw)))), rel=1e-6)
+
+
+def test_rules_by_brute_force(spark, medium, docs):
+    """Kept or not, by the textbook recursion over both labels of every line."""
+    from evalgrove.llm import rules
+
+    field = rules.train(spark.read.parquet(f"{medium}/documents.parquet"), spark.read.parquet(f"{medium}/labels.parquet"))
+    got = result(q.op8_rules(spark, medium))
+    for d in docs:
+        lines, words = rules.lines_of(d["text"] or "")
+        paths = [(0.0, 0), (0.0, 0)]
+        for t, (x, n) in enumerate(zip(lines, words.tolist())):
+            own = (0.0, float(x @ field.weights))
+            after = []
+            for y in (0, 1):
+                options = [(paths[z][0] + (field.stay[y] if z == y else 0.0) + own[y], paths[z][1] + n * y) for z in (0, 1)] if t else [(own[y], n * y)]
+                after.append(max(options, key=lambda o: o[0]))
+            paths = after
+        share = max(paths, key=lambda p: p[0])[1] / words.sum() if len(words) else 0.0
+        r = got[d["doc_id"]]
+        assert r["kept"] == (not r["base_failed"] and share >= rules.MIN_CONTENT) and r["content"] == pytest.approx(share)
+
+
 def test_rules(spark, medium, docs):
     got = result(q.op8_rules(spark, medium))
     for d in docs:
@@ -108,6 +146,8 @@ def test_rules(spark, medium, docs):
     labels = {r["doc_id"]: r["quality"] for r in brute.rows(medium, "labels")}
     clean = [k for k, y in labels.items() if y == 1 and not got[k]["base_failed"]]
     assert sum(got[k]["kept"] for k in clean) >= 0.98 * len(clean)
+    junk = [k for k, y in labels.items() if y == 0 and not got[k]["base_failed"]]
+    assert sum(not got[k]["kept"] for k in junk) >= 0.9 * len(junk)
 
 
 def test_sentence_spans(spark, small):

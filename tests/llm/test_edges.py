@@ -224,12 +224,42 @@ def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(2)
     for _ in range(300):
         odds = rng.normal(0, 2, int(rng.integers(1, 8)))
+        stay = tuple(rng.normal(1, 1.5, 2).tolist())
 
         def total(labels):
-            return sum(o for o, y in zip(odds, labels) if y) + rules.STAY * sum(a == b for a, b in zip(labels, labels[1:]))
+            return sum(o for o, y in zip(odds, labels) if y) + sum(stay[a] for a, b in zip(labels, labels[1:]) if a == b)
 
         every = [tuple(bool(k >> i & 1) for i in range(len(odds))) for k in range(2 ** len(odds))]
-        assert total(tuple(rules.viterbi(odds).tolist())) == pytest.approx(max(map(total, every)))
+        assert total(tuple(rules.viterbi(odds, stay).tolist())) == pytest.approx(max(map(total, every)))
+
+
+def test_likelihood_and_gradient_of_the_field():
+    """Against sums over all label sequences, and against differences."""
+    rng = np.random.default_rng(3)
+    odds, good = rng.normal(0, 1, (3, 5)), rng.random((3, 5)) < 0.5
+    real = np.arange(5) < np.array([[5], [3], [1]])
+    stay = np.array([0.7, -0.4])
+
+    def total(o, y, s):
+        return sum(x for x, k in zip(o, y) if k) + sum(s[a] for a, b in zip(y, y[1:]) if a == b)
+
+    def likelihood(odds, stay):
+        out = 0.0
+        for o, y, r in zip(odds, good, real):
+            n = int(r.sum())
+            every = [[k >> i & 1 for i in range(n)] for k in range(2**n)]
+            out += total(o[:n], y[:n].astype(int).tolist(), stay) - np.log(sum(np.exp(total(o[:n], e, stay)) for e in every))
+        return out
+
+    score, by_line, by_stay = rules.gradient(odds, good, real, tuple(stay))
+    assert score == pytest.approx(likelihood(odds, stay))
+    for i, t in ((0, 0), (0, 3), (1, 2), (2, 0), (1, 4)):
+        move = np.zeros_like(odds)
+        move[i, t] = 1e-5
+        assert by_line[i, t] == pytest.approx((likelihood(odds + move, stay) - likelihood(odds - move, stay)) / 2e-5, abs=1e-6)
+    for k in (0, 1):
+        move = np.eye(2)[k] * 1e-5
+        assert by_stay[k] == pytest.approx((likelihood(odds, stay + move) - likelihood(odds, stay - move)) / 2e-5, abs=1e-6)
 
 
 def test_pairs_in_linear_time():

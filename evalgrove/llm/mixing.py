@@ -52,8 +52,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: fl
 
 
 def offset(source: Column, seed: int) -> Column:
-    """A number in [0, 1) for each source, the same in every run."""
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce(source, F.lit("\x00null")), F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+    """A number in [0, 1) for each source, the same in every run: 48 bits of a digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = 1) -> DataFrame:
@@ -76,15 +77,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     parts = parts.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    parts = parts.select(F.col("part").alias("p"), F.col("source").alias("s"), "first", "before", "source_size", "target")
+    parts = parts.select(F.col("part").alias("p"), F.col("source").alias("s"), "first", "before", "source_size", "target", offset(F.col("source"), seed).alias("u"))
 
     joined = ordered.join(parts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     rank = F.col("before") + F.col("at") - F.col("first")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rate = F.least(rate, F.lit(float(max_repeat)))
     whole, part = F.floor(rate), rate - F.floor(rate)
-    u = offset(F.col("source"), seed)
-    copies = (whole + F.floor((rank + 1) * part + u) - F.floor(rank * part + u)).cast("long")
+    copies = (whole + F.floor((rank + 1) * part + F.col("u")) - F.floor(rank * part + F.col("u"))).cast("long")
     return joined.withColumn("copies", copies).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

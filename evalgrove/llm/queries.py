@@ -68,7 +68,59 @@ QUERIES = {
 _LOW = "coalesce(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _BENCH_WORDS = "regexp_extract_all(" + _LOW.format(x="text") + ", '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
+_SECRETS = {
+    "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]{16,}",
+    "hex": "[0-9a-f]{24,}",
+    "token": "[A-Za-z0-9_-]{24,}",
+}
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS w, regexp_extract_all(t, '{p}', {2 if kind == 'assign' else 0}) AS v, string_split_regex(t, '{p}') AS g FROM d"
+    for rank, (kind, p) in enumerate(_SECRETS.items(), 1)
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, source_size * 3.0::DOUBLE AS most FROM s),
+l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(most) OVER r, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER r, 0)) AS level FROM w
+  WINDOW r AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(most, coalesce(min_by(level, most / weight) FILTER (WHERE most > level * weight) OVER () * weight, most)) AS target FROM l),
+n AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS k,
+  least(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END, 3.0::DOUBLE) AS rate,
+  ('0x' || substr(md5(concat('1/', coalesce('s' || d.source, 'null'))), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, (floor(rate) + floor((k + 1) * (rate - floor(rate)) + u) - floor(k * (rate - floor(rate)) + u))::BIGINT AS copies FROM n)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM c
+""",
+    "op2_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format(x="text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct([array_to_string(w[i:i + least(len(w), 3) - 1], ' ') for i in range(1, greatest(len(w) - 2, 1) + 1)]) AS g FROM d WHERE len(w) > 0),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(doc_id, low) AS (SELECT a, a FROM links UNION SELECT links.b, r.low FROM r JOIN links ON r.doc_id = links.a WHERE r.low < links.b),
+c AS (SELECT doc_id, min(low) AS low FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(len(s.g), 0)::BIGINT AS n_shingles, coalesce(c.low, d.doc_id) AS component_id, coalesce(c.low, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
+""",
+    "op4_secret_scan": f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({_MATCHES}),
+x AS (SELECT doc_id, source, rank, kind, i, length(w[i]) AS n, v[i] AS v, length(g[i]) AS gap FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m WHERE len(w) > 0)),
+y AS (SELECT *, sum(gap + n) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM x),
+z AS (SELECT *, e - n AS s FROM y WHERE CASE kind WHEN 'assign' THEN length(v) >= 6 WHEN 'token' THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') ELSE TRUE END),
+o AS (SELECT v, count(DISTINCT doc_id) <= {secrets.MAX_REPOSITORIES} AND count(DISTINCT coalesce('s' || source, 'null')) <= {secrets.MAX_OWNERS} AS live FROM z GROUP BY 1),
+b AS (SELECT * FROM z WHERE kind <> 'token'),
+k AS (SELECT z.doc_id, z.kind, z.rank, z.s, z.e, o.live FROM z JOIN o ON z.v = o.v WHERE z.kind <> 'token' OR o.live AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = z.doc_id AND b.s < z.e AND b.e > z.s)),
+j AS (SELECT doc_id, count_if(kind = 'assign') AS a, count_if(kind = 'access') AS c, count_if(kind = 'hex') AS h, count_if(kind = 'token') AS t, count_if(live) AS l,
+  string_agg(concat(kind, ':', s::BIGINT, ':', e::BIGINT), ',' ORDER BY s, rank) FILTER (WHERE kind <> 'token') AS base, string_agg(concat(kind, ':', s::BIGINT, ':', e::BIGINT), ',' ORDER BY s, rank) AS every FROM k GROUP BY 1)
+SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans,
+  coalesce(l, 0)::BIGINT AS n_live, coalesce(j.t, 0)::BIGINT AS n_token
+FROM d LEFT JOIN j ON d.doc_id = j.doc_id
+""",
     "op3_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, k, substr(h, 2 * k - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS k FROM d WHERE length(h) >= 100)),

@@ -23,18 +23,16 @@ the text that all strings with one least hash cover. Then
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged
+from .common import Staged, release
 
 SIZE = 50
 GRAM = 16
@@ -45,10 +43,16 @@ PART = 4096
 #: Bytes of runs whose fingerprints are compared together, and symbols that are sorted together, if not of one least hash.
 FETCHED = 1 << 20
 TEXT = 1 << 15
+#: Bytes of text whose runs' numbers make up a part, about: a part is held in memory at a time, at about three bytes a byte.
+PART_BYTES = 64 << 20
 #: Runs a batch of documents holds before it is sent.
 HELD = 1_000_000
 
 
+#: A suffix whose previous smaller group is not known yet.
+UNSET = -2
+
+
 def suffix_array(text: list[int]) -> list[int]:
     """Starts of the suffixes in ascending order. The last symbol must be smaller than all others."""
     n = len(text)
@@ -71,23 +75,28 @@ def suffix_array(text: list[int]) -> list[int]:
     for c in range(width):
         if place[c] > start[c]:
             size[start[c]] = place[c] - start[c]
-    previous = [-1] * n
+    previous = [UNSET] * n
 
     end = n - 1
     while end >= 0:
         first = group[order[end]]
-        if first == end:
-            members = order[first:end + 1]
-        else:
-            members = sorted(order[first : end + 1])
+        members = order[first : end + 1]
         pointed: dict[int, int] = {}
-        for i in members:
-            p = i - 1
-            while p >= 0 and group[p] >= first:
-                p = previous[p]
-            previous[i] = p
-            if p >= 0:
-                pointed[p] = pointed.get(p, 0) + 1
+        for i in members:  # in any order: one that another waits for is settled before it
+            if previous[i] != UNSET:
+                continue
+            waiting, p = [i], i - 1
+            while waiting:
+                while p >= 0 and group[p] >= first and previous[p] != UNSET:
+                    p = previous[p]
+                if p >= 0 and group[p] >= first:  # of the same group, not yet settled
+                    waiting.append(p)
+                    p -= 1
+                    continue
+                i = waiting.pop()
+                previous[i] = p
+                if p >= 0:
+                    pointed[p] = pointed.get(p, 0) + 1
         end = first - 1
         if not pointed:
             continue
@@ -500,27 +509,17 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in (n, gone, count)), pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps before the next ones are written.
-
-    Spark deletes them once the driver has collected their handles; the second call takes what the first
-    made unreachable.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(id, s, e): byte spans, possibly overlapping, of strings of size bytes that start in a document of smaller id."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sent = rows.mapInArrow(_scanner(2 * n, size), "part long, rows binary")
+    total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    parts = max(2 * n, -(-total // PART_BYTES))
+    sent = rows.mapInArrow(_scanner(parts, size), "part long, rows binary")
     sent = sent.repartition(n, "part").sortWithinPartitions("part")
     found = Staged(sent.mapInArrow(_decider(PART), ROWS), "runs")
-    _release(spark)
+    release(spark)
 
     told = found.df.where(F.col("kind") == CLASS).select(F.col("h").alias("h1"), F.col("g").alias("g1"), F.col("id").alias("first"), F.col("of").alias("of1"))
     members = found.df.where(F.col("kind") == MEMBER).drop("of").join(told, (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1")))
@@ -532,7 +531,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = asked.withColumn("part", F.pmod("g", "of").cast("int")).groupBy(F.col("id").alias("of_id")).agg(F.collect_list(F.struct("h", "part", "of", "start", "n")).alias("asked"))
     held = rows.join(asked, F.col("id") == F.col("of_id")).select("id", "text", "asked")
     strings = Staged(held.mapInArrow(_fetcher(size), "h long, part int, of int, id long, start int, s binary"), "strings")
-    _release(spark)
+    release(spark)
 
     dealt = lambda some: strings.df.where(some).repartition(n, "h", "part").sortWithinPartitions("h", "part")
     compared = dealt("of = 1").mapInArrow(_sorter(size), SPAN_COLUMNS)
@@ -542,7 +541,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = Staged(whole.unionByName(compared).unionByName(merged), "spans")
     for done in (found, strings, parted):
         done.drop()
-    _release(spark)
+    release(spark)
     return spans.df
 
 

@@ -29,7 +29,7 @@ REFUSAL_PATTERNS = (
     r"\bimpossible to (?:determine|identify|tell|say)\b",
     r"\bnot possible to (?:determine|identify|tell)\b",
 )
-#: Categories of a judged answer that support its verdict.
+#: Categories of a judged answer that support its verdict.
 SUPPORTED = ("exact", "alias", "contains_answer", "contains_alias")
 
 
@@ -84,18 +84,35 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def bound(value: Column, then) -> Column:
+    """then(value) with value evaluated once a row, not once for each place of a lambda inside."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def ngrams(text: Column, n: int) -> Column:
     """Distinct n-grams of words; empty if there are fewer words."""
-    w = words(text)
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return bound(words(text), grams)
+
+
+def char_grams(text: Column, n: int) -> Column:
+    """Distinct substrings of n characters; empty if there are fewer characters."""
+
+    def grams(c: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))
+        return F.when(F.size(c) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.filter(F.split(text, ""), lambda c: c != ""), grams)
 
 
 def ngram_overlap(prediction: Column, label: Column, n: int = 2) -> Column:
     """Share of the label's n-grams that the prediction has; 0 if the label has none."""
-    of_label = ngrams(label, n)
-    both = F.size(F.array_intersect(ngrams(prediction, n), of_label))
-    return F.when(F.size(of_label) > 0, both / F.size(of_label)).otherwise(F.lit(0.0))
+    share = lambda g: F.when(F.size(g) > 0, F.size(F.array_intersect(ngrams(prediction, n), g)) / F.size(g)).otherwise(F.lit(0.0))
+    return bound(ngrams(label, n), share)
 
 
 def contained(prediction: Column, label: Column) -> Column:

@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 from evalgrove.functions import metrics as M
 from evalgrove.functions import text as T
+from evalgrove.sources.staging import staged
 
 BROADCAST_NODES = 200_000
+#: Characters of the substrings that containment is looked up by.
+GRAM = 4
+#: Vectors of nodes that are broadcast at once.
+BLOCK_VECTORS = 50_000
 
 
 def hinted(nodes: DataFrame) -> DataFrame:
@@ -29,10 +34,24 @@ def exact_hits(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def contained_hits(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The same where the label is part of the text, inside words too; the empty label is part of every text."""
+    """The same where the label is part of the text, inside words too; the empty label is part of every text.
+
+    Nodes are indexed by one substring of GRAM characters each, the one that fewest nodes have, or by the whole
+    label if it is shorter; texts meet them by their own substrings, and only those that meet are compared.
+    """
     key = T.normalize_scores(T.clean_full(F.col("text")))
-    keyed = hinted(nodes.select("label", "path", "ord", T.normalize_scores(F.col("label")).alias("_k")))
-    return texts.withColumn("_t", key).join(keyed, F.contains("_t", "_k")).select("text", "label", "path", "ord", F.lit(1.0).alias("score"))
+    keyed = nodes.select("label", "path", "ord", T.normalize_scores(F.col("label")).alias("_k")).withColumn("_m", F.least(F.length("_k"), F.lit(GRAM)))
+    sized = lambda x, m: F.coalesce(*[F.when(m == n, T.char_grams(x, n)) for n in range(1, GRAM + 1)])
+    each = keyed.where("_m > 0").select("ord", F.explode(sized(F.col("_k"), F.col("_m"))).alias("_g"))
+    held = each.groupBy("_g").agg(F.count("*").alias("_n"))
+    rarest = each.join(held, "_g").groupBy("ord").agg(F.min(F.struct("_n", "_g")).alias("_r")).select(F.col("ord").alias("_o"), F.col("_r._g").alias("_g"))
+    index = hinted(keyed.join(rarest, F.col("ord") == F.col("_o")).drop("_o", "_m"))
+    own = texts.withColumn("_t", key)
+    grams = own.select("text", "_t", F.explode(F.concat(*[T.char_grams(F.col("_t"), n) for n in range(1, GRAM + 1)])).alias("_h"))
+    hits = grams.join(index, (F.col("_h") == F.col("_g")) & F.contains("_t", "_k"))
+    everywhere = texts.crossJoin(hinted(keyed.where("_m = 0")))
+    columns = ("text", "label", "path", "ord", F.lit(1.0).alias("score"))
+    return hits.select(*columns).unionByName(everywhere.select(*columns))
 
 
 MEASURES = {"exact_match": exact_hits, "contained": contained_hits}
@@ -69,16 +88,24 @@ def lexical_hits(texts: DataFrame, nodes: DataFrame, n: int = 2) -> DataFrame:
     return counted.select("text", "label", "path", "ord", "score")
 
 
-def nearest(queries: DataFrame, nodes: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
+def nearest(queries: DataFrame, nodes: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = BLOCK_VECTORS) -> DataFrame:
     """(key, rank, label, ord, score): the k nodes of largest cosine, ties by ord.
 
-    nodes (label, ord, embedding) are broadcast under the bound on nodes; a window group limit keeps k rows
-    a task and query before anything is shuffled.
+    nodes (label, ord, embedding) are broadcast a block at a time; a window group limit keeps k rows a task and
+    query before anything is shuffled, and the blocks' best are ranked once more.
     """
-    right = hinted(nodes.select("label", "ord", F.col(vector).alias("_v")))
-    scored = queries.select(key, vector).crossJoin(right).select(key, "label", "ord", M.cosine(F.col(vector), F.col("_v")).alias("score"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "ord"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), "ord")
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    right = nodes.select("label", "ord", F.col(vector).alias("_v"))
+    blocks = max(1, -(-nodes.count() // block))
+    found = None
+    for b in range(blocks):
+        part = right if blocks == 1 else right.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == b)
+        scored = best(queries.select(key, vector).crossJoin(F.broadcast(part)).select(key, "label", "ord", M.cosine(F.col(vector), F.col("_v")).alias("score")))
+        if blocks > 1:
+            scored = staged(scored.drop("rank"), "nearest")
+        found = scored if found is None else found.unionByName(scored)
+    return found if blocks == 1 else best(found)
 
 
 def _deepest(candidates: Column, method: str) -> Column:

@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Columns that judging and scoring add, dropped when samples are taken from a later stage.
+#: Columns that judging and scoring add, dropped when samples are taken from a later stage.
 LATER_PREFIXES = ("judge_", "exact_match_", "contained_", "cascade_", "sentence_bert_", "scored_")
 LATER_COLUMNS = ("scored_reference_path", "hP", "hR", "hF", "exact_match", "mapping_method")
-STALE_COLUMNS = ("hP", "hR", "hF", "exact_match", "predicted_node", "predicted_path", "mapping_method")
+#: Columns that scoring without prefixes left in older files.
+STALE_COLUMNS = ("scored_predicted_node", "scored_predicted_path", "hP", "hR", "hF", "exact_match", "mapping_method")
+#: Hex digits of a hash by which keys are counted.
+PREFIX = 4
 
 
 def explode_rollouts(rows: DataFrame, key: str, texts: str = "all_texts", verdicts: str | None = None) -> DataFrame:
@@ -141,10 +144,14 @@ def hash_split(keys: DataFrame, key: str, shares: dict[str, float], seed: str =
 
     Shares are cut by rank, so every run and every partitioning gives the same split.
     """
-    order = Window.orderBy("_h", key)
-    ranked = keys.select(key).distinct().withColumn("_h", F.md5(F.concat(F.lit(seed + "/"), F.col(key).cast("string"))))
-    total = Window.partitionBy()
-    ranked = ranked.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(total))
+    hashed = keys.select(key).distinct().withColumn("_h", F.md5(F.concat(F.lit(seed + "/"), F.col(key).cast("string"))))
+    hashed = hashed.withColumn("_p", F.substring("_h", 1, PREFIX))
+    # at most 16 ** PREFIX counts are summed in one task; ranks are taken within the prefixes
+    counts = hashed.groupBy(F.col("_p").alias("_q")).agg(F.count("*").alias("_c"))
+    upto = Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_q", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    ranked = hashed.join(F.broadcast(counts), F.col("_p") == F.col("_q"))
+    ranked = ranked.withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)))
     split, upto = None, 0.0
     for name, part in shares.items():
         upto += part

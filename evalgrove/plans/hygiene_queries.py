@@ -138,7 +138,7 @@ def tolerant_jsonl(t: Tables) -> DataFrame:
 
 _FILES = (
     "(SELECT concat('logs/', source) AS run_dir, name, (doc_id % 100)::BIGINT AS rows FROM (SELECT *, CASE doc_id % 13 WHEN 0 THEN 'a_samples.jsonl' WHEN 1 THEN 'a_samples_shard0.jsonl' WHEN 2 THEN 'a_samples_judged_m.jsonl' WHEN 3 THEN 'a_judged_shard1.jsonl' "
-    "WHEN 4 THEN 'a_scored.jsonl' WHEN 5 THEN 'a_results_m.json' ELSE 'log.txt' END AS name FROM {documents}) WHERE doc_id < 60 * (1 + substring(source, 4)::INT))"
+    "WHEN 4 THEN 'a_scored.jsonl' WHEN 5 THEN 'a_results_m.json' ELSE 'log.txt' END AS name FROM {documents}))"
 )
 
 
@@ -155,8 +155,7 @@ def run_catalog(t: Tables) -> DataFrame:
 def _catalog(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 13
     name = F.when(k == 0, "a_samples.jsonl").when(k == 1, "a_samples_shard0.jsonl").when(k == 2, "a_samples_judged_m.jsonl").when(k == 3, "a_judged_shard1.jsonl").when(k == 4, "a_scored.jsonl").when(k == 5, "a_results_m.json").otherwise("log.txt")
-    rows = t.documents.where(F.col("doc_id") < 60 * (1 + F.substring("source", 4, 9).cast("int")))
-    found = rows.select(F.concat(F.lit("logs/"), "source").alias("run_dir"), name.alias("name"), (F.col("doc_id") % 100).alias("rows"))
+    found = t.documents.select(F.concat(F.lit("logs/"), "source").alias("run_dir"), name.alias("name"), (F.col("doc_id") % 100).alias("rows"))
     runs = found.select("run_dir").distinct().where(~F.endswith("run_dir", F.lit("3")))
     path = F.when(F.endswith("run_dir", F.lit("5")), "aligned.jsonl").otherwise("plain.jsonl")
     meta = runs.select("run_dir", F.lit("Lab/Model-8B-it").alias("model"), path.alias("dataset_path"), F.lit("barebones").alias("prompt"), F.lit(False).alias("no_image"), F.lit(2).alias("num_shards"), F.lit(7).alias("shard_examples"))

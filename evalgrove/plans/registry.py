@@ -42,7 +42,7 @@ VIEWS = {
     # aliases of parts: the brand, the type and a number
     "part_aliases": "SELECT DISTINCT p_name AS label, p_type AS alias FROM {part} UNION SELECT DISTINCT p_name, concat('the ', p_name) FROM {part} UNION SELECT DISTINCT p_name, CAST(p_size AS STRING) FROM {part}",
     "texts": "SELECT doc_id, text FROM {documents} UNION ALL SELECT n_nationkey - 100, concat('A: ', n_name, '. <s>Is-it?</s>') FROM {nation} "
-    "UNION ALL SELECT page_id - 100000, concat('x<|end_header_id|>', substring(html, 1, 400), '!<|eot_id|>y') FROM {pages}",
+    "UNION ALL SELECT page_id - 100000, concat('x<|end_header_id|>', html, '!<|eot_id|>y') FROM {pages}",
     # judge replies built from lines, two completions an answer
     "replies": "SELECT l_orderkey AS example_id, l_linenumber AS idx, l_partkey AS part_id, l_suppkey AS supp_id, 0 AS completion, "
     "CASE l_partkey % 4 WHEN 0 THEN '<answer>1</answer>' WHEN 1 THEN '<answer>1</answer> no: <answer> 0 </answer>' WHEN 2 THEN 'no idea' ELSE '<answer>0</answer> x <answer> 1 </answer>' END AS reply, "

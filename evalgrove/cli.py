@@ -1,19 +1,25 @@
-"""Command line over JSON-line files: score, audit, dedup, repair, catalog, prepare, questions.
+"""Command line over JSON-line files: score, aggregate, judge, infer, rsa, audit, dedup, repair, prepare, questions, index, catalog, latest.
 
     python -m evalgrove.cli score samples.jsonl --chains chains.jsonl --measure all --out scored --results results
+
+Models are clients, functions of (prompts, n) that return n replies a prompt, named by --client module:function and called
+on the executors; --replies replays a JSON-line file of (prompt, completion, reply) instead.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgrove.operators import audit as A
+from evalgrove.operators import judge as J
 from evalgrove.operators import match as M
 from evalgrove.operators import questions as Q
 from evalgrove.operators import rollouts as R
+from evalgrove.operators import runs as N
 from evalgrove.operators import taxonomy as X
 from evalgrove.plans import pipelines
 from evalgrove.sources import files, schemas
@@ -23,7 +29,11 @@ def _ordered(df: DataFrame) -> DataFrame:
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 
-def _index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def _index(spark: SparkSession, path: str | None, saved: str | None = None) -> dict[str, DataFrame]:
+    if saved:
+        return pipelines.load_index(spark, saved)
+    if not path:
+        raise SystemExit("--chains or --index is needed")
     return pipelines.taxonomy_index(files.read_chains(_ordered(files.read_jsonl(spark, path, schemas.CHAINS))))
 
 
@@ -35,12 +45,93 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
     measures = tuple(M.MEASURES) if a.measure == "all" else (a.measure,)
     if set(measures) - set(known):
         raise SystemExit(f"unknown measure {a.measure!r}, known: {', '.join((*known, 'all'))}")
-    scored = pipelines.score_rows(rows, _index(spark, a.chains), measures, a.top_k, a.min_score)
+    scored = pipelines.score_rows(rows, _index(spark, a.chains, a.index), measures, a.top_k, a.min_score)
     scored.write.mode("overwrite").json(a.out)
-    results = files.metrics_json(pipelines.run_results(spark.read.schema(scored.schema).json(a.out), a.run, a.strict))
+    _write_results(spark.read.schema(scored.schema).json(a.out), a)
+
+
+def _write_results(scored: DataFrame, a: argparse.Namespace) -> None:
+    results = files.metrics_json(pipelines.run_results(scored, a.run, a.strict))
     results.select(F.col("results").alias("value")).coalesce(1).write.mode("overwrite").text(a.results)
 
 
+def aggregate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The results of a file that is scored already."""
+    _write_results(spark.read.json(a.input), a)
+
+
+def index(spark: SparkSession, a: argparse.Namespace) -> None:
+    pipelines.save_index(_index(spark, a.input), a.out)
+
+
+def _source(spark: SparkSession, a: argparse.Namespace, n: int = 1):
+    if bool(a.client) == bool(a.replies):
+        raise SystemExit("one of --client and --replies is needed")
+    if a.replies:
+        return J.replay(files.read_jsonl(spark, a.replies, schemas.REPLIES))
+    module, _, name = a.client.partition(":")
+    found = importlib.import_module(module)  # a wrong name fails here, not on the executors
+    if not hasattr(found, "__path__"):
+        spark.sparkContext.addPyFile(found.__file__)
+    return J.complete_with(lambda prompts, n: getattr(importlib.import_module(module), name)(prompts, n), n)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _rows(spark: SparkSession, a: argparse.Namespace, schema: str) -> DataFrame:
+    """The input's rows, the first of them if a number is given, without those in the output if it is resumed."""
+    rows = files.read_jsonl(spark, a.input, schema)
+    if a.max_examples:
+        rows = R.limit_first(_ordered(rows), a.max_examples).drop("ord")
+    if not _exists(spark, a.out) or a.overwrite:
+        return rows
+    if not a.resume:
+        raise SystemExit(f"{a.out} is there already: --resume or --overwrite")
+    return R.remaining(rows, files.read_jsonl(spark, a.out, schema).select("data_id"), "data_id")
+
+
+def judge(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = R.strip_columns(_rows(spark, a, schemas.JUDGED), prefixes=("judge_",))
+    files.write_jsonl(pipelines.judge_rows(rows, _source(spark, a, a.votes), a.structured), a.out, append=a.resume)
+
+
+def infer(spark: SparkSession, a: argparse.Namespace) -> None:
+    if min(a.n, a.rounds) < 1:
+        raise SystemExit("--n and --rounds must be at least 1")
+    rows = _rows(spark, a, schemas.SAMPLES)
+    files.write_jsonl(pipelines.infer(rows, _source(spark, a, a.n), a.rounds, a.feedback, a.variant), a.out, append=a.resume)
+
+
+def rsa(spark: SparkSession, a: argparse.Namespace) -> None:
+    if min(a.population, a.k, a.steps) < 1 or a.k > a.population:
+        raise SystemExit("--population, --k and --steps must be at least 1, and --k at most --population")
+    rows = _rows(spark, a, schemas.SAMPLES)
+    missing = rows.where("all_texts is null or size(all_texts) = 0").count()
+    if missing:
+        raise SystemExit(f"{missing} rows have no all_texts")
+    files.write_jsonl(pipelines.self_aggregate(rows, _source(spark, a), a.population, a.k, a.steps, a.selection, a.seed, a.variant), a.out, append=a.resume)
+
+
+def catalog(spark: SparkSession, a: argparse.Namespace) -> None:
+    runs = N.catalog(*pipelines.run_files(spark, a.input)).where("status <> 'crashed'").orderBy("run_dir")
+    if a.out:
+        files.write_tsv(runs, a.out)
+    else:
+        runs.show(1000, truncate=False)
+
+
+def latest(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Prints the last run in the catalog of the given kind, with images unless --no-image."""
+    runs = spark.read.option("sep", "\t").option("header", True).csv(a.input)
+    prompt = "concise_no_idk" if a.prompt == "no_idk" else a.prompt
+    wanted = {"model": a.model, "prompt": prompt, "dataset": a.dataset, "no_image": str(a.no_image).lower()}
+    for r in N.latest(runs, **{k: v for k, v in wanted.items() if v}).select("run_dir").collect():
+        print(r["run_dir"])
+
+
 def audit(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = pipelines._keyed(files.read_jsonl(spark, a.input, schemas.JUDGED)).withColumn("run", F.lit(a.run))
     texts = R.explode_rollouts(rows, pipelines.KEY, verdicts="judge_verdicts").join(rows.select(F.col(pipelines.KEY).alias("_k"), "answer", "run"), F.col(pipelines.KEY) == F.col("_k"))
@@ -100,7 +191,38 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         sub.add_argument("--run", default="run")
         return sub
 
-    sub = command(score, "chains", "out", "results")
+    def asking(run) -> argparse.ArgumentParser:
+        sub = command(run, "out")
+        for p in ("client", "replies"):
+            sub.add_argument(f"--{p}")
+        sub.add_argument("--max-examples", type=int)
+        sub.add_argument("--variant", default="barebones")
+        for p in ("resume", "overwrite"):
+            sub.add_argument(f"--{p}", action="store_true")
+        return sub
+
+    sub = asking(judge)
+    sub.add_argument("--votes", type=int, default=1)
+    sub.add_argument("--structured", action="store_true")
+    sub = asking(infer)
+    sub.add_argument("--n", type=int, default=1)
+    sub.add_argument("--rounds", type=int, default=1)
+    sub.add_argument("--feedback", action="store_true")
+    sub = asking(rsa)
+    for name, value in (("population", 16), ("k", 4), ("steps", 2)):
+        sub.add_argument(f"--{name}", type=int, default=value)
+    sub.add_argument("--selection", choices=("first", "random"), default="first")
+    sub.add_argument("--seed", default="1234")
+    command(aggregate, "results").add_argument("--strict", action="store_true")
+    command(index, "out")
+    command(catalog).add_argument("--out")
+    sub = command(latest)
+    for p in ("model", "prompt", "dataset"):
+        sub.add_argument(f"--{p}")
+    sub.add_argument("--no-image", action="store_true")
+    sub = command(score, "out", "results")
+    sub.add_argument("--chains")
+    sub.add_argument("--index", help="a folder that the index command wrote")
     sub.add_argument("--measure", default="exact_match")
     sub.add_argument("--top-k", type=int, default=3)
     sub.add_argument("--min-score", type=float, default=0.35)

@@ -99,14 +99,15 @@ def ngrams(text: Column, n: int) -> Column:
     return bound(words(text), grams)
 
 
-def char_grams(text: Column, n: int) -> Column:
-    """Distinct substrings of n characters; empty if there are fewer characters."""
+def grams_of(chars: Column, n: int) -> Column:
+    """Distinct runs of n of an array of characters, as texts; empty if there are fewer."""
+    each = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))
+    return F.when(F.size(chars) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
-    def grams(c: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))
-        return F.when(F.size(c) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
-    return bound(F.filter(F.split(text, ""), lambda c: c != ""), grams)
+def char_grams(text: Column, n: int) -> Column:
+    """Distinct substrings of n characters; empty if there are fewer characters."""
+    return bound(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: grams_of(c, n))
 
 
 def ngram_overlap(prediction: Column, label: Column, n: int = 2) -> Column:

@@ -33,25 +33,29 @@ def exact_hits(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.withColumn("_t", key).join(keyed, F.col("_t") == F.col("_k")).select("text", "label", "path", "ord", F.lit(1.0).alias("score"))
 
 
+def gram_index(nodes: DataFrame) -> DataFrame:
+    """Nodes (label, path, ord, _k) with _g, the substring of GRAM characters of the label that fewest nodes have.
+
+    A shorter label is its own, the empty one too. The index is written, so that a plan that uses it is short.
+    """
+    keyed = staged(nodes.select("label", "path", "ord", T.normalize_scores(F.col("label")).alias("_k")), "labels")
+    sized = F.when(F.length("_k") <= GRAM, F.array("_k")).otherwise(T.char_grams(F.col("_k"), GRAM))
+    each = keyed.select("ord", F.explode(sized).alias("_g"))
+    held = each.groupBy("_g").agg(F.count("*").alias("_n"))
+    rarest = each.join(held, "_g").groupBy("ord").agg(F.min(F.struct("_n", "_g")).alias("_r")).select(F.col("ord").alias("_o"), F.col("_r._g").alias("_g"))
+    return staged(keyed.join(rarest, F.col("ord") == F.col("_o")).drop("_o"), "index")
+
+
 def contained_hits(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """The same where the label is part of the text, inside words too; the empty label is part of every text.
 
-    Nodes are indexed by one substring of GRAM characters each, the one that fewest nodes have, or by the whole
-    label if it is shorter; texts meet them by their own substrings, and only those that meet are compared.
+    Texts meet the nodes by their own substrings, see gram_index(), and only those that meet are compared.
     """
     key = T.normalize_scores(T.clean_full(F.col("text")))
-    keyed = nodes.select("label", "path", "ord", T.normalize_scores(F.col("label")).alias("_k")).withColumn("_m", F.least(F.length("_k"), F.lit(GRAM)))
-    sized = lambda x, m: F.coalesce(*[F.when(m == n, T.char_grams(x, n)) for n in range(1, GRAM + 1)])
-    each = keyed.where("_m > 0").select("ord", F.explode(sized(F.col("_k"), F.col("_m"))).alias("_g"))
-    held = each.groupBy("_g").agg(F.count("*").alias("_n"))
-    rarest = each.join(held, "_g").groupBy("ord").agg(F.min(F.struct("_n", "_g")).alias("_r")).select(F.col("ord").alias("_o"), F.col("_r._g").alias("_g"))
-    index = hinted(keyed.join(rarest, F.col("ord") == F.col("_o")).drop("_o", "_m"))
-    own = texts.withColumn("_t", key)
-    grams = own.select("text", "_t", F.explode(F.concat(*[T.char_grams(F.col("_t"), n) for n in range(1, GRAM + 1)])).alias("_h"))
-    hits = grams.join(index, (F.col("_h") == F.col("_g")) & F.contains("_t", "_k"))
-    everywhere = texts.crossJoin(hinted(keyed.where("_m = 0")))
-    columns = ("text", "label", "path", "ord", F.lit(1.0).alias("score"))
-    return hits.select(*columns).unionByName(everywhere.select(*columns))
+    grams = T.bound(F.filter(F.split(key, ""), lambda c: c != ""), lambda c: F.concat(F.array(F.lit("")), *[T.grams_of(c, n) for n in range(1, GRAM + 1)]))
+    own = texts.select("text", key.alias("_t"), F.explode(grams).alias("_h"))
+    hits = own.join(hinted(gram_index(nodes)), (F.col("_h") == F.col("_g")) & F.contains("_t", "_k"))
+    return hits.select("text", "label", "path", "ord", F.lit(1.0).alias("score"))
 
 
 MEASURES = {"exact_match": exact_hits, "contained": contained_hits}

@@ -39,7 +39,7 @@ def catalog(files: DataFrame, metadata: DataFrame) -> DataFrame:
         "run_dir", F.when(F.contains("dataset_path", F.lit("aligned")), "aligned").when(F.col("_dir").isNotNull(), "original").otherwise("").alias("dataset"),
         F.coalesce("prompt", F.lit("")).alias("prompt"), F.coalesce(F.col("no_image").cast("string"), F.lit("false")).alias("no_image"),
         F.coalesce(model_slug(F.col("model")), F.lit("")).alias("model"), known.cast("long").alias("total_examples"), status.alias("status"),
-        "scored", "judged", "results",
+        "scored", "judged", "results", (F.coalesce(model_slug(F.col("judge_model")), F.lit("")) if "judge_model" in metadata.columns else F.lit("")).alias("judge_model"),
     )
 
 

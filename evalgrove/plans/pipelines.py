@@ -5,9 +5,10 @@ Rows are the nested stage tables of sources.schemas; inside, answers are long ta
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgrove.functions import prompts as P
@@ -17,6 +18,7 @@ from evalgrove.operators import match as M
 from evalgrove.operators import rollouts as R
 from evalgrove.operators import score as S
 from evalgrove.operators import taxonomy as X
+from evalgrove.sources import files, schemas
 
 KEY = "row_id"
 
@@ -34,6 +36,16 @@ def taxonomy_index(chains: DataFrame, aliases: DataFrame | None = None, drop_thr
     return index
 
 
+def save_index(index: dict[str, DataFrame], folder: str) -> None:
+    """Writes each table of an index to the folder, so that later runs load it and walk no taxonomy."""
+    for name, table in index.items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_index(spark: SparkSession, folder: str, names: Sequence[str] = ("nodes", "entities", "labels")) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
 def _keyed(rows: DataFrame) -> DataFrame:
     columns = [c for c in ("data_id", "image_id") if c in rows.columns]
     first, second = (F.col(columns[0]), F.col(columns[-1])) if columns else (F.lit(None), F.lit(None))
@@ -50,7 +62,7 @@ def score_rows(rows: DataFrame, index: dict[str, DataFrame], measures: Sequence[
     Direct measures take the best of the distinct answers that were judged right, else the selected text,
     else the prediction. 'cascade' takes the best of all answers. Row ids must be unique.
     """
-    rows = _keyed(R.strip_columns(rows, prefixes=tuple(f"{m}_" for m in measures), names=("scored_reference_path",)))
+    rows = _keyed(R.strip_columns(rows, prefixes=tuple(f"{m}_" for m in measures), names=("scored_reference_path", *R.STALE_COLUMNS)))
     base = rows.select(KEY, T.clean_light(F.coalesce("answer", F.lit(""))).alias("answer"), _optional(rows, "entity_id", "string").alias("entity_id"))
     refs = X.reference_paths(base, index["nodes"], index["entities"], index["labels"])
     texts = R.explode_rollouts(rows.where(F.size(_optional(rows, "all_texts", "array<string>")) > 0), KEY) if "all_texts" in rows.columns else None
@@ -95,10 +107,57 @@ def run_results(scored: DataFrame, run: str, strict: bool = False) -> DataFrame:
             out = out.unionByName(values.select(F.lit(run).alias("run"), F.lit("judge").alias("measure"), F.concat(F.lit("pass@"), F.col("k").cast("string"), F.lit(suffix)).alias("metric"), "value"))
     if "judge_parse_ok" in scored.columns:
         stats = scored.agg(F.sum(F.size("judge_parse_ok")).alias("num_judge_rollouts"), F.sum(F.size(F.filter("judge_parse_ok", lambda v: ~v))).alias("num_judge_unparseable"))
-        out = out.unionByName(S.long_metrics(stats, F.lit(run), F.lit("judge"), ["num_judge_rollouts", "num_judge_unparseable"]))
+        out = out.unionByName(S.long_metrics(stats, F.lit(run), F.lit("judge"), ["num_judge_rollouts", "num_judge_unparseable"]).where("value is not null"))
     return out
 
 
+def infer(examples: DataFrame, source: J.Source, rounds: int = 1, feedback: bool = False, variant: str = "barebones") -> DataFrame:
+    """examples with prediction, prompt_variant, n_samples and all_texts: all attempts of all rounds in order."""
+    keyed = _keyed(R.strip_columns(examples, names=("prediction", "prompt_variant", "n_samples", "success", "all_texts")))
+    tried = J.iterate(keyed.select(F.col(KEY).alias("example_id"), "question"), source, rounds, feedback, variant=variant)
+    lists = tried.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("round", "attempt", "text"))).alias("r"))
+    lists = lists.select("example_id", F.transform("r", lambda x: x["text"]).alias("all_texts"))
+    out = keyed.join(lists, F.col(KEY) == F.col("example_id")).drop("example_id", KEY)
+    return out.withColumns({"prediction": F.get("all_texts", F.lit(0)), "prompt_variant": F.lit(variant), "n_samples": F.size("all_texts")})
+
+
+def self_aggregate(samples: DataFrame, source: J.Source, population: int = 16, k: int = 4, steps: int = 2, selection: str = "first", seed: str = "1234", variant: str = "barebones") -> DataFrame:
+    """samples whose all_texts are the last round's population; what judging and scoring added to the old ones goes."""
+    keyed = _keyed(R.strip_columns(samples))
+    rollouts = R.explode_rollouts(keyed, KEY).withColumnRenamed(KEY, "example_id")
+    questions = keyed.select(F.col(KEY).alias("example_id"), "question")
+    members = J.aggregate_rounds(rollouts, questions, source, population, k, steps, selection, seed, variant)
+    lists = members.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("slot", "text"))).alias("r"))
+    lists = lists.select("example_id", F.transform("r", lambda x: x["text"]).alias("_texts"))
+    out = keyed.join(lists, F.col(KEY) == F.col("example_id")).drop("example_id", KEY, "all_texts").withColumnRenamed("_texts", "all_texts")
+    return out.withColumns({"prediction": F.get("all_texts", F.lit(0)), "n_samples": F.size("all_texts")})
+
+
+def run_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Files and metadata of the runs under a folder, as the catalog of runs reads them; run_dir is relative to the folder's parent.
+
+    A run's metadata is the first of its *_metadata.json files with model, prompt_variant and data; the judge's
+    model comes from those that name one.
+    """
+    parent = re.escape(folder.rstrip("/").rsplit("/", 1)[0] + "/")
+    at = lambda path: F.regexp_extract(path, f"{parent}(.*)/[^/]+$", 1)
+    name = lambda path: F.substring_index(path, "/", -1)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").load(folder).select("path")
+    counted = files.rows_by_file(spark, folder, "*_samples*.jsonl").withColumnRenamed("file", "_file")
+    plain = lambda path: F.regexp_replace(path, "^file:/+", "/")
+    found = listed.join(counted, plain(F.col("path")) == plain(F.col("_file")), "left").select(at(F.col("path")).alias("run_dir"), name(F.col("path")).alias("name"), F.coalesce("rows", F.lit(0)).alias("rows"))
+    told = spark.read.schema(schemas.METADATA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_metadata.json").json(folder)
+    path = F.col("_metadata.file_path")
+    told = told.select(at(path).alias("run_dir"), name(path).alias("name"), "*")
+    run = F.col("model").isNotNull() & F.col("prompt_variant").isNotNull() & F.col("data").isNotNull() & F.col("judge_model").isNull()
+    first = told.groupBy("run_dir").agg(F.min_by(F.when(run, F.struct("model", "prompt_variant", "data", "sharding")), F.when(run, F.col("name"))).alias("m"), F.min_by("judge_model", F.when(F.nullif("judge_model", F.lit("")).isNotNull(), F.col("name"))).alias("judge_model"))
+    meta = first.where("m is not null").select(
+        "run_dir", "m.model", F.coalesce("m.data.input", F.lit("")).alias("dataset_path"), F.col("m.prompt_variant").alias("prompt"), F.coalesce("m.data.no_image", F.lit(False)).alias("no_image"),
+        F.coalesce("m.sharding.num_shards", F.lit(1)).alias("num_shards"), F.coalesce("m.data.num_examples", F.lit(0)).alias("shard_examples"), "judge_model",
+    )
+    return found, meta
+
+
 def judge_rows(rows: DataFrame, source: J.Source, structured: bool = False, evidence: DataFrame | None = None) -> DataFrame:
     """rows with the judge's columns. evidence: (entity_id, labels, descriptions), for free-form prompts only."""
     keyed = _keyed(rows)

@@ -14,3 +14,5 @@ CHAINS = "id string, taxonomy array<string>"
 ALIASES = "id string, aka struct<en:array<struct<value:string>>>"
 ROLLOUTS = "example_id string, idx int, text string, verdict boolean, parse_ok boolean"
 METRICS = "run string, measure string, metric string, value double"
+METADATA = "model string, prompt_variant string, judge_model string, data struct<input:string,no_image:boolean,num_examples:int>, sharding struct<num_shards:int>"
+REPLIES = "prompt string, completion int, reply string"

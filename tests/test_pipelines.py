@@ -99,3 +99,56 @@ def test_command_line(spark, tmp_path):
     assert spark.read.json(at("q")).head()["question"] == "what is this dog?"
     with pytest.raises(SystemExit):
         cli.main(["score", at("j.jsonl"), "--chains", at("c.jsonl"), "--out", at("s"), "--results", at("r"), "--measure", "nope"], spark)
+
+
+def test_commands_that_ask_a_model(spark, tmp_path, monkeypatch):
+    rows = [{"data_id": str(i), "question": f"what is {i}?", "answer": "dog", "entity_text": "dog"} for i in range(3)]
+    (tmp_path / "x.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "judge_client.py").write_text("def reply_to(prompts, n):\n    return [['<answer>1</answer>'] * n for _ in prompts]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    client = ["--client", "judge_client:reply_to"]
+    cli.main(["infer", at("x.jsonl"), "--out", at("i"), "--n", "4", *client], spark)
+    sampled = files.read_jsonl(spark, at("i"), schemas.SAMPLES).collect()
+    assert len(sampled) == 3 and all(len(r["all_texts"]) == 4 and r["prediction"] == r["all_texts"][0] for r in sampled)
+    with pytest.raises(SystemExit):
+        cli.main(["infer", at("x.jsonl"), "--out", at("i"), *client], spark)
+    cli.main(["infer", at("x.jsonl"), "--out", at("i"), "--resume", *client], spark)
+    assert files.read_jsonl(spark, at("i"), schemas.SAMPLES).count() == 3
+    cli.main(["rsa", at("i"), "--out", at("p"), "--population", "3", "--k", "2", "--steps", "2", *client], spark)
+    assert [len(r["all_texts"]) for r in files.read_jsonl(spark, at("p"), schemas.SAMPLES).collect()] == [3, 3, 3]
+    for wrong in (["--k", "9", "--population", "3"], ["--steps", "0"]):
+        with pytest.raises(SystemExit):
+            cli.main(["rsa", at("i"), "--out", at("p2"), *wrong, *client], spark)
+    cli.main(["judge", at("i"), "--out", at("j"), "--votes", "3", *client], spark)
+    judged = files.read_jsonl(spark, at("j"), schemas.JUDGED).collect()
+    assert len(judged) == 3 and all(len(r["judge_verdicts"]) == 4 and r["judge_hit"] for r in judged)
+
+
+def test_catalog_and_index_commands(spark, tmp_path, capsys):
+    logs = tmp_path / "logs"
+    for name, dataset, extra in (("20250101_000000_000001", "aligned.jsonl", ["m_samples.jsonl", "m_scored.jsonl"]), ("20250102_000000_000001", "plain.jsonl", ["m_samples_shard0.jsonl"]), ("20250103_000000_000001", "aligned.jsonl", [])):
+        run = logs / "sub" / name
+        run.mkdir(parents=True)
+        (run / "m_metadata.json").write_text(json.dumps({"model": "Lab/M-8B", "prompt_variant": "concise", "data": {"input": dataset, "no_image": False, "num_examples": 5}, "sharding": {"num_shards": 2}}, indent=1))
+        for f in extra:
+            (run / f).write_text('{"a": 1}\n{"a": 2}\n')
+    cli.main(["catalog", str(logs), "--out", str(tmp_path / "runs")], spark)
+    told = {r["run_dir"]: r for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "runs")).collect()}
+    assert [(k[:22], r["status"], r["dataset"], r["model"], r["total_examples"]) for k, r in sorted(told.items())] == [
+        ("logs/sub/20250101_0000", "complete", "aligned", "8b", "2"), ("logs/sub/20250102_0000", "samples", "original", "8b", "2"), ("logs/sub/20250103_0000", "empty", "aligned", "8b", "10"),
+    ]
+    capsys.readouterr()
+    cli.main(["latest", str(tmp_path / "runs"), "--model", "8b", "--dataset", "original"], spark)
+    assert capsys.readouterr().out.strip().endswith("20250102_000000_000001")
+    (tmp_path / "c.jsonl").write_text("".join(json.dumps({"id": i, "taxonomy": t}) + "\n" for i, t in CHAINS))
+    judged = [s | {"judge_verdicts": [True, True, False]} for s in SAMPLES]
+    (tmp_path / "j.jsonl").write_text("".join(json.dumps(s) + "\n" for s in judged))
+    at = lambda name: str(tmp_path / name)
+    cli.main(["index", at("c.jsonl"), "--out", at("x")], spark)
+    for given, name in ((["--chains", at("c.jsonl")], "s1"), (["--index", at("x")], "s2")):
+        cli.main(["score", at("j.jsonl"), *given, "--out", at(name), "--results", at(name + "r")], spark)
+    one, two = (json.loads(spark.read.text(at(n)).head()["value"]) for n in ("s1r", "s2r"))
+    assert one == two
+    cli.main(["aggregate", at("s1"), "--results", at("again")], spark)
+    assert json.loads(spark.read.text(at("again")).head()["value"]) == one

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WINDOW = 10
 #: Words after A-Z have become a-z: what is left is 0-9, a-z and all beyond ASCII, here as UTF-8 bytes.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -104,7 +106,7 @@ def _searcher(shared, key: str, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, search = _tables(shared, key, window)
-        for batch in batches:
+        for batch in slices(batches):
             n, spans, items = [], [], []
             for text, old, known in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items"))):
                 words = words_of(text)
@@ -162,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _cleaner(shared, key: str, window: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, search = _tables(shared, key, window)
-        for batch in batches:
+        for batch in slices(batches):
             clean = [next(search.find(words_of(t)), None) is None for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -34,6 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Labelled documents of each language, and characters of them, that its automaton is built from.
 DOCS = 60
 CHARS = 30_000
@@ -43,7 +45,7 @@ ALPHABET = 63
 #: Characters of a text parsed in one row; a layout that changes no result.
 CUT = 2048
 #: Characters parsed in one go.
-BATCH = 2_000_000
+BATCH = 1_000_000
 UNDETERMINED = "und"
 #: Lengths in characters for which limits are measured, and pieces of a language measured at each.
 LENGTHS = tuple(4 << k for k in range(9))
@@ -111,7 +113,7 @@ class Model:
         for lang in self.languages:
             codes = self.symbol[texts[lang]].tolist()
             nxt = suffix_automaton(codes)
-            root = np.full(self.width, base, np.int64)  # an unknown character leads to the root
+            root = np.full(self.width, base, np.int32)  # an unknown character leads to the root
             for c, s in nxt[0].items():
                 if c < self.width:
                     root[c] = base + s
@@ -123,7 +125,7 @@ class Model:
                         table[s, c] = (base + t) * 2 + begins
                     else:
                         rare[(base + s) * self.symbols + c] = (base + t) * 2 + begins
-            tables.append(table.astype(np.int32))
+            tables.append(table)
             self.roots.append(base)
             self.bits.append(np.log2(max(2, len(codes))))
             base += len(nxt)
@@ -300,7 +302,7 @@ def _model(key: str, samples: dict[str, list[str]]) -> Model:
 def _identifier(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key, shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
@@ -329,7 +331,7 @@ def _shared_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, d
 def _keeper(shared, key: str, limit: dict[str, list[float]], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(key, shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(in_language(model, limit, batch.column(text_col).to_pylist()), pa.bool_()))
 
     return run

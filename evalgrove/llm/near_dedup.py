@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, words_of
+from .common import Staged, slices, words_of
 from .components import components
 
 ROWS = 5
@@ -101,7 +101,7 @@ def _signer(k: int, bands: int, rows: int, seed: int):
         fold = rng.integers(0, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         tag = rng.integers(0, 2**64, bands, dtype=np.uint64)
         known = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, band, signature = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
@@ -165,7 +165,7 @@ def texts_of(nodes: DataFrame, signed: DataFrame, base: DataFrame) -> DataFrame:
 
 def _verifier(agree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= agree))

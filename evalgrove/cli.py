@@ -14,6 +14,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalgrove.functions import text as T
 from evalgrove.operators import audit as A
 from evalgrove.operators import judge as J
 from evalgrove.operators import match as M
@@ -22,7 +23,7 @@ from evalgrove.operators import rollouts as R
 from evalgrove.operators import runs as N
 from evalgrove.operators import taxonomy as X
 from evalgrove.plans import pipelines
-from evalgrove.sources import files, schemas
+from evalgrove.sources import discovery, files, schemas
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -61,7 +62,11 @@ def aggregate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
-    pipelines.save_index(_index(spark, a.input), a.out)
+    """Saves the tables of the taxonomy; leaves take the names that --samples give them."""
+    chains = files.read_chains(_ordered(files.read_jsonl(spark, a.input, schemas.CHAINS)))
+    names = X.sample_names(_ordered(files.read_jsonl(spark, a.samples, schemas.EXAMPLES))) if a.samples else None
+    akas = files.read_jsonl(spark, a.aliases, schemas.ALIASES).select("id", F.explode("aka.en.value").alias("alias")) if a.aliases else None
+    pipelines.save_index(pipelines.taxonomy_index(chains, names=names, akas=akas), a.out)
 
 
 def _source(spark: SparkSession, a: argparse.Namespace, n: int = 1):
@@ -76,17 +81,12 @@ def _source(spark: SparkSession, a: argparse.Namespace, n: int = 1):
     return J.complete_with(lambda prompts, n: getattr(importlib.import_module(module), name)(prompts, n), n)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def _rows(spark: SparkSession, a: argparse.Namespace, schema: str) -> DataFrame:
     """The input's rows, the first of them if a number is given, without those in the output if it is resumed."""
     rows = files.read_jsonl(spark, a.input, schema)
     if a.max_examples:
         rows = R.limit_first(_ordered(rows), a.max_examples).drop("ord")
-    if not _exists(spark, a.out) or a.overwrite:
+    if not files.exists(spark, a.out) or a.overwrite:
         return rows
     if not a.resume:
         raise SystemExit(f"{a.out} is there already: --resume or --overwrite")
@@ -133,14 +133,29 @@ def latest(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def audit(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = pipelines._keyed(files.read_jsonl(spark, a.input, schemas.JUDGED)).withColumn("run", F.lit(a.run))
-    texts = R.explode_rollouts(rows, pipelines.KEY, verdicts="judge_verdicts").join(rows.select(F.col(pipelines.KEY).alias("_k"), "answer", "run"), F.col(pipelines.KEY) == F.col("_k"))
+    """One row a scored file; of folders all *_scored.jsonl are taken. Without --out it is shown, short unless --details."""
+    if all(p.endswith(".jsonl") for p in a.input):
+        paths = a.input
+    else:
+        paths = sorted({r["path"] for r in discovery.matching(discovery.listing(spark, *a.input), discovery.SCORED).select("path").collect()})
+        paths += [p for p in a.input if p.endswith(".jsonl") and not p.endswith("_scored.jsonl")]
+    if not paths:
+        raise SystemExit("no *_scored.jsonl is there")
+    path = F.col("_metadata.file_path")
+    label = F.lit(a.run) if a.run != "run" else T.run_label(path, a.lead, a.tail) if a.lead else T.stem(path)
+    # each row is an example of its own, whatever its id
+    rows = _ordered(files.read_jsonl(spark, paths, schemas.JUDGED).withColumn("run", label)).withColumn("row", F.struct("run", "ord", "answer"))
+    texts = R.explode_rollouts(rows, "row", verdicts="judge_verdicts").select("row.*", "idx", "text", "verdict")
     names = None
     if a.aliases:
         given = files.read_jsonl(spark, a.aliases, schemas.ALIASES).select("id", F.explode("aka.en.value").alias("alias"))
         leaves = files.read_jsonl(spark, a.chains, schemas.CHAINS).select(F.col("id").alias("_id"), F.get("taxonomy", F.lit(0)).alias("label"))
         names = X.aliases_by_label(given.join(leaves, F.col("id") == F.col("_id")).select("label", "alias"))
-    files.write_tsv(A.audit(A.classify(texts, names), "run", pipelines.KEY), a.out)
+    told = A.audit(A.classify(texts, names), "run", "ord")
+    if a.out:
+        files.write_tsv(told, a.out)
+    else:
+        told.orderBy("run").drop(*(() if a.details else A.DETAILS)).show(1000, truncate=False)
 
 
 def dedup(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -185,7 +200,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     def command(run, *paths: str) -> argparse.ArgumentParser:
         sub = commands.add_parser(run.__name__)
         sub.set_defaults(run_command=run)
-        sub.add_argument("input")
+        sub.add_argument("input", **({"nargs": "+"} if run is audit else {}))
         for p in paths:
             sub.add_argument(f"--{p}", required=True)
         sub.add_argument("--run", default="run")
@@ -214,7 +229,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     sub.add_argument("--selection", choices=("first", "random"), default="first")
     sub.add_argument("--seed", default="1234")
     command(aggregate, "results").add_argument("--strict", action="store_true")
-    command(index, "out")
+    sub = command(index, "out")
+    for p in ("samples", "aliases"):
+        sub.add_argument(f"--{p}")
     command(catalog).add_argument("--out")
     sub = command(latest)
     for p in ("model", "prompt", "dataset"):
@@ -228,8 +245,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     sub.add_argument("--min-score", type=float, default=0.35)
     sub.add_argument("--max-examples", type=int)
     sub.add_argument("--strict", action="store_true", help="leave out pass@k of examples with fewer than k answers")
-    sub = command(audit, "out")
-    sub.add_argument("--aliases")
+    sub = command(audit)
+    for p in ("out", "aliases"):
+        sub.add_argument(f"--{p}")
+    for p in ("lead", "tail"):
+        sub.add_argument(f"--{p}", default="", help="what a folder's name has around the run's label")
+    sub.add_argument("--details", action="store_true")
     sub.add_argument("--chains")
     command(dedup, "out").add_argument("--dry-run", action="store_true")
     sub = command(repair, "examples", "out")

@@ -5,6 +5,8 @@ The normalisers differ on purpose and are not interchangeable.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,14 +167,61 @@ def model_slug(model: Column) -> Column:
     return F.when(size != "", F.concat(size, F.lit("b"))).otherwise(model)
 
 
-def model_label(slug: Column, families: dict[str, str]) -> Column:
-    """'Family 8B' from a slug with '-8b-'; families maps parts of slugs to names, first match wins."""
+def model_label(slug: Column, families: dict[str, str], bare: bool = False) -> Column:
+    """'Family 8B' from a slug with '-8b-'; families maps parts of slugs to names, first match wins.
+
+    Without a match the slug's part before _ is the family; with bare, the slug itself is the label.
+    """
     found = F.regexp_extract(slug, r"-(\d+b)-", 1)
     size = F.when(found != "", F.upper(found)).otherwise(slug)
-    family = F.substring_index(slug, "_", 1)
+    label = slug if bare else F.concat_ws(" ", F.substring_index(slug, "_", 1), size)
+    for part, name in reversed(families.items()):
+        label = F.when(F.contains(slug, F.lit(part)), F.concat_ws(" ", F.lit(name), size)).otherwise(label)
+    return label
+
+
+def above(path: Column, up: int = 1) -> Column:
+    """The name of the folder that many levels above a path; empty if there are fewer."""
+    parts = F.split(path, "/")
+    return F.coalesce(F.get(parts, F.size(parts) - 1 - up), F.lit(""))
+
+
+def stem(path: Column) -> Column:
+    """A path's last name without its last suffix."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
+
+
+def path_label(path: Column, families: dict[str, str]) -> Column:
+    """'Family 8B' from the first family in a path that a size follows, else the name two levels above."""
+    label = above(path, 2)
     for part, name in reversed(families.items()):
-        family = F.when(F.contains(slug, F.lit(part)), F.lit(name)).otherwise(family)
-    return F.concat_ws(" ", family, size)
+        size = F.regexp_extract(path, f"{re.escape(part)}-(\\d+b)", 1)
+        label = F.when(size != "", F.concat(F.lit(name + " "), F.upper(size))).otherwise(label)
+    return label
+
+
+def run_label(path: Column, lead: str, tail: str) -> Column:
+    """What the first name in a path that begins with lead and ends with tail has between them, in upper case; else the stem."""
+    named = F.filter(F.split(path, "/"), lambda x: F.startswith(x, F.lit(lead)) & F.endswith(x, F.lit(tail)))
+    rest = F.substring(F.get(named, F.lit(0)), len(lead) + 1, 1 << 30)
+    inner = F.regexp_replace(rest, f"{re.escape(tail)}$", "") if tail else rest
+    return F.coalesce(F.upper(inner), stem(path))
+
+
+def run_id(started: Column, number: Column) -> Column:
+    """Date, time and six digits of a number, so that runs of one second differ."""
+    return F.concat_ws("_", F.date_format(started, "yyyyMMdd_HHmmss"), F.lpad(F.pmod(number, F.lit(1_000_000)).cast("string"), 6, "0"))
+
+
+def output_dir(root: str, task: str, method: Column, prompt: Column, model: Column, run: Column) -> Column:
+    """root/task_method_prompt/model/run, the model's name lower-cased with _ for /."""
+    return F.concat_ws("/", F.lit(root), F.concat_ws("_", F.lit(task), method, prompt), F.lower(F.translate(model, "/", "_")), run)
+
+
+def aggregated_path(path: Column, population: int, k: int, steps: int) -> Column:
+    """Where the answers that a samples file is aggregated to go: beside it, with the sizes in the name."""
+    folder = F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
+    return F.concat(folder, stem(path), F.lit(f"_rsa_n{population}_k{k}_t{steps}.jsonl"))
 
 
 def results_path(path: Column) -> Column:

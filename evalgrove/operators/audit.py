@@ -9,6 +9,10 @@ from evalgrove.functions import metrics as M
 from evalgrove.functions import text as T
 
 
+#: Columns of an audit that a short table goes without.
+DETAILS = (*T.SUPPORTED, "answer_contains_prediction", "mean_judge_pos", "median_judge_pos", "mean_supported_pos", "median_supported_pos", "judge_hit_examples", "supported_hit_examples")
+
+
 def classify(rows: DataFrame, aliases: DataFrame | None, prediction: str = "text", answer: str = "answer") -> DataFrame:
     """rows with category: exact, alias, contains_answer, contains_alias, answer_contains_prediction or null.
 

@@ -92,6 +92,10 @@ def lexical_hits(texts: DataFrame, nodes: DataFrame, n: int = 2) -> DataFrame:
     return counted.select("text", "label", "path", "ord", "score")
 
 
+#: Ways to find the candidates of the cascade: functions of (texts, nodes) that return (text, label, path, ord, score).
+SIMILARITIES = {"bigrams": lexical_hits}
+
+
 def nearest(queries: DataFrame, nodes: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = BLOCK_VECTORS) -> DataFrame:
     """(key, rank, label, ord, score): the k nodes of largest cosine, ties by ord.
 

@@ -55,6 +55,15 @@ def long_metrics(summary: DataFrame, run: Column, measure: Column, names: list[s
     return summary.select(run.alias("run"), measure.alias("measure"), F.explode(pairs).alias("m")).select("run", "measure", "m.metric", "m.value")
 
 
+def variants(tables: dict[str, DataFrame], column: str = "variant") -> DataFrame:
+    """Tables of the same columns below one another, each with its name."""
+    out = None
+    for name, table in tables.items():
+        named = table.withColumn(column, F.lit(name))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 def reaggregate(rows: DataFrame, measure: str = "all") -> DataFrame:
     """Run metrics from a scored table's <measure>_* columns, one row a measure; 'all' takes every measure found."""
     found = [c[: -len("_hP")] for c in rows.columns if c.endswith("_hP")] if measure == "all" else [measure]

@@ -51,6 +51,31 @@ def with_ordinals(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("ord", F.row_number().over(Window.orderBy("label")) - 1).withColumn("norm", normalize_match(F.col("label")))
 
 
+def sample_names(examples: DataFrame, order: str = "ord") -> DataFrame:
+    """(id, name): the answer that the last example of each entity gives, the original one if there is one."""
+    name = F.coalesce("original_answer", "answer") if "original_answer" in examples.columns else F.col("answer")
+    named = examples.where(F.col("entity_id").isNotNull() & name.isNotNull())
+    return named.groupBy(F.col("entity_id").alias("id")).agg(F.max_by(name, order).alias("name"))
+
+
+def override_leaves(chains: DataFrame, names: DataFrame, chain: str = "taxonomy") -> DataFrame:
+    """Leaf-first chains whose leaf is the name that samples give their entity; empty chains stay empty."""
+    joined = chains.join(names.select(F.col("id").alias("_i"), F.col("name").alias("_n")), F.col("id") == F.col("_i"), "left")
+    renamed = F.concat(F.array("_n"), F.slice(chain, F.lit(2), F.greatest(F.size(chain) - 1, F.lit(0))))
+    return joined.withColumn(chain, F.when(F.col("_n").isNotNull() & (F.size(chain) > 0), renamed).otherwise(F.col(chain))).drop("_i", "_n")
+
+
+def leaf_aliases(chains: DataFrame, akas: DataFrame, pruned: str = "pruned") -> DataFrame:
+    """(label, alias): other names (id, alias) of a pruned chain's leaf, without those that the chain holds itself."""
+    some = chains.where(F.size(pruned) > 0).select("id", F.col(pruned).alias("_p"))
+    met = akas.select(F.col("id").alias("_i"), "alias").join(some, F.col("_i") == F.col("id"))
+    return met.where(~F.array_contains("_p", F.col("alias"))).select(F.element_at("_p", -1).alias("label"), "alias").distinct()
+
+
+def examples_by_dataset(examples: DataFrame) -> DataFrame:
+    return examples.groupBy("dataset").agg(F.count("*").alias("examples"))
+
+
 def label_paths(nodes: DataFrame) -> DataFrame:
     """(norm, path): for each normalised label the path of its first node."""
     return nodes.groupBy(normalize_index(F.col("label")).alias("norm")).agg(F.min_by("path", "label").alias("path"), F.count("*").alias("paths"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrove.operators import rollouts as R
 from evalgrove.operators import runs as N
-from evalgrove.sources import files
+from evalgrove.sources import caches, discovery, files, staging
 
 from .registry import Tables, query
 
@@ -179,3 +181,26 @@ def image_map(t: Tables) -> DataFrame:
     rows = t.documents.select(F.col("lang").alias("label"), F.concat(F.lit("img/"), F.col("doc_id").cast("string")).alias("image"))
     grouped = rows.groupBy("label").agg(F.array_sort(F.collect_list("image")).alias("i"))
     return grouped.select("label", F.size("i").cast("long").alias("images"), F.array_join("i", "|").alias("all_images"))
+
+
+_JUDGED = "CASE doc_id % 4 WHEN 0 THEN CASE WHEN source LIKE '%1' THEN 'a_judged.jsonl_shard1.jsonl' ELSE 'b.jsonl' END WHEN 1 THEN concat('a_judged_', lang, '.jsonl') WHEN 2 THEN 'a_judged_shard1.jsonl' ELSE 'log.txt' END"
+
+
+@query(
+    f"WITH f AS (SELECT DISTINCT source AS run_dir, {_JUDGED} AS name FROM {{documents}}), m AS (SELECT *, CASE WHEN ends_with(name, '_judged.jsonl_shard1.jsonl') THEN 0 WHEN contains(name, 'judged') AND NOT contains(name, 'shard') THEN 1 END AS place FROM f) "
+    "SELECT run_dir, name FROM (SELECT *, min(place) OVER (PARTITION BY run_dir) AS best FROM m WHERE place IS NOT NULL) WHERE place = best"
+)
+def judged_files(t: Tables) -> DataFrame:
+    """Shards of judged answers where a run has any, else its merged files."""
+    found = t.documents.selectExpr("source AS run_dir", f"{_JUDGED} AS name").distinct()
+    return discovery.preferred(found, discovery.JUDGED).select("run_dir", "name")
+
+
+@query("SELECT doc_id AS id, concat('about ', doc_id::VARCHAR) AS description, doc_id % 3 > 0 AS late FROM {documents} WHERE doc_id % 2 = 0")
+def cache_fill(t: Tables) -> DataFrame:
+    """A cache that holds every third id is asked for every second: the rest is fetched, what is there stays."""
+    folder = f"{staging.shared_folder(t.spark)}/cache-{uuid.uuid4().hex}"
+    fetch = lambda late: lambda keys: keys.select("id", F.concat(F.lit("about "), F.col("id").cast("string")).alias("description"), F.lit(late).alias("late"))
+    ids, schema = t.documents.select(F.col("doc_id").alias("id")), "id bigint, description string, late boolean"
+    caches.filled(ids.where("id % 3 = 0"), fetch(False), folder, schema)
+    return caches.filled(ids.where("id % 2 = 0"), fetch(True), folder, schema)

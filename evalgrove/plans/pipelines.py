@@ -23,14 +23,24 @@ from evalgrove.sources import files, schemas
 KEY = "row_id"
 
 
-def taxonomy_index(chains: DataFrame, aliases: DataFrame | None = None, drop_through: Sequence[str] = (), keep_from: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """nodes, entities, labels and aliases of leaf-first chains (id, taxonomy). aliases: (label, alias)."""
+def taxonomy_index(
+    chains: DataFrame, aliases: DataFrame | None = None, drop_through: Sequence[str] = (), keep_from: Sequence[str] = (),
+    names: DataFrame | None = None, akas: DataFrame | None = None, rename_entities: bool = False,
+) -> dict[str, DataFrame]:
+    """nodes, entities, labels and aliases of leaf-first chains (id, taxonomy).
+
+    aliases: (label, alias), or akas: (id, alias) of the leaves. names: (id, name), the names that samples give to
+    leaves; nodes and aliases take them, paths of entities only with rename_entities.
+    """
     from evalgrove.functions.metrics import prune_chain
 
-    pruned = chains.withColumn("pruned", prune_chain(F.col("taxonomy"), drop_through, keep_from))
-    entities = X.entity_paths(pruned)
-    nodes = X.with_ordinals(X.node_paths(X.edges(entities)))
+    prune = lambda table: table.withColumn("pruned", prune_chain(F.col("taxonomy"), drop_through, keep_from))
+    named = prune(chains if names is None else X.override_leaves(chains, names))
+    entities = X.entity_paths(named if rename_entities else prune(chains))
+    nodes = X.with_ordinals(X.node_paths(X.edges(X.entity_paths(named))))
     index = {"nodes": nodes, "entities": entities, "labels": X.label_paths(nodes)}
+    if aliases is None and akas is not None:
+        aliases = X.leaf_aliases(named, akas)
     if aliases is not None:
         index["aliases"] = X.alias_table(aliases)
     return index
@@ -56,11 +66,12 @@ def _optional(rows: DataFrame, name: str, kind: str):
     return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
 
 
-def score_rows(rows: DataFrame, index: dict[str, DataFrame], measures: Sequence[str] = ("exact_match",), k: int = 3, min_score: float | None = 0.35) -> DataFrame:
+def score_rows(rows: DataFrame, index: dict[str, DataFrame], measures: Sequence[str] = ("exact_match",), k: int = 3, min_score: float | None = 0.35, similarity: str = "bigrams") -> DataFrame:
     """rows with <measure>_{predicted_node, predicted_path, hP, hR, hF, exact_match, mapping_method} and scored_reference_path.
 
     Direct measures take the best of the distinct answers that were judged right, else the selected text,
-    else the prediction. 'cascade' takes the best of all answers. Row ids must be unique.
+    else the prediction. 'cascade' takes the best of all answers, with candidates by one of match.SIMILARITIES.
+    Row ids must be unique.
     """
     rows = _keyed(R.strip_columns(rows, prefixes=tuple(f"{m}_" for m in measures), names=("scored_reference_path", *R.STALE_COLUMNS)))
     base = rows.select(KEY, T.clean_light(F.coalesce("answer", F.lit(""))).alias("answer"), _optional(rows, "entity_id", "string").alias("entity_id"))
@@ -80,7 +91,7 @@ def score_rows(rows: DataFrame, index: dict[str, DataFrame], measures: Sequence[
         unique = candidates.select("text").distinct()
         if measure == "cascade":
             full = unique.where(F.col("text") != "")
-            top = M.top_k(full, index["nodes"], M.lexical_hits(full, index["nodes"]), k, last_wins=False)
+            top = M.top_k(full, index["nodes"], M.SIMILARITIES[similarity](full, index["nodes"]), k, last_wins=False)
             found = M.cascade(full, index["nodes"], top, min_score)
         else:
             found = M.direct(unique, index["nodes"], measure)

@@ -217,3 +217,13 @@ def positional_join(t: Tables) -> DataFrame:
 @query("SELECT example_id, text, min(idx)::INT AS idx FROM {rollouts} GROUP BY 1, 2")
 def distinct_candidates(t: Tables) -> DataFrame:
     return R.distinct_candidates(t.rollouts)
+
+
+_HITS = "SELECT '{name}' AS variant, c, count(*)::BIGINT AS examples FROM (SELECT example_id, count_if(verdict)::BIGINT AS c FROM {{{name}}} GROUP BY 1) GROUP BY 2"
+
+
+@query(_HITS.format(name="rollouts") + " UNION ALL " + _HITS.format(name="other_run"))
+def variants(t: Tables) -> DataFrame:
+    """Hits of two runs below one another, as a chart draws them."""
+    counted = lambda rows: S.verdict_counts(rows).groupBy("c").agg(F.count("*").alias("examples"))
+    return S.variants({"rollouts": counted(t.rollouts), "other_run": counted(t.other_run)})

@@ -173,3 +173,29 @@ def ref_path_lookup(t: Tables) -> DataFrame:
     nodes = nodes_of(t)
     found = X.reference_paths(rows, nodes, t.part_chains.select("id", "path"), X.label_paths(nodes))
     return found.select("example_id", "answer", F.array_join("reference_path", " > ").alias("reference_path"))
+
+
+@query(
+    "SELECT g.entity_id::VARCHAR AS id, concat(coalesce(n.name, g.leaf), ' > ', array_to_string(g.chain[2:], ' > ')) AS chain FROM {geo} g LEFT JOIN (SELECT o_custkey, max_by(coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, o_orderstatus), o_orderkey) AS name FROM {orders} GROUP BY 1) n ON g.entity_id = n.o_custkey"
+)
+def leaf_override(t: Tables) -> DataFrame:
+    """Leaves named by the last order of a customer."""
+    examples = t.orders.select(
+        F.col("o_custkey").cast("string").alias("entity_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("answer"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("original_answer"),
+    )
+    chains = t.geo.select(F.col("entity_id").cast("string").alias("id"), F.col("chain").alias("taxonomy"))
+    return X.override_leaves(chains, X.sample_names(examples)).select("id", F.array_join("taxonomy", " > ").alias("chain"))
+
+
+@query(
+    "SELECT DISTINCT chain[1] AS label, alias FROM {part_chains} JOIN (SELECT p_name AS id, p_type AS alias FROM {part} UNION SELECT p_name, split_part(p_name, ' ', 2) FROM {part}) USING (id) WHERE NOT list_contains(chain, alias)"
+)
+def leaf_aliases(t: Tables) -> DataFrame:
+    akas = t.part.select(F.col("p_name").alias("id"), F.explode(F.array("p_type", F.split_part("p_name", F.lit(" "), F.lit(2)))).alias("alias"))
+    return X.leaf_aliases(t.part_chains.withColumn("pruned", F.reverse("chain")), akas)
+
+
+@query("SELECT source AS dataset, count(*)::BIGINT AS examples FROM {documents} GROUP BY 1")
+def examples_by_dataset(t: Tables) -> DataFrame:
+    return X.examples_by_dataset(t.documents.withColumnRenamed("source", "dataset"))

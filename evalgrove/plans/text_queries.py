@@ -125,3 +125,30 @@ _PATH = "concat('/runs/', source, '/', CASE doc_id % 4 WHEN 0 THEN 'r_samples.js
 def results_path(t: Tables) -> DataFrame:
     rows = t.documents.selectExpr(f"{_PATH} AS path").distinct()
     return rows.select("path", T.results_path(F.col("path")).alias("results"))
+
+
+_RUN = "CASE WHEN doc_id % 3 > 0 THEN concat('/logs/lab_m-', CAST(doc_id % 9 AS STRING), 'b-instruct/', source, '/x_scored.jsonl') ELSE concat('/logs/other/', source, '/y.v', CAST(doc_id % 5 AS STRING), '_scored.jsonl') END"
+
+
+@query(
+    "SELECT DISTINCT path, CASE WHEN regexp_extract(path, '/lab_m-([^/]*)-instruct/', 1) <> '' THEN upper(regexp_extract(path, '/lab_m-([^/]*)-instruct/', 1)) ELSE regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') END AS run, "
+    "CASE WHEN regexp_extract(path, 'm-(\\d+b)', 1) <> '' THEN concat('Model ', upper(regexp_extract(path, 'm-(\\d+b)', 1))) ELSE split_part(path, '/', -3) END AS label, split_part(path, '/', -2) AS folder, "
+    "CASE WHEN path LIKE '%m-%' THEN concat('M ', upper(regexp_extract(path, '-(\\d+b)-', 1))) ELSE 'other' END AS bare, regexp_replace(path, '\\.jsonl$', '_rsa_n16_k4_t2.jsonl') AS aggregated "
+    f"FROM (SELECT {_RUN} AS path FROM {{documents}})"
+)
+def run_labels(t: Tables) -> DataFrame:
+    rows, path = t.documents.selectExpr(f"{_RUN} AS path").distinct(), F.col("path")
+    slug = T.above(path, 2)
+    return rows.select(
+        "path", T.run_label(path, "lab_m-", "-instruct").alias("run"), T.path_label(path, {"m": "Model"}).alias("label"), T.above(path).alias("folder"),
+        T.model_label(slug, {"lab_m": "M"}, bare=True).alias("bare"), T.aggregated_path(path, 16, 4, 2).alias("aggregated"),
+    )
+
+
+@query(
+    "SELECT event_id, concat('logs/eval_', event_type, '_concise/lab_m-', user_id::VARCHAR, 'b/', strftime(ts, '%Y%m%d_%H%M%S'), '_', lpad((event_id % 1000000)::VARCHAR, 6, '0')) AS folder FROM {events}"
+)
+def output_dir(t: Tables) -> DataFrame:
+    model = F.concat(F.lit("Lab/M-"), F.col("user_id").cast("string"), F.lit("B"))
+    run = T.run_id(F.col("ts"), F.col("event_id"))
+    return t.events.select("event_id", T.output_dir("logs", "eval", F.col("event_type"), F.lit("concise"), model, run).alias("folder"))

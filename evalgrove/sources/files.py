@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 BAD = "_corrupt_record"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Rows of JSON lines; blank lines are skipped and a malformed line fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

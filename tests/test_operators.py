@@ -163,3 +163,70 @@ def test_stream_resumes(spark, tmp_path):
     got = spark.read.parquet(out)
     assert sorted(r["data_id"] for r in got.collect()) == ["1", "2", "3"]
     assert {r["norm"] for r in got.collect()} == {"a b"}
+
+
+def test_discovery_prefers_and_reads_no_contents(spark, tmp_path):
+    from evalgrove.sources import discovery
+
+    for run, names in (("r1", ["r1_results_a.json", "common_results.json", "x_scored.jsonl"]), ("r2", ["r2_results_b.json", "r2_results_a.json", "r2_samples.jsonl", "r2_samples_shard1.jsonl"])):
+        (tmp_path / run).mkdir()
+        for name in names:
+            (tmp_path / run / name).write_text("{broken")
+    found = discovery.listing(spark, str(tmp_path / "r1"), str(tmp_path / "r2"))
+    names = lambda df: sorted(r["name"] for r in df.collect())
+    assert names(discovery.preferred(found, discovery.RESULTS, one=True)) == ["common_results.json", "r2_results_a.json"]
+    assert names(discovery.matching(found, discovery.SAMPLES)) == ["r2_samples.jsonl", "r2_samples_shard1.jsonl"]
+    assert names(discovery.matching(found, discovery.SCORED)) == ["x_scored.jsonl"]
+
+
+def test_cache_asks_for_what_is_missing(spark, tmp_path):
+    from evalgrove.sources import caches
+
+    folder, asked = str(tmp_path / "c"), []
+
+    def fetch(keys):
+        asked.append(sorted(r["id"] for r in keys.collect()))
+        return keys.where("id <> 'gone'").select("id", F.upper("id").alias("told"))
+
+    ask = lambda *ids: sorted((r["id"], r["told"]) for r in caches.filled(spark.createDataFrame([(i,) for i in ids], "id string"), fetch, folder, "id string, told string", batch=2).collect())
+    assert ask("a", "b", "a", None, "gone") == [("a", "A"), ("b", "B")]
+    assert sorted(sum(asked, [])) == ["a", "b", "gone"] and len(asked) == 2
+    asked.clear()
+    assert ask("b", "c") == [("b", "B"), ("c", "C")] and asked == [["c"]]
+    assert ask() == []
+
+
+def test_vectors_are_kept_by_model_and_labels(spark, tmp_path):
+    from evalgrove.sources import caches
+
+    asked = []
+
+    def encode(nodes):
+        asked.append(1)
+        return nodes.select("label", "ord", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+
+    one = spark.createDataFrame([("a", 0), ("b", 1)], "label string, ord int")
+    for _ in range(2):
+        assert caches.node_vectors(one, encode, str(tmp_path), "lab/m").count() == 2
+    assert len(asked) == 1
+    (kept,) = tmp_path.iterdir()
+    (kept / "_SUCCESS").unlink()  # a write that broke off
+    assert caches.node_vectors(one, encode, str(tmp_path), "lab/m").count() == 2 and len(asked) == 2
+    caches.node_vectors(one.where("ord = 0"), encode, str(tmp_path), "lab/m")
+    caches.node_vectors(one, encode, str(tmp_path), "lab/n")
+    assert len(asked) == 4 and len(list(tmp_path.iterdir())) == 3
+
+
+def test_leaves_named_by_samples(spark):
+    from evalgrove.plans import pipelines
+
+    chains = spark.createDataFrame([("1", ["cat", "animal"]), ("2", ["dog", "animal"]), ("3", [])], "id string, taxonomy array<string>")
+    examples = spark.createDataFrame([("1", "kitty", None, 0), ("1", "mog", "moggy", 1), ("3", "x", None, 2), (None, "y", None, 3)], "entity_id string, answer string, original_answer string, ord int")
+    akas = spark.createDataFrame([("1", "animal"), ("1", "feline"), ("2", "hound"), ("9", "z")], "id string, alias string")
+    names = taxonomy.sample_names(examples)
+    index = pipelines.taxonomy_index(chains, names=names, akas=akas)
+    assert sorted(r["label"] for r in index["nodes"].collect()) == ["animal", "dog", "moggy"]
+    assert sorted(r["path"][0] for r in index["entities"].collect()) == ["cat", "dog"]
+    assert sorted((r["alias"], r["label"]) for r in index["aliases"].collect()) == [("feline", "moggy"), ("hound", "dog")]
+    renamed = pipelines.taxonomy_index(chains, names=names, rename_entities=True)
+    assert sorted(r["path"][0] for r in renamed["entities"].collect()) == ["dog", "moggy"]

@@ -92,7 +92,14 @@ def test_command_line(spark, tmp_path):
     assert {m["measure"] for m in results["measures"]} == {"contained", "exact_match", "judge"}
     cli.main(["audit", at("j.jsonl"), "--aliases", at("a.jsonl"), "--chains", at("c.jsonl"), "--out", at("t")], spark)
     told = spark.read.option("sep", "\t").option("header", True).csv(at("t")).head()
-    assert told["alias"] == "1"
+    assert told["alias"] == "1" and told["rows"] == "3" and told["run"] == "j"
+    (tmp_path / "runs" / "lab-m-instruct").mkdir(parents=True)
+    for name in ("a_scored.jsonl", "b_scored.jsonl", "b_judged.jsonl"):
+        (tmp_path / "runs" / "lab-m-instruct" / name).write_text((tmp_path / "j.jsonl").read_text())
+    cli.main(["audit", at("runs"), "--out", at("t2"), "--lead", "lab-", "--tail=-instruct"], spark)
+    (told,) = spark.read.option("sep", "\t").option("header", True).csv(at("t2")).collect()
+    assert told["run"] == "M" and told["rows"] == "6"
+    cli.main(["audit", at("runs"), "--details"], spark)
     cli.main(["prepare", at("x.jsonl"), "--paths", at("p.csv"), "--out", at("e")], spark)
     assert files.read_jsonl(spark, at("e"), schemas.EXAMPLES).head()["dataset"] == "birds"
     cli.main(["questions", at("x.jsonl"), "--chains", at("c.jsonl"), "--out", at("q")], spark)

@@ -46,7 +46,12 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
     measures = tuple(M.MEASURES) if a.measure == "all" else (a.measure,)
     if set(measures) - set(known):
         raise SystemExit(f"unknown measure {a.measure!r}, known: {', '.join((*known, 'all'))}")
-    scored = pipelines.score_rows(rows, _index(spark, a.chains, a.index), measures, a.top_k, a.min_score)
+    near = None
+    if a.encoder:
+        if not a.vectors:
+            raise SystemExit("--encoder needs --vectors, a folder that keeps the nodes' vectors")
+        near = pipelines.embedded(_client(spark, a.encoder), a.vectors, a.model or a.encoder)
+    scored = pipelines.score_rows(rows, _index(spark, a.chains, a.index), measures, a.top_k, a.min_score, candidates_of=near)
     scored.write.mode("overwrite").json(a.out)
     _write_results(spark.read.schema(scored.schema).json(a.out), a)
 
@@ -74,11 +79,17 @@ def _source(spark: SparkSession, a: argparse.Namespace, n: int = 1):
         raise SystemExit("one of --client and --replies is needed")
     if a.replies:
         return J.replay(files.read_jsonl(spark, a.replies, schemas.REPLIES))
-    module, _, name = a.client.partition(":")
+    client = _client(spark, a.client)
+    return J.complete_with(client, n)
+
+
+def _client(spark: SparkSession, named: str):
+    """A function of that module, looked up on the executors."""
+    module, _, name = named.partition(":")
     found = importlib.import_module(module)  # a wrong name fails here, not on the executors
     if not hasattr(found, "__path__"):
         spark.sparkContext.addPyFile(found.__file__)
-    return J.complete_with(lambda prompts, n: getattr(importlib.import_module(module), name)(prompts, n), n)
+    return lambda *given: getattr(importlib.import_module(module), name)(*given)
 
 
 def _rows(spark: SparkSession, a: argparse.Namespace, schema: str) -> DataFrame:
@@ -241,6 +252,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     sub.add_argument("--chains")
     sub.add_argument("--index", help="a folder that the index command wrote")
     sub.add_argument("--measure", default="exact_match")
+    sub.add_argument("--encoder", help="module:function that gives texts their vectors, for the cascade's candidates; bigrams without")
+    sub.add_argument("--model", help="the name that vectors are kept under")
+    sub.add_argument("--vectors")
     sub.add_argument("--top-k", type=int, default=3)
     sub.add_argument("--min-score", type=float, default=0.35)
     sub.add_argument("--max-examples", type=int)

@@ -7,8 +7,13 @@ Predictions are matched once per distinct text.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from evalgrove.functions import metrics as M
 from evalgrove.functions import text as T
@@ -116,6 +121,32 @@ def nearest(queries: DataFrame, nodes: DataFrame, k: int, key: str = "id", vecto
     return found if blocks == 1 else best(found)
 
 
+def encode_with(client: Callable[[list[str]], Sequence[Sequence[float]]], text: str, batch: int = 256) -> Callable[[DataFrame], DataFrame]:
+    """Adds embedding, the unit vector that client(texts) gives for a column, asked on the executors a batch at a time.
+
+    A vector of zeros stays one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                vectors = np.asarray(client(part.column(text).to_pylist()), np.float64)
+                length = np.linalg.norm(vectors, axis=1, keepdims=True)
+                unit = vectors / np.where(length > 0, length, 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(unit), pa.list_(pa.float64()))], [*part.schema.names, "embedding"])
+
+    return lambda rows: rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
+
+
+def cosine_candidates(texts: DataFrame, nodes: DataFrame, vectors: DataFrame, encode: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """(text, rank, label, path, ord, score): the k nodes nearest each text. vectors: (label, ord, embedding) of the nodes."""
+    # written, for each block of nodes reads the texts' vectors again
+    asked = staged(encode(texts.select("text")), "vectors")
+    paths = nodes.select(F.col("ord").alias("_o"), "path")
+    return nearest(asked, vectors, k, key="text").join(paths, F.col("ord") == F.col("_o")).select("text", "rank", "label", "path", "ord", "score")
+
+
 def _deepest(candidates: Column, method: str) -> Column:
     """struct(node, path, method) of the deepest of structs with depth and rank, the first of several; null of none."""
     ranked = F.transform(candidates, lambda x: F.struct((-x["depth"]).alias("d"), x["rank"].alias("r"), F.struct(x["label"].alias("node"), x["path"].alias("path"), F.lit(method).alias("method")).alias("x")))

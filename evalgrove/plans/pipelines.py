@@ -6,7 +6,7 @@ Rows are the nested stage tables of sources.schemas; inside, answers are long ta
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +18,11 @@ from evalgrove.operators import match as M
 from evalgrove.operators import rollouts as R
 from evalgrove.operators import score as S
 from evalgrove.operators import taxonomy as X
-from evalgrove.sources import files, schemas
+from evalgrove.sources import caches, files, schemas
 
 KEY = "row_id"
+#: Functions of (texts, nodes, k) that return (text, rank, label, path, ord, score).
+Candidates = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
 def taxonomy_index(
@@ -66,12 +68,22 @@ def _optional(rows: DataFrame, name: str, kind: str):
     return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
 
 
-def score_rows(rows: DataFrame, index: dict[str, DataFrame], measures: Sequence[str] = ("exact_match",), k: int = 3, min_score: float | None = 0.35, similarity: str = "bigrams") -> DataFrame:
+def embedded(client: Callable[[list[str]], Sequence[Sequence[float]]], folder: str, model: str) -> Candidates:
+    """Candidates of largest cosine, by a client that gives texts their vectors; those of the nodes are kept in folder."""
+
+    def candidates(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+        vectors = caches.node_vectors(nodes.select("label", "ord"), M.encode_with(client, "label"), folder, model)
+        return M.cosine_candidates(texts, nodes, vectors, M.encode_with(client, "text"), k)
+
+    return candidates
+
+
+def score_rows(rows: DataFrame, index: dict[str, DataFrame], measures: Sequence[str] = ("exact_match",), k: int = 3, min_score: float | None = 0.35, similarity: str = "bigrams", candidates_of: Candidates | None = None) -> DataFrame:
     """rows with <measure>_{predicted_node, predicted_path, hP, hR, hF, exact_match, mapping_method} and scored_reference_path.
 
     Direct measures take the best of the distinct answers that were judged right, else the selected text,
-    else the prediction. 'cascade' takes the best of all answers, with candidates by one of match.SIMILARITIES.
-    Row ids must be unique.
+    else the prediction. 'cascade' takes the best of all answers, with candidates by one of match.SIMILARITIES
+    or by candidates_of(texts, nodes, k), such as embedded(). Row ids must be unique.
     """
     rows = _keyed(R.strip_columns(rows, prefixes=tuple(f"{m}_" for m in measures), names=("scored_reference_path", *R.STALE_COLUMNS)))
     base = rows.select(KEY, T.clean_light(F.coalesce("answer", F.lit(""))).alias("answer"), _optional(rows, "entity_id", "string").alias("entity_id"))
@@ -91,7 +103,10 @@ def score_rows(rows: DataFrame, index: dict[str, DataFrame], measures: Sequence[
         unique = candidates.select("text").distinct()
         if measure == "cascade":
             full = unique.where(F.col("text") != "")
-            top = M.top_k(full, index["nodes"], M.SIMILARITIES[similarity](full, index["nodes"]), k, last_wins=False)
+            if candidates_of:
+                top = candidates_of(full, index["nodes"], k)
+            else:
+                top = M.top_k(full, index["nodes"], M.SIMILARITIES[similarity](full, index["nodes"]), k, last_wins=False)
             found = M.cascade(full, index["nodes"], top, min_score)
         else:
             found = M.direct(unique, index["nodes"], measure)

@@ -159,3 +159,19 @@ def test_catalog_and_index_commands(spark, tmp_path, capsys):
     assert one == two
     cli.main(["aggregate", at("s1"), "--results", at("again")], spark)
     assert json.loads(spark.read.text(at("again")).head()["value"]) == one
+
+
+def test_cascade_by_an_encoder(spark, index, tmp_path, monkeypatch):
+    (tmp_path / "letters_client.py").write_text("def vectors(texts):\n    return [[t.lower().count(c) for c in 'abcdefghijklmnopqrstuvwxyz'] for t in texts]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    rows = [{"data_id": str(i), "entity_id": "Q1", "answer": "poodle", "all_texts": [t]} for i, t in enumerate(("poodels", "777", "Poodle", "a dog?"))]
+    (tmp_path / "j.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    (tmp_path / "c.jsonl").write_text("".join(json.dumps({"id": i, "taxonomy": t}) + "\n" for i, t in CHAINS))
+    at = lambda name: str(tmp_path / name)
+    asked = ["score", at("j.jsonl"), "--chains", at("c.jsonl"), "--out", at("s"), "--results", at("r"), "--measure", "cascade", "--encoder", "letters_client:vectors"]
+    with pytest.raises(SystemExit):
+        cli.main(asked, spark)
+    cli.main([*asked, "--vectors", at("v"), "--model", "lab/letters"], spark)
+    got = {r["data_id"]: (r["cascade_predicted_node"], r["cascade_mapping_method"]) for r in spark.read.json(at("s")).select("data_id", "cascade_mapping_method", "cascade_predicted_node").collect()}
+    assert got == {"0": ("poodle", "top_score"), "1": (None, "none"), "2": ("poodle", "exact_match_in_top_k"), "3": ("dog", "ngram_topk_match_1")}
+    assert [p.name.startswith("letters_") for p in (tmp_path / "v").iterdir()] == [True]

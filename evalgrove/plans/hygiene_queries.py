@@ -196,11 +196,11 @@ def judged_files(t: Tables) -> DataFrame:
     return discovery.preferred(found, discovery.JUDGED).select("run_dir", "name")
 
 
-@query("SELECT doc_id AS id, concat('about ', doc_id::VARCHAR) AS description, doc_id % 3 > 0 AS late FROM {documents} WHERE doc_id % 2 = 0")
+@query("SELECT doc_id AS id, concat('about ', doc_id::VARCHAR) AS description, doc_id % 3 > 0 AS late FROM {documents}")
 def cache_fill(t: Tables) -> DataFrame:
-    """A cache that holds every third id is asked for every second: the rest is fetched, what is there stays."""
+    """A cache that a run left with every third id is asked for all: the rest is fetched, what is there stays."""
     folder = f"{staging.shared_folder(t.spark)}/cache-{uuid.uuid4().hex}"
     fetch = lambda late: lambda keys: keys.select("id", F.concat(F.lit("about "), F.col("id").cast("string")).alias("description"), F.lit(late).alias("late"))
     ids, schema = t.documents.select(F.col("doc_id").alias("id")), "id bigint, description string, late boolean"
     caches.filled(ids.where("id % 3 = 0"), fetch(False), folder, schema)
-    return caches.filled(ids.where("id % 2 = 0"), fetch(True), folder, schema)
+    return caches.filled(ids, fetch(True), folder, schema)

@@ -12,7 +12,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -118,6 +120,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many bytes in a text column; a longer text is a part of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def word_count(text):
     """Column: number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_dedup, quality, rules, secrets, spans, suffixes, warc
+from . import decontaminate, exact_dedup, language, mixing, near_dedup, quality, resample, rules, search, secrets, spans, suffixes, warc
 from .common import Folder, release, table
 
 
@@ -57,11 +57,24 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_pieces", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return resample.rank(docs, resample.trained(docs, table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_near_dedup, op3_suffix_dedup, op4_secret_scan, op5_language, op6_quality, op7_warc, op8_rules,
-        op9_decontaminate, op10_sentence_spans,
+        op9_decontaminate, op10_sentence_spans, op11_exact_dedup, op12_search, op13_resample,
     )
 }
 
@@ -153,5 +166,45 @@ words AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(rang
 items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS all_items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(all_items, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+""",
+    "op11_exact_dedup": f"""
+WITH d AS (SELECT doc_id, {_LOW.format(x="text")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+""",
+    "op12_search": f"""
+WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY 1),
+i AS (SELECT item_id, term FROM (SELECT item_id, unnest(list_distinct({_BENCH_WORDS})) AS term FROM benchmark)),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, c),
+s AS (SELECT item_id, doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+  FROM i JOIN tf ON i.term = tf.term JOIN w ON i.term = w.term, c GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+""",
+    "op13_resample": f"""
+WITH crc AS (SELECT list(list_reduce([b, 1, 1, 1, 1, 1, 1, 1, 1], lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS e FROM range(256) r(b)),
+words AS (SELECT 0 AS target, doc_id, {_BENCH_WORDS} AS w FROM documents UNION ALL SELECT 1, NULL, {_BENCH_WORDS} FROM benchmark),
+rows AS (SELECT row_number() OVER () AS r, * FROM words),
+runs AS (SELECT r, target, list_concat(w, [concat(w[i], ' ', w[i + 1]) for i in range(1, len(w))]) AS g FROM rows),
+f AS (SELECT r, target, unnest(g) AS x FROM runs),
+u AS (SELECT DISTINCT x FROM f),
+h AS (SELECT x, hex(encode(x)) AS hx FROM u),
+b AS (SELECT x, list_reduce(list_concat([4294967295], [16 * (strpos('0123456789ABCDEF', substr(hx, i, 1)) - 1) + strpos('0123456789ABCDEF', substr(hx, i + 1, 1)) - 1 for i in range(1, length(hx), 2)]),
+  lambda a, y: xor(a >> 8, crc.e[(xor(a, y) & 255) + 1])) AS reg FROM h, crc),
+k AS (SELECT x, xor(reg, 4294967295) % 10000 AS bucket FROM b),
+fk AS (SELECT r, target, bucket FROM f JOIN k ON f.x = k.x),
+n AS (SELECT bucket, count_if(target = 0)::DOUBLE AS s, count_if(target = 1)::DOUBLE AS t FROM fk GROUP BY 1),
+tot AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM n),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1) * (big_s + 10000)) / ((s + 1) * (big_t + 10000))))::BIGINT AS gain FROM n, tot),
+doc AS (SELECT r, count(*)::BIGINT AS n, sum(gain)::BIGINT AS g FROM fk JOIN gain ON fk.bucket = gain.bucket WHERE target = 0 GROUP BY 1),
+wt AS (SELECT rows.doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(CASE WHEN g >= 0 THEN g // n ELSE -((-g + n - 1) // n) END, 0)::BIGINT AS weight,
+  ('0x' || substr(sha256('7:' || rows.doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM rows LEFT JOIN doc ON rows.r = doc.r WHERE target = 0),
+sc AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM wt),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM sc WHERE words >= 20)
+SELECT sc.doc_id, n_features, weight, score, CASE WHEN rank <= (25 * n) // 100 THEN rank END::BIGINT AS rank FROM sc LEFT JOIN rk ON sc.doc_id = rk.doc_id
 """,
 }

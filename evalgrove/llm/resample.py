@@ -104,9 +104,12 @@ def _pieces(data: bytes, limit: int) -> Iterator[tuple[int, int, bool]]:
         last = end
         while last > start and CLASS[data[last - 1]] == 0:
             last -= 1
+        if last == start:  # no word in it
+            start = done = end
+            continue
         while last > start and CLASS[data[last - 1]] != 0:
             last -= 1
-        start, done = (last, end) if last < end else (end, end)
+        start, done = last, end
 
 
 def features(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -35,6 +35,11 @@ def replay(table: DataFrame) -> Source:
     return lambda prompts: table.join(prompts, "prompt", "left_semi")
 
 
+def in_round(source: Source, number: int) -> Source:
+    """The source as it is asked in one of several rounds: one that keeps replies keeps each round's apart."""
+    return source.in_round(number) if hasattr(source, "in_round") else source
+
+
 def fan_out(rows: DataFrame, source: Source) -> DataFrame:
     """rows (with prompt) joined to the replies of their prompts; each distinct prompt is asked once."""
     return rows.join(source(rows.select("prompt").distinct()), "prompt")
@@ -102,23 +107,25 @@ def aggregate_rounds(rollouts: DataFrame, questions: DataFrame, source: Source,
     for step in range(1, steps):
         drawn = subsets(members, k, population_size, f"{seed}/{step}").join(questions, "example_id")
         asked = drawn.withColumn("prompt", P.aggregation_prompt(F.col("question"), F.col("candidates"), variant))
-        members = staged(fan_out(asked, source).select("example_id", F.col("subset").alias("slot"), F.col("reply").alias("text")), "round")
+        members = staged(fan_out(asked, in_round(source, step)).select("example_id", F.col("subset").alias("slot"), F.col("reply").alias("text")), "round")
     return members
 
 
 def iterate(examples: DataFrame, source: Source, rounds: int = 1, feedback: bool = False, max_chars: int = 2000, variant: str = "barebones") -> DataFrame:
-    """(example_id, round, attempt, text) of rounds of attempts; with feedback a round sees the one before.
+    """(example_id, round, attempt, text) of rounds of attempts; with feedback a round's prompt ends with the notes on all rounds before.
 
-    No attempt is taken as success here, so every example runs all rounds.
+    No attempt is taken as success here, so every example runs all rounds. Notes follow the question in order, as the
+    turns of a conversation do. Prompts and attempts are written each round, so the number of rounds doesn't lengthen the plan.
     """
     from evalgrove.sources.staging import staged
 
-    base = examples.withColumn("prompt", P.question_prompt(F.col("question"), variant))
+    asked = examples.select("example_id", P.question_prompt(F.col("question"), variant).alias("prompt"))
     done = None
     for r in range(1, rounds + 1):
-        asked = base if done is None or not feedback else base.join(last, "example_id").withColumn("prompt", F.concat_ws("\n\n", "prompt", "note"))
-        got = staged(fan_out(asked.select("example_id", "prompt"), source).select("example_id", F.lit(r).alias("round"), F.col("completion").alias("attempt"), F.col("reply").alias("text")), "attempts")
+        got = staged(fan_out(asked, in_round(source, r)).select("example_id", F.lit(r).alias("round"), F.col("completion").alias("attempt"), F.col("reply").alias("text")), "attempts")
         done = got if done is None else done.unionByName(got)
-        failed = got.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("attempt", "text"))).alias("a"))
-        last = failed.select("example_id", P.feedback_block(F.lit(r), F.transform("a", lambda x: x["text"]), max_chars).alias("note"))
+        if feedback and r < rounds:
+            failed = got.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("attempt", "text"))).alias("a"))
+            notes = failed.select("example_id", P.feedback_block(F.lit(r), F.transform("a", lambda x: x["text"]), max_chars).alias("note"))
+            asked = staged(asked.join(notes, "example_id").select("example_id", F.concat_ws("\n\n", "prompt", "note").alias("prompt")), "asked")
     return done

@@ -1,27 +1,28 @@
 """Mapping answers to taxonomy nodes: direct measures, nearest neighbours, and the cascade.
 
 nodes: (label, path, depth, ord, norm), ord being the place of the label in code-point order. It is a
-reference table; it is broadcast only while it has at most BROADCAST_NODES rows, else joins shuffle.
+reference table; it is broadcast only while it has at most BROADCAST_NODES rows. Beyond it equi-joins shuffle, and
+searches take the nodes in blocks of that size.
 Predictions are matched once per distinct text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from evalgrove.functions import metrics as M
 from evalgrove.functions import text as T
+from evalgrove.functions.stem import stem_words
 from evalgrove.sources.staging import staged
 
 BROADCAST_NODES = 200_000
-#: Characters of the substrings that containment is looked up by.
-GRAM = 4
 #: Vectors of nodes that are broadcast at once.
 BLOCK_VECTORS = 50_000
 
@@ -31,44 +32,83 @@ def hinted(nodes: DataFrame) -> DataFrame:
     return F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
 
 
-def exact_hits(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+def _compared(text: Column, stem: bool) -> Column:
+    """A text as direct measures compare it, or the stems of its words."""
+    key = T.normalize_scores(text)
+    return stem_words(key) if stem else key
+
+
+def exact_hits(texts: DataFrame, nodes: DataFrame, stem: bool = False) -> DataFrame:
     """(text, label, path, ord, score) where cleaned text and label are equal after normalisation: an equi-join."""
-    key = T.normalize_scores(T.clean_full(F.col("text")))
-    keyed = nodes.select("label", "path", "ord", T.normalize_scores(F.col("label")).alias("_k"))
-    return texts.withColumn("_t", key).join(keyed, F.col("_t") == F.col("_k")).select("text", "label", "path", "ord", F.lit(1.0).alias("score"))
+    keyed = nodes.select("label", "path", "ord", _compared(F.col("label"), stem).alias("_k"))
+    asked = texts.withColumn("_t", _compared(T.clean_full(F.col("text")), stem))
+    return asked.join(keyed, F.col("_t") == F.col("_k")).select("text", "label", "path", "ord", F.lit(1.0).alias("score"))
+
 
+def _in_blocks(nodes: DataFrame, size: int) -> Iterator[list]:
+    """The rows of a reference table with ord, at most about size of them at a time."""
+    blocks = max(1, -(-nodes.count() // size))
+    for b in range(blocks):
+        yield (nodes.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == b) if blocks > 1 else nodes).collect()
 
-def gram_index(nodes: DataFrame) -> DataFrame:
-    """Nodes (label, path, ord, _k) with _g, the substring of GRAM characters of the label that fewest nodes have.
 
-    A shorter label is its own, the empty one too. The index is written, so that a plan that uses it is short.
-    """
-    keyed = staged(nodes.select("label", "path", "ord", T.normalize_scores(F.col("label")).alias("_k")), "labels")
-    sized = F.when(F.length("_k") <= GRAM, F.array("_k")).otherwise(T.char_grams(F.col("_k"), GRAM))
-    each = keyed.select("ord", F.explode(sized).alias("_g"))
-    held = each.groupBy("_g").agg(F.count("*").alias("_n"))
-    rarest = each.join(held, "_g").groupBy("ord").agg(F.min(F.struct("_n", "_g")).alias("_r")).select(F.col("ord").alias("_o"), F.col("_r._g").alias("_g"))
-    return staged(keyed.join(rarest, F.col("ord") == F.col("_o")).drop("_o"), "index")
+def _by_blocks(rows: DataFrame, nodes: DataFrame, task: Callable, schema: str, size: int) -> DataFrame:
+    """rows through task(shared) for each block of nodes, which goes out as one broadcast; several blocks are written one by one."""
+    parts = []
+    for block in _in_blocks(nodes, size):
+        shared = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in block])
+        parts.append(rows.mapInArrow(task(shared), schema))
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, [staged(p, "block") for p in parts])
+
 
+def _spotter(shared):
+    """Adds to each text the ords of the labels that are part of it, found in one scan by an automaton over all labels."""
 
-def contained_hits(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        owners: dict[str, list[int]] = {}
+        for ord_, label in shared.value:
+            owners.setdefault(label, []).append(ord_)
+        everywhere = owners.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for label, ords in owners.items():
+            automaton.add_word(label, ords)
+        automaton.make_automaton()
+        for batch in batches:
+            found = []
+            for t in batch.column("_t").to_pylist():
+                # the lists themselves are few and shared: each is counted once a text
+                seen = {id(ords): ords for _, ords in automaton.iter(t)} if owners and t else {}
+                found.append([o for ords in (everywhere, *seen.values()) for o in ords])
+            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(found, pa.list_(pa.int64()))], ["text", "ords"])
+
+    return run
+
+
+def contained_hits(texts: DataFrame, nodes: DataFrame, stem: bool = False) -> DataFrame:
     """The same where the label is part of the text, inside words too; the empty label is part of every text.
 
-    Texts meet the nodes by their own substrings, see gram_index(), and only those that meet are compared.
+    An automaton over the labels goes out under the bound of BROADCAST_NODES, in blocks beyond it, and each text is
+    scanned once a block. A row holds a text and what was found; only hits become rows of their own.
     """
-    key = T.normalize_scores(T.clean_full(F.col("text")))
-    grams = T.bound(F.filter(F.split(key, ""), lambda c: c != ""), lambda c: F.concat(F.array(F.lit("")), *[T.grams_of(c, n) for n in range(1, GRAM + 1)]))
-    own = texts.select("text", key.alias("_t"), F.explode(grams).alias("_h"))
-    hits = own.join(hinted(gram_index(nodes)), (F.col("_h") == F.col("_g")) & F.contains("_t", "_k"))
-    return hits.select("text", "label", "path", "ord", F.lit(1.0).alias("score"))
+    labels = nodes.select("ord", _compared(F.col("label"), stem).alias("_k"))
+    asked = texts.select("text", _compared(T.clean_full(F.col("text")), stem).alias("_t"))
+    found = _by_blocks(asked, labels, _spotter, "text string, ords array<long>", BROADCAST_NODES)
+    hits = found.select("text", F.explode("ords").alias("_o"))
+    named = nodes.select("label", "path", "ord")
+    return hits.join(hinted(named), F.col("_o") == F.col("ord")).select("text", "label", "path", "ord", F.lit(1.0).alias("score"))
 
 
 MEASURES = {"exact_match": exact_hits, "contained": contained_hits}
 
 
-def direct(texts: DataFrame, nodes: DataFrame, measure: str = "exact_match") -> DataFrame:
-    """(text, predicted_node, predicted_path, mapping_method): of the nodes that hit the last in order; null without a hit."""
-    best = MEASURES[measure](texts, nodes).groupBy("text").agg(F.max_by(F.struct("label", "path"), "ord").alias("b"))
+def direct(texts: DataFrame, nodes: DataFrame, measure: str = "exact_match", stem: bool = False) -> DataFrame:
+    """(text, predicted_node, predicted_path, mapping_method): of the nodes that hit the last in order; null without a hit.
+
+    With stem the stems of words are compared.
+    """
+    best = MEASURES[measure](texts, nodes, stem).groupBy("text").agg(F.max_by(F.struct("label", "path"), "ord").alias("b"))
     best = best.select(F.col("text").alias("_m"), F.col("b.label").alias("predicted_node"), F.col("b.path").alias("predicted_path"))
     method = F.when(F.col("predicted_node").isNotNull(), measure)
     return texts.join(best, F.col("text") == F.col("_m"), "left").drop("_m").withColumn("mapping_method", method)
@@ -87,38 +127,165 @@ def top_k(texts: DataFrame, nodes: DataFrame, hits: DataFrame, k: int, last_wins
     return pool.withColumn("rank", place).where(F.col("rank") <= k).select("text", "rank", "label", "path", "ord", "score")
 
 
-def lexical_hits(texts: DataFrame, nodes: DataFrame, n: int = 2) -> DataFrame:
-    """(text, label, path, ord, score) of the nodes that share an n-gram with the text, by share of the label's n-grams."""
-    of_nodes = nodes.select("label", "path", "ord", T.ngrams(F.col("norm"), n).alias("_g")).withColumn("_n", F.size("_g"))
-    of_nodes = of_nodes.select("label", "path", "ord", "_n", F.explode("_g").alias("_l"))
-    of_texts = texts.select("text", F.explode(T.ngrams(T.normalize_match(T.clean_light(F.col("text"))), n)).alias("_p"))
-    met = of_texts.join(of_nodes, F.col("_p") == F.col("_l"))
-    counted = met.groupBy("text", "ord").agg((F.count("*") / F.first("_n")).alias("score"), F.first("label").alias("label"), F.first("path").alias("path"))
-    return counted.select("text", "label", "path", "ord", "score")
+def _overlapper(shared, k: int | None):
+    """The k labels of each text, or all, that have the largest share of their n-grams in it, ties by ord."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = sorted(shared.value)
+        ords, size = np.array([n[0] for n in nodes], np.int64), np.array([len(n[1]) for n in nodes], np.int64)
+        holders: dict[str, list[int]] = {}
+        for i, (_, grams) in enumerate(nodes):
+            for g in grams:
+                holders.setdefault(g, []).append(i)
+        places = {g: np.array(p) for g, p in holders.items()}
+        met = np.zeros(len(nodes), np.int64)
+        for batch in batches:
+            found = []
+            for grams in batch.column("grams").to_pylist():
+                lists = [places[g] for g in grams or () if g in places]
+                for p in lists:
+                    met[p] += 1
+                some = np.unique(np.concatenate(lists)) if lists else np.empty(0, np.int64)
+                score = met[some] / size[some]
+                met[some] = 0
+                if k and len(some) > k:
+                    least = np.partition(score, len(some) - k)[len(some) - k]
+                    some, score = some[score >= least], score[score >= least]
+                best = np.lexsort((some, -score))[:k]
+                found.append([{"ord": o, "score": x} for o, x in zip(ords[some[best]].tolist(), score[best].tolist())])
+            kind = pa.list_(pa.struct([("ord", pa.int64()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(found, kind)], ["text", "best"])
+
+    return run
+
+
+def lexical_hits(texts: DataFrame, nodes: DataFrame, k: int | None = None, n: int = 2) -> DataFrame:
+    """(text, label, path, ord, score): the nodes that share an n-gram with the text, or the k of them with the largest share of the label's n-grams.
+
+    The nodes' n-grams go out under the bound of BROADCAST_NODES, in blocks beyond it, each block's k best being
+    candidates. Shares are counted in the task that holds the text, so an n-gram that very many labels and texts have costs
+    additions but no rows: nothing is shuffled by n-gram.
+    """
+    of_nodes = nodes.select("ord", T.ngrams(F.col("norm"), n).alias("grams")).where(F.size("grams") > 0)
+    asked = texts.select("text", T.ngrams(T.normalize_match(T.clean_light(F.col("text"))), n).alias("grams"))
+    found = _by_blocks(asked, of_nodes, lambda shared: _overlapper(shared, k), "text string, best array<struct<ord:bigint,score:double>>", BROADCAST_NODES)
+    hits = found.select("text", F.inline("best")).withColumnRenamed("ord", "_o")
+    return hits.join(hinted(nodes.select("label", "path", "ord")), F.col("_o") == F.col("ord")).select("text", "label", "path", "ord", "score")
 
 
-#: Ways to find the candidates of the cascade: functions of (texts, nodes) that return (text, label, path, ord, score).
+#: Ways to find the candidates of the cascade: functions of (texts, nodes, k) that return (text, label, path, ord, score).
 SIMILARITIES = {"bigrams": lexical_hits}
 
 
-def nearest(queries: DataFrame, nodes: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = BLOCK_VECTORS) -> DataFrame:
-    """(key, rank, label, ord, score): the k nodes of largest cosine, ties by ord.
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(length > 0, length, 1)
 
-    nodes (label, ord, embedding) are broadcast a block at a time; a window group limit keeps k rows a task and
-    query before anything is shuffled, and the blocks' best are ranked once more.
+
+class _Cells:
+    """Vectors by the pivot of least angle, with the range of angles of each cell.
+
+    By the triangle inequality no vector of a cell is nearer to a query than the query's angle to the pivot is outside that
+    range: a cell whose bound lies beyond the k-th best so far is skipped, and no answer is lost.
     """
-    order = Window.partitionBy(key).orderBy(F.col("score").desc(), "ord")
-    best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    right = nodes.select("label", "ord", F.col(vector).alias("_v"))
-    blocks = max(1, -(-nodes.count() // block))
-    found = None
-    for b in range(blocks):
-        part = right if blocks == 1 else right.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == b)
-        scored = best(queries.select(key, vector).crossJoin(F.broadcast(part)).select(key, "label", "ord", M.cosine(F.col(vector), F.col("_v")).alias("score")))
-        if blocks > 1:
-            scored = staged(scored.drop("rank"), "nearest")
-        found = scored if found is None else found.unionByName(scored)
-    return found if blocks == 1 else best(found)
+
+    def __init__(self, rows: list[tuple], pivots: int):
+        rows = sorted(rows)
+        self.ords = np.array([r[0] for r in rows], np.int64)
+        self.raw = np.array([r[1] for r in rows], np.float64)
+        unit = _unit(self.raw)
+        count = max(1, min(pivots, len(rows)))
+        # every so-many-th vector, and once more the mean of its cell, which lies in its middle
+        centre = unit[np.linspace(0, len(rows) - 1, count).astype(int)]
+        of = (unit @ centre.T).argmax(axis=1)
+        self.centre = _unit(np.stack([unit[of == c].sum(axis=0) if (of == c).any() else centre[c] for c in range(count)]))
+        near = unit @ self.centre.T
+        of = near.argmax(axis=1)
+        angle = _angles(near[np.arange(len(rows)), of])
+        self.members = [np.flatnonzero(of == c) for c in range(count)]
+        self.low = np.array([angle[m].min() if len(m) else np.inf for m in self.members])
+        self.high = np.array([angle[m].max() if len(m) else -np.inf for m in self.members])
+        self.unit = [unit[m] for m in self.members]
+
+    def search(self, queries: np.ndarray, k: int) -> tuple[list, int]:
+        """((ord, score) of the k best of each query, pairs computed)."""
+        unit = _unit(queries)
+        to = _angles(unit @ self.centre.T)
+        most = np.cos(np.clip(np.maximum(to - self.high, self.low - to), 0, np.pi))  # the largest cosine that a cell allows
+        most[:, [len(m) == 0 for m in self.members]] = -np.inf
+        best: list[list] = [[] for _ in queries]
+        limit = np.full(len(queries), -2.0)
+        pairs = 0
+        order = np.argsort(-most, axis=1, kind="stable")
+        for turn in range(len(self.members)):
+            cell = order[:, turn]
+            allowed = most[np.arange(len(queries)), cell]
+            within = np.isfinite(allowed) & (allowed >= limit - SLACK)
+            if not within.any():
+                break
+            for c in np.unique(cell[within]):
+                who = np.flatnonzero(within & (cell == c))
+                members = self.members[c]
+                cosine = unit[who] @ self.unit[c].T
+                pairs += cosine.size
+                for row, q in zip(cosine, who):
+                    some = np.flatnonzero(row >= limit[q] - SLACK)
+                    best[q] = sorted(best[q] + list(zip((-row[some]).tolist(), members[some].tolist())))
+                    if len(best[q]) >= k:
+                        limit[q] = -best[q][k - 1][0]
+                        best[q] = [x for x in best[q] if -x[0] >= limit[q] - SLACK]
+        return [self._scored(q, [i for _, i in found], k) for q, found in zip(queries, best)], pairs
+
+    def _scored(self, query: np.ndarray, places: list[int], k: int) -> list[tuple[int, float]]:
+        """Candidates, near ties of the k-th among them, by the dot product in a fixed order of summation, ties by ord."""
+        score = (self.raw[places] * query).sum(axis=1)
+        order = np.lexsort((self.ords[places], -score))[:k]
+        return [(int(self.ords[places[i]]), float(score[i])) for i in order]
+
+
+#: Cosines nearer than this to the k-th best are compared anew: more than rounding and lengths near 1 can change.
+SLACK = 1e-6
+#: Pivots that a block of vectors is dealt by.
+PIVOTS = 256
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+def _seeker(shared, key: str, vector: str, k: int, pivots: int, count):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = _Cells(shared.value, pivots)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                vectors = np.array(batch.column(vector).to_pylist(), np.float64)
+                found, pairs = cells.search(vectors, k)
+                if count is not None:
+                    count.add(pairs)
+                best = [[{"ord": o, "score": s} for o, s in row] for row in found]
+                kind = pa.list_(pa.struct([("ord", pa.int64()), ("score", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(best, kind)], [key, "best"])
+
+    return run
+
+
+def nearest(queries: DataFrame, nodes: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = BLOCK_VECTORS, pivots: int = PIVOTS, computed=None) -> DataFrame:
+    """(key, rank, label, ord, score): the k nodes of largest cosine of unit vectors, ties by ord. Exact; rows without a vector are left out.
+
+    nodes (label, ord, embedding) go out a block at a time, dealt by pivots, see _Cells; a task keeps k rows a query
+    before anything is shuffled, and the blocks' best are ranked once more. computed, an accumulator, takes the
+    number of pairs whose cosine was needed.
+    """
+    held = nodes.where(F.col(vector).isNotNull()).select(F.col("ord").cast("long").alias("ord"), F.col(vector).cast("array<double>").alias("_v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
+    schema = StructType([asked.schema[key], StructField("best", ArrayType(StructType([StructField("ord", LongType()), StructField("score", DoubleType())])))])
+    if held.isEmpty():
+        return queries.limit(0).select(key, F.lit(0).alias("rank")).join(nodes.limit(0).select("label", "ord")).withColumn("score", F.lit(0.0))
+    found = _by_blocks(asked, held, lambda shared: _seeker(shared, key, vector, k, pivots, computed), schema, block)
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), "_o")
+    found = found.select(key, F.inline("best")).withColumnRenamed("ord", "_o").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.join(hinted(nodes.select("label", "ord")), F.col("_o") == F.col("ord")).select(key, "rank", "label", "ord", "score")
 
 
 def encode_with(client: Callable[[list[str]], Sequence[Sequence[float]]], text: str, batch: int = 256) -> Callable[[DataFrame], DataFrame]:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrove.functions.metrics import ROOT, chain_path
-from evalgrove.functions.text import normalize_audit, normalize_index
+from evalgrove.functions.text import normalize_audit, normalize_index, normalize_match
+from evalgrove.operators.ordinals import numbered
 from evalgrove.sources.staging import staged
 
 
@@ -39,16 +40,9 @@ def node_paths(links: DataFrame, max_depth: int = 64) -> DataFrame:
 
 
 def with_ordinals(nodes: DataFrame) -> DataFrame:
-    """Nodes with ord, their place in code-point order from 0, and the normalised label.
-
-    The ordinal counts distinct labels before a node. It takes one sorted pass over the taxonomy, which is
-    a reference table that is broadcast anyway, not data.
-    """
-    from pyspark.sql import Window
-
-    from evalgrove.functions.text import normalize_match
-
-    return nodes.withColumn("ord", F.row_number().over(Window.orderBy("label")) - 1).withColumn("norm", normalize_match(F.col("label")))
+    """Nodes with ord, their place in code-point order from 0, and the normalised label; no window holds all of them."""
+    placed = numbered(nodes, "ord", ["label"])
+    return placed.withColumn("ord", F.col("ord").cast("int")).withColumn("norm", normalize_match(F.col("label")))
 
 
 def sample_names(examples: DataFrame, order: str = "ord") -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalgrove.operators import images
 from evalgrove.operators import rollouts as R
 from evalgrove.operators import runs as N
 from evalgrove.sources import caches, discovery, files, staging
@@ -204,3 +205,22 @@ def cache_fill(t: Tables) -> DataFrame:
     ids, schema = t.documents.select(F.col("doc_id").alias("id")), "id bigint, description string, late boolean"
     caches.filled(ids.where("id % 3 = 0"), fetch(False), folder, schema)
     return caches.filled(ids, fetch(True), folder, schema)
+
+
+_STEM = "concat('img/', (page_id // 2)::VARCHAR, '.v')"
+_FILES = "SELECT concat('/data/img/', page_id::VARCHAR, '.v', CASE page_id % 4 WHEN 0 THEN '.JPEG' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.JPG' ELSE '.png' END) AS file FROM {pages} UNION ALL SELECT concat('/data/img/', page_id::VARCHAR, '.v.jpeg') FROM {pages} WHERE page_id % 3 = 0"
+
+
+@query(
+    f"WITH f AS ({_FILES}), p AS (SELECT page_id, {_STEM} AS stem, CASE page_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' ELSE '' END AS own FROM {{pages}}), "
+    "c AS (SELECT page_id, 0 AS rank, concat('/data/', stem, own) AS file FROM p UNION ALL SELECT page_id, rank, concat('/data/', CASE WHEN own = '' THEN left(stem, length(stem) - 2) ELSE stem END, suffix) FROM p, (VALUES (1, '.JPEG'), (2, '.jpeg'), (3, '.JPG')) s(rank, suffix)) "
+    "SELECT p.page_id, concat(p.stem, p.own) AS image_path, m.file AS image_file FROM p LEFT JOIN (SELECT page_id, arg_min(file, rank) AS file FROM c SEMI JOIN f ON c.file = f.file GROUP BY 1) m ON p.page_id = m.page_id"
+)
+def image_paths(t: Tables) -> DataFrame:
+    """Paths of images, several examples to one, against a listing in which some have other suffixes and some are missing."""
+    stem = F.concat(F.lit("img/"), F.floor(F.col("page_id") / 2).cast("string"), F.lit(".v"))
+    own = F.when(F.col("page_id") % 3 == 0, ".png").when(F.col("page_id") % 3 == 1, ".jpg").otherwise("")
+    name = F.concat(F.lit("/data/img/"), F.col("page_id").cast("string"), F.lit(".v"))
+    kind = F.when(F.col("page_id") % 4 == 0, ".JPEG").when(F.col("page_id") % 4 == 1, ".jpeg").when(F.col("page_id") % 4 == 2, ".JPG").otherwise(".png")
+    listed = t.pages.select(F.concat(name, kind).alias("file")).unionByName(t.pages.where("page_id % 3 = 0").select(F.concat(name, F.lit(".jpeg")).alias("file")))
+    return images.resolve(t.pages.select("page_id", F.concat(stem, own).alias("image_path")), listed, "/data")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgrove.functions import metrics as MX
@@ -94,7 +94,7 @@ def lexical_topk(t: Tables) -> DataFrame:
 
 def _candidates(t: Tables) -> DataFrame:
     texts, nodes = _texts(t), part_nodes(t)
-    return M.top_k(texts, nodes, M.lexical_hits(texts, nodes), 3, last_wins=False)
+    return M.top_k(texts, nodes, M.lexical_hits(texts, nodes, 3), 3, last_wins=False)
 
 
 _STAGES = ["SELECT text, 0 AS stage, arg_max(label, depth * 1000 - rank) AS label, 'exact_match_in_top_k' AS method FROM top WHERE norm = p AND norm <> '' GROUP BY text"]
@@ -148,7 +148,7 @@ def cascade_methods(t: Tables) -> DataFrame:
 def cascade_best_of_n(t: Tables) -> DataFrame:
     nodes = part_nodes(t)
     texts = t.rollouts.select("text").distinct()
-    top = M.top_k(texts, nodes, M.lexical_hits(texts, nodes), 3, last_wins=False)
+    top = M.top_k(texts, nodes, M.lexical_hits(texts, nodes, 3), 3, last_wins=False)
     mapped = M.cascade(texts, nodes, top)
     refs = nodes.select(F.col("label").alias("_l"), F.col("path").alias("reference_path"))
     rows = t.rollouts.join(mapped, "text", "left").join(refs, F.col("answer") == F.col("_l"))
@@ -164,8 +164,6 @@ _VOTES = "(SELECT l_orderkey AS example_id, p_name AS label, rank FROM (SELECT l
     f"(SELECT example_id, path, unnest(range(1, len(path) + 1)) AS i FROM {_VOTES} x JOIN {_NODES} n ON x.label = n.label) GROUP BY 1, 2, 3 HAVING c > 2) GROUP BY 1) v ON e.example_id = v.example_id"
 )
 def voting_ancestor(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("example_id"), F.col("p_name").alias("label")).distinct()
     lines = lines.withColumn("rank", F.row_number().over(Window.partitionBy("example_id").orderBy("label"))).where("rank <= 3")
     packed = lines.join(part_nodes(t).select("label", "path"), "label").groupBy("example_id").agg(F.collect_list(F.struct("rank", "path")).alias("c"))
@@ -185,22 +183,19 @@ def nearest_nodes(t: Tables) -> DataFrame:
     return _round(found.select("id", "rank", "label", "score"), "score", places=6)
 
 
-def _nearest(t: Tables) -> DataFrame:
-    nodes = t.embeddings.where("vec_id < 50").select(F.concat(F.lit("node"), F.col("vec_id").cast("string")).alias("label"), F.col("vec_id").alias("ord"), "embedding")
-    return M.nearest(t.embeddings.where("vec_id >= 50").withColumnRenamed("vec_id", "id"), nodes, 3)
-
-
 @query(
-    "WITH top AS (SELECT * FROM (SELECT a.vec_id AS id, b.vec_id AS ord, b.label AS cls, " + _COS + " AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY " + _COS + " DESC, b.vec_id) AS rank FROM {embeddings} a, {embeddings} b WHERE a.vec_id >= 50 AND b.vec_id < 50) WHERE rank <= 3) "
+    "WITH top AS (SELECT * FROM (SELECT a.vec_id AS id, b.vec_id AS ord, b.label AS cls, " + _COS + " AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY " + _COS + " DESC, b.vec_id) AS rank FROM {embeddings} a, {embeddings} b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 3) "
     "SELECT concat('vector ', id::VARCHAR) AS text, CASE WHEN max(score) < 0.35 THEN NULL ELSE concat('node', arg_min(ord, rank)::VARCHAR) END AS predicted_node, "
     "CASE WHEN max(score) < 0.35 THEN 'none' ELSE 'top_score' END AS mapping_method FROM top GROUP BY id"
 )
 def cascade_embedding(t: Tables) -> DataFrame:
-    """The cascade on cosine candidates; texts share no words with the labels, so scores alone decide."""
-    near = _nearest(t)
+    """The cascade on cosine candidates: every hundredth vector against all others. Texts share no words with labels, so scores decide."""
     label = F.concat(F.lit("node"), F.col("vec_id").cast("string"))
-    nodes = t.embeddings.where("vec_id < 50").select(label.alias("label"), F.array(label, F.concat(F.lit("class"), F.col("label").cast("string")), F.lit("root")).alias("path"), F.col("vec_id").alias("ord"))
+    nodes = t.embeddings.select(label.alias("label"), F.array(label, F.concat(F.lit("class"), F.col("label").cast("string")), F.lit("root")).alias("path"), F.col("vec_id").alias("ord"), "embedding")
     nodes = nodes.withColumn("norm", F.col("label")).withColumn("depth", F.size("path"))
+    near = M.nearest(t.embeddings.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "id"), nodes, 4).where("ord <> id")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
+    near = near.withColumn("rank", rank).where("rank <= 3")
     top = near.select(F.concat(F.lit("vector "), F.col("id").cast("string")).alias("text"), "rank", "label", "ord", "score").join(nodes.select("label", "path"), "label")
     return M.cascade(top.select("text"), nodes, top, 0.35).select("text", "predicted_node", "mapping_method")
 

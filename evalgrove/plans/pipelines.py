@@ -5,6 +5,7 @@ Rows are the nested stage tables of sources.schemas; inside, answers are long ta
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Sequence
 
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 
 from evalgrove.functions import prompts as P
 from evalgrove.functions import text as T
+from evalgrove.functions.metrics import ROOT
 from evalgrove.operators import judge as J
 from evalgrove.operators import match as M
 from evalgrove.operators import rollouts as R
 from evalgrove.operators import score as S
 from evalgrove.operators import taxonomy as X
-from evalgrove.sources import caches, files, schemas
+from evalgrove.sources import caches, discovery, files, schemas
+from evalgrove.sources.staging import staged
 
 KEY = "row_id"
 #: Functions of (texts, nodes, k) that return (text, rank, label, path, ord, score).
@@ -59,9 +62,11 @@ def load_index(spark: SparkSession, folder: str, names: Sequence[str] = ("nodes"
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with their id, or a number for those without one; written, so that numbers hold and plans stay short."""
     columns = [c for c in ("data_id", "image_id") if c in rows.columns]
     first, second = (F.col(columns[0]), F.col(columns[-1])) if columns else (F.lit(None), F.lit(None))
-    return rows.withColumn(KEY, R.row_key(first.cast("string"), second.cast("string")))
+    number = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    return staged(rows.withColumn(KEY, F.coalesce(R.row_key(first.cast("string"), second.cast("string")), number)), "keyed")
 
 
 def _optional(rows: DataFrame, name: str, kind: str):
@@ -78,12 +83,13 @@ def embedded(client: Callable[[list[str]], Sequence[Sequence[float]]], folder: s
     return candidates
 
 
-def score_rows(rows: DataFrame, index: dict[str, DataFrame], measures: Sequence[str] = ("exact_match",), k: int = 3, min_score: float | None = 0.35, similarity: str = "bigrams", candidates_of: Candidates | None = None) -> DataFrame:
+def score_rows(rows: DataFrame, index: dict[str, DataFrame], measures: Sequence[str] = ("exact_match",), k: int = 3, min_score: float | None = 0.35, similarity: str = "bigrams", candidates_of: Candidates | None = None, stem: bool = False) -> DataFrame:
     """rows with <measure>_{predicted_node, predicted_path, hP, hR, hF, exact_match, mapping_method} and scored_reference_path.
 
     Direct measures take the best of the distinct answers that were judged right, else the selected text,
     else the prediction. 'cascade' takes the best of all answers, with candidates by one of match.SIMILARITIES
-    or by candidates_of(texts, nodes, k), such as embedded(). Row ids must be unique.
+    or by candidates_of(texts, nodes, k), such as embedded(). With stem, direct measures compare stems of words. Row
+    ids must be unique.
     """
     rows = _keyed(R.strip_columns(rows, prefixes=tuple(f"{m}_" for m in measures), names=("scored_reference_path", *R.STALE_COLUMNS)))
     base = rows.select(KEY, T.clean_light(F.coalesce("answer", F.lit(""))).alias("answer"), _optional(rows, "entity_id", "string").alias("entity_id"))
@@ -106,10 +112,10 @@ def score_rows(rows: DataFrame, index: dict[str, DataFrame], measures: Sequence[
             if candidates_of:
                 top = candidates_of(full, index["nodes"], k)
             else:
-                top = M.top_k(full, index["nodes"], M.SIMILARITIES[similarity](full, index["nodes"]), k, last_wins=False)
+                top = M.top_k(full, index["nodes"], M.SIMILARITIES[similarity](full, index["nodes"], k), k, last_wins=False)
             found = M.cascade(full, index["nodes"], top, min_score)
         else:
-            found = M.direct(unique, index["nodes"], measure)
+            found = M.direct(unique, index["nodes"], measure, stem)
         joined = candidates.join(found.withColumnRenamed("text", "_t"), F.col("text") == F.col("_t"), "left").drop("_t").join(refs, KEY)
         best = S.best_of(S.scored(joined), KEY)
         kept = ("predicted_node", "predicted_path", "hP", "hR", "hF", "exact_match", "mapping_method")
@@ -137,14 +143,29 @@ def run_results(scored: DataFrame, run: str, strict: bool = False) -> DataFrame:
     return out
 
 
-def infer(examples: DataFrame, source: J.Source, rounds: int = 1, feedback: bool = False, variant: str = "barebones") -> DataFrame:
-    """examples with prediction, prompt_variant, n_samples and all_texts: all attempts of all rounds in order."""
-    keyed = _keyed(R.strip_columns(examples, names=("prediction", "prompt_variant", "n_samples", "success", "all_texts")))
-    tried = J.iterate(keyed.select(F.col(KEY).alias("example_id"), "question"), source, rounds, feedback, variant=variant)
-    lists = tried.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("round", "attempt", "text"))).alias("r"))
-    lists = lists.select("example_id", F.transform("r", lambda x: x["text"]).alias("all_texts"))
-    out = keyed.join(lists, F.col(KEY) == F.col("example_id")).drop("example_id", KEY)
-    return out.withColumns({"prediction": F.get("all_texts", F.lit(0)), "prompt_variant": F.lit(variant), "n_samples": F.size("all_texts")})
+def infer(
+    examples: DataFrame, source: J.Source, rounds: int = 1, feedback: bool = False, variant: str = "barebones", max_feedback_chars: int = 2000, method: str | None = None, sampling: str = "",
+) -> DataFrame:
+    """examples with prediction, method, prompt_variant, sampling, n_samples and all_texts: all attempts of all rounds in order.
+
+    Several rounds make the method 'iterative', with attempts (round, attempt, text, matched), total_attempts,
+    success and success_round, which stay null and 0: the judge decides. Else it is 'naive-sampling' or, for one answer, 'naive'.
+    """
+    fresh = ("prediction", "method", "prompt_variant", "sampling", "n_samples", "all_texts", "success", "success_round", "attempts", "total_attempts", "attempts_per_round", "max_rounds", "enable_feedback")
+    keyed = _keyed(R.strip_columns(examples, names=fresh))
+    tried = J.iterate(keyed.select(F.col(KEY).alias("example_id"), "question"), source, rounds, feedback, max_feedback_chars, variant)
+    entry = F.struct("round", (F.col("attempt") + 1).alias("attempt"), "text", F.lit(None).cast("boolean").alias("matched"))
+    lists = tried.groupBy("example_id").agg(F.array_sort(F.collect_list(entry)).alias("attempts"))
+    out = keyed.join(lists, F.col(KEY) == F.col("example_id")).drop("example_id", KEY).withColumn("all_texts", F.transform("attempts", lambda x: x["text"]))
+    several = F.when(F.size("all_texts") > 1, "naive-sampling").otherwise("naive")
+    told = {
+        "prediction": F.get("all_texts", F.lit(0)), "method": F.lit(method or "iterative") if method or rounds > 1 else several, "prompt_variant": F.lit(variant), "sampling": F.lit(sampling), "n_samples": F.size("all_texts"),
+    }
+    if rounds > 1:
+        per_round = F.size(F.filter("attempts", lambda x: x["round"] == 1))
+        told |= {"attempts_per_round": per_round, "max_rounds": F.lit(rounds), "enable_feedback": F.lit(feedback), "success": F.lit(None).cast("boolean"), "success_round": F.lit(0), "total_attempts": F.size("attempts")}
+        return out.withColumns(told)
+    return out.drop("attempts").withColumns(told)
 
 
 def self_aggregate(samples: DataFrame, source: J.Source, population: int = 16, k: int = 4, steps: int = 2, selection: str = "first", seed: str = "1234", variant: str = "barebones") -> DataFrame:
@@ -165,13 +186,20 @@ def run_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     A run's metadata is the first of its *_metadata.json files with model, prompt_variant and data; the judge's
     model comes from those that name one.
     """
-    parent = re.escape(folder.rstrip("/").rsplit("/", 1)[0] + "/")
-    at = lambda path: F.regexp_extract(path, f"{parent}(.*)/[^/]+$", 1)
-    name = lambda path: F.substring_index(path, "/", -1)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").load(folder).select("path")
-    counted = files.rows_by_file(spark, folder, "*_samples*.jsonl").withColumnRenamed("file", "_file")
     plain = lambda path: F.regexp_replace(path, "^file:/+", "/")
-    found = listed.join(counted, plain(F.col("path")) == plain(F.col("_file")), "left").select(at(F.col("path")).alias("run_dir"), name(F.col("path")).alias("name"), F.coalesce("rows", F.lit(0)).alias("rows"))
+    parent = re.escape(re.sub("^file:/+", "/", folder).rstrip("/").rsplit("/", 1)[0] + "/")
+    at = lambda path: F.regexp_extract(plain(path), f"{parent}(.*)/[^/]+$", 1)
+    name = lambda path: F.substring_index(path, "/", -1)
+    listed = discovery.listing(spark, folder).select("path")
+    # only samples are read, by path
+    samples = [r["path"] for r in discovery.matching(listed.withColumn("name", name(F.col("path"))), discovery.SAMPLES).select("path").collect()]
+    found = listed.select(at(F.col("path")).alias("run_dir"), name(F.col("path")).alias("name"), plain(F.col("path")).alias("_path"))
+    if samples:
+        counted = files.rows_by_file(spark, samples, "*.json*", whole=True).select(plain(F.col("file")).alias("_file"), "rows")
+        found = found.join(counted, F.col("_path") == F.col("_file"), "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    else:
+        found = found.withColumn("rows", F.lit(0).cast("long"))
+    found = found.select("run_dir", "name", "rows")
     told = spark.read.schema(schemas.METADATA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_metadata.json").json(folder)
     path = F.col("_metadata.file_path")
     told = told.select(at(path).alias("run_dir"), name(path).alias("name"), "*")
@@ -210,7 +238,34 @@ def judge_rows(rows: DataFrame, source: J.Source, structured: bool = False, evid
     for verdict, suffix in (("verdict", ""), ("verdict_majority", "_majority")):
         hits = J.hits(voted, KEY, verdict)
         out = out.join(hits.select(F.col(KEY).alias("_k"), *[F.col(c).alias(c + suffix) for c in ("judge_hit", "judge_hit_count", "judge_selected", "judge_selected_text")]), F.col(KEY) == F.col("_k"), "left").drop("_k")
-    return out.drop(KEY)
+    # rows without answers are written through with empty verdicts
+    none = {"judge_verdicts": F.array().cast("array<boolean>"), "judge_parse_ok": F.array().cast("array<boolean>"), "judge_reasons" if structured else "judge_raw": F.array().cast("array<string>")}
+    for suffix in ("", "_majority"):
+        none |= {f"judge_hit{suffix}": F.lit(False), f"judge_hit_count{suffix}": F.lit(0).cast("long"), f"judge_selected{suffix}": F.lit(-1), f"judge_selected_text{suffix}": F.lit("")}
+    none |= {"judge_verdicts_majority": F.array().cast("array<boolean>"), "judge_votes": F.array().cast(schemas.VOTES)}
+    return out.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()}).drop(KEY)
+
+
+def evidence(labels: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """(entity_id, labels, descriptions) for judge_rows() of leaf-first chains (id, taxonomy) of labels and of descriptions."""
+    told = descriptions.select(F.col("id").alias("entity_id"), F.col("taxonomy").alias("descriptions"))
+    return told.join(labels.select(F.col("id").alias("_l"), F.col("taxonomy").alias("labels")), F.col("entity_id") == F.col("_l"), "left").select("entity_id", "labels", "descriptions")
+
+
+def label_chains(entities: DataFrame) -> DataFrame:
+    """(id, taxonomy) of an index's entities: their paths without the root."""
+    bare = F.when(F.element_at("path", -1) == ROOT, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path"))
+    return entities.select("id", bare.alias("taxonomy"))
+
+
+def read_scored(spark: SparkSession, path: str) -> DataFrame:
+    """A scored file with all columns of its measures, null where JSON left them out; measures are told by its first row."""
+    lines = spark.read.text(path).where(F.trim("value") != "").head(1)
+    keys = json.loads(lines[0]["value"]) if lines else {}
+    measures = sorted(k[: -len("_hP")] for k in keys if k.endswith("_hP"))
+    if not measures:
+        raise ValueError(f"{path} has no scores")
+    return files.read_jsonl(spark, path, ", ".join([schemas.JUDGED, "scored_reference_path array<string>", *(schemas.MEASURED.format(m=m) for m in measures)]))
 
 
 def repair(samples: DataFrame, inputs: DataFrame, expected: int, shards: int, bad: str = "_corrupt_record") -> dict[str, DataFrame]:
@@ -224,9 +279,9 @@ def repair(samples: DataFrame, inputs: DataFrame, expected: int, shards: int, ba
     return {"kept": kept, "stats": R.repair_stats(fates), "shards": R.shard_counts(inputs, kept, "data_id", shards)}
 
 
-def manifest(run: str, repaired: dict[str, DataFrame], expected: int, shards: int) -> DataFrame:
-    """One JSON text on a repair: run, expected answers, number of shards, stats and shard counts."""
+def manifest(run: str, repaired: dict[str, DataFrame], expected: int, shards: int, backup: str | None = None) -> DataFrame:
+    """One JSON text on a repair: run, expected answers, number of shards, where the old shards went, stats and shard counts."""
     stats = repaired["stats"].agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "rows")))).alias("stats"))
     counts = repaired["shards"].agg(F.array_sort(F.collect_list(F.struct("shard", "expected", "completed", "remaining"))).alias("shards"))
-    whole = F.struct(F.lit(run).alias("run_id"), F.lit(shards).alias("dp"), F.lit(expected).alias("expected_rollouts"), "stats", "shards")
+    whole = F.struct(F.lit(run).alias("run_id"), F.lit(shards).alias("dp"), F.lit(expected).alias("expected_rollouts"), F.lit(backup).alias("backup_dir"), "stats", "shards")
     return stats.crossJoin(counts).select(F.to_json(whole).alias("value"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrove.functions import prompts as P
 from evalgrove.operators import judge as J
+from evalgrove.sources import replies, staging
 
 from .registry import Tables, _quoted, query
 
@@ -120,19 +123,76 @@ def rsa_subsets(t: Tables) -> DataFrame:
     return drawn.select("example_id", "subset", F.array_join("candidates", "|").alias("candidates"))
 
 
-@query("SELECT example_id, count(*)::BIGINT AS slots, count_if(length(text) = 32)::BIGINT AS replies FROM (SELECT DISTINCT example_id FROM {rollouts}) e, (SELECT unnest(range(0, 4)) AS slot, md5('x') AS text) GROUP BY 1")
+def _digested(prompts: DataFrame) -> DataFrame:
+    """A source whose reply is the digest of the prompt, so that a reply tells the whole prompt."""
+    return prompts.select("prompt", F.lit(0).alias("completion"), F.md5("prompt").alias("reply"))
+
+
+_BEFORE, _AFTER = (_q(x) for x in P.VARIANTS["barebones"].split("{}"))
+
+
+def _round_of(members: str, step: int) -> str:
+    """Four slots answered from two members each, as SQL."""
+    asked = f"concat('Question:', chr(10), chr(10), trim(concat({_BEFORE}, 'Q', example_id::VARCHAR, {_AFTER})), chr(10))"
+    many = f"concat({_q(P.MANY_CANDIDATES)}, chr(10), {asked}, chr(10), 'Candidate answers (may contain mistakes):', chr(10), chr(10), array_to_string([concat('---- Answer ', i::VARCHAR, ' ----', chr(10), trim(c[i]), chr(10)) for i in range(1, 3)], chr(10)), chr(10), 'Now write a single improved final answer.')"
+    drawn = f"SELECT example_id, slot, text, subset, md5(concat_ws('/', '1234/{step}', example_id::VARCHAR, subset::VARCHAR, slot::VARCHAR)) AS h FROM {members}, (SELECT unnest(range(0, 4)) AS subset)"
+    return f"(SELECT example_id, subset AS slot, md5({many}) AS text FROM (SELECT example_id, subset, list(text ORDER BY h, slot)[1:2] AS c FROM ({drawn}) GROUP BY 1, 2))"
+
+
+@query(f"SELECT example_id, slot::INT AS slot, text FROM {_round_of(_round_of(f'(SELECT example_id, slot, text FROM {_FIRST}, (SELECT unnest(range(0, 4)) AS slot) WHERE slot % n = r)', 1), 2)}")
 def rsa_rounds(t: Tables) -> DataFrame:
+    """Two rounds of four slots; each reply is the digest of its prompt and so of the replies in it."""
     questions = t.rollouts.select("example_id", F.concat(F.lit("Q"), F.col("example_id").cast("string")).alias("question")).distinct()
-    answer = lambda prompts: prompts.select("prompt", F.lit(0).alias("completion"), F.md5("prompt").alias("reply"))
-    out = J.aggregate_rounds(t.rollouts, questions, answer, population_size=4, k=2, steps=3)
-    return out.groupBy("example_id").agg(F.count("*").alias("slots"), F.count_if(F.length("text") == 32).alias("replies"))
+    return J.aggregate_rounds(t.rollouts, questions, _digested, population_size=4, k=2, steps=3).select("example_id", "slot", "text")
+
+
+def _note(number: int, text: str) -> str:
+    return (
+        f"concat('All sampled answers in round {number} were incorrect.', chr(10), chr(10), 'Failed attempts:', chr(10), 'Attempt 1:', chr(10), {text}, chr(10), chr(10), "
+        "'Use these failed attempts as evidence. Reflect on what they missed, then answer again. State the final class label clearly.')"
+    )
 
 
-@query("SELECT o_orderkey AS example_id, r::INT AS round, 0 AS attempt, length(md5('x'))::INT AS size FROM {orders}, (SELECT unnest([1, 2]) AS r)")
+@query(
+    f"WITH a AS (SELECT o_orderkey AS example_id, concat({_BEFORE}, 'Q', o_orderkey::VARCHAR, {_AFTER}) AS p FROM {{orders}}), b AS (SELECT *, md5(p) AS t1 FROM a), "
+    f"c AS (SELECT *, concat(p, chr(10), chr(10), {_note(1, 't1')}) AS p2 FROM b), d AS (SELECT *, md5(p2) AS t2 FROM c), e AS (SELECT *, md5(concat(p2, chr(10), chr(10), {_note(2, 't2')})) AS t3 FROM d) "
+    "SELECT example_id, r::INT AS round, 0 AS attempt, [t1, t2, t3][r] AS text FROM e, (SELECT unnest([1, 2, 3]) AS r)"
+)
 def iterative_rounds(t: Tables) -> DataFrame:
+    """Three rounds with feedback; each reply is the digest of its prompt, the notes on all rounds before among it."""
     examples = t.orders.select(F.col("o_orderkey").alias("example_id"), F.concat(F.lit("Q"), F.col("o_orderkey").cast("string")).alias("question"))
-    answer = lambda prompts: prompts.select("prompt", F.lit(0).alias("completion"), F.md5("prompt").alias("reply"))
-    return J.iterate(examples, answer, rounds=2, feedback=True).select("example_id", "round", "attempt", F.length("text").alias("size"))
+    return J.iterate(examples, _digested, rounds=3, feedback=True).select("example_id", "round", "attempt", "text")
+
+
+_ASKED = "concat('is it ', text, '?')"
+
+
+@query(
+    f"WITH p AS (SELECT DISTINCT {_ASKED} AS prompt FROM {{rollouts}}), n AS (SELECT greatest(count(*) // 8, 1) AS size, ceil(count(*) / greatest(count(*) // 8, 1))::BIGINT AS chunks FROM p), "
+    "c AS (SELECT prompt, ('0x' || substr(sha256(prompt), 1, 8))::BIGINT % chunks AS chunk FROM p, n), o AS (SELECT DISTINCT chunk FROM c ORDER BY chunk LIMIT 3) "
+    f"SELECT r.example_id, r.idx, concat(CASE WHEN c.chunk IN (FROM o) THEN '1:' ELSE '2:' END, md5(c.prompt)) AS reply, 1::BIGINT AS asked FROM {{rollouts}} r JOIN c ON concat('is it ', r.text, '?') = c.prompt"
+)
+def chunked_replies(t: Tables) -> DataFrame:
+    """A client that breaks down in its fourth chunk is asked, the next time, for the rest only; replies say which run they are of."""
+    asked = t.rollouts.select("example_id", "idx", F.concat(F.lit("is it "), "text", F.lit("?")).alias("prompt"))
+    calls = []
+
+    def answering(run: str, breaks: bool):
+        def source(prompts: DataFrame) -> DataFrame:
+            calls.append(run)
+            if breaks and len(calls) > 3:
+                raise ConnectionError("the client is gone")
+            return prompts.select("prompt", F.lit(0).alias("completion"), F.concat(F.lit(f"{run}:"), F.md5("prompt")).alias("reply"))
+
+        return source
+
+    size = max(asked.select("prompt").distinct().count() // 8, 1)
+    log = replies.ReplyLog(t.spark, staging.scratch_path(t.spark, "replies"))
+    with suppress(ConnectionError):
+        J.fan_out(asked, replies.Logged(answering("1", True), log, size))
+    out = J.fan_out(asked, replies.Logged(answering("2", False), log, size))
+    kept = log.replies().groupBy(F.col("prompt").alias("_p")).agg(F.count("*").alias("asked"))
+    return out.join(kept, F.col("prompt") == F.col("_p")).select("example_id", "idx", "reply", "asked")
 
 
 @query("SELECT conv_id, array_to_string([CASE WHEN x = 'user' THEN 'asks' WHEN x = 'assistant' THEN 'replies' ELSE '' END for x in list(role ORDER BY turn, role)], ',') AS described FROM {conversations} GROUP BY 1")

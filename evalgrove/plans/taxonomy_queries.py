@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrove.functions import metrics as M
+from evalgrove.operators import layout as L
 from evalgrove.operators import questions as Q
 from evalgrove.operators import taxonomy as X
 from evalgrove.sources import files
@@ -199,3 +200,15 @@ def leaf_aliases(t: Tables) -> DataFrame:
 @query("SELECT source AS dataset, count(*)::BIGINT AS examples FROM {documents} GROUP BY 1")
 def examples_by_dataset(t: Tables) -> DataFrame:
     return X.examples_by_dataset(t.documents.withColumnRenamed("source", "dataset"))
+
+
+@query(
+    "WITH c AS (SELECT leaf, chain[2] AS nation, chain[3] AS region FROM {geo}), "
+    "l AS (SELECT *, floor(50.0::DOUBLE + (row_number() OVER (ORDER BY region, nation, leaf) - 1) / count(*) OVER ()::DOUBLE * 1200)::INT AS x FROM c), "
+    "n AS (SELECT nation, region, (sum(x) // count(*))::INT AS x, count(*)::BIGINT AS leaves FROM l GROUP BY 1, 2), r AS (SELECT region, (sum(x) // count(*))::INT AS x, sum(leaves)::BIGINT AS leaves FROM n GROUP BY 1) "
+    "SELECT leaf AS node, nation AS parent, 3 AS depth, x, 800 AS y, 1::BIGINT AS leaves FROM l UNION ALL SELECT nation, region, 2, x, 533, leaves FROM n "
+    "UNION ALL SELECT region, 'root', 1, x, 266, leaves FROM r UNION ALL SELECT 'root', NULL, 0, (sum(x) // count(*))::INT, 0, sum(leaves)::BIGINT FROM r"
+)
+def tree_layout(t: Tables) -> DataFrame:
+    """Customers, nations and regions as a drawn tree."""
+    return L.chain_layout(t.geo)

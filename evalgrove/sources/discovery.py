@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalgrove.sources.files import logical
+
 #: Patterns of names by kind of file; of several patterns the first that a run has any of counts.
 SCORED = (r"_scored\.jsonl$",)
 JUDGED = (r"_judged\.jsonl_shard[0-3]\.jsonl$", r"^(?!.*shard).*judged.*\.jsonl$")
@@ -16,9 +18,12 @@ SAMPLES = (r"_samples\.jsonl$", r"_samples_shard[^/]*\.jsonl$")
 
 
 def listing(spark: SparkSession, *folders: str, pattern: str = "*.json*") -> DataFrame:
-    """(path, run_dir, name) of the files under folders or at paths; contents aren't read. A path that is missing is an error."""
+    """(path, run_dir, name) of the files under folders or at paths, folders of parts as the file that they make.
+
+    Contents aren't read. A path that is missing is an error.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(list(folders))
-    return found.select("path").distinct().select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("run_dir"), F.substring_index("path", "/", -1).alias("name"))
+    return found.select(logical(F.col("path")).alias("path")).distinct().select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("run_dir"), F.substring_index("path", "/", -1).alias("name"))
 
 
 def matching(files: DataFrame, patterns: Sequence[str]) -> DataFrame:

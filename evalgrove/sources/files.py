@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAD = "_corrupt_record"
@@ -13,6 +15,57 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, where = _at(spark, path)
+    system.delete(where, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a file or folder within one file system; an error if it can't be moved."""
+    system, where = _at(spark, path)
+    target = _at(spark, to)[1]
+    system.mkdirs(target.getParent())
+    if not system.rename(where, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, written aside and moved to its place, so that readers see all of it or nothing."""
+    system, where = _at(spark, path)
+    aside = _at(spark, re.sub("([^/]+)$", r"._\1", path))[1]
+    out = system.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    system.delete(where, True)
+    rename(spark, aside.toString(), path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """One small file, hidden ones too, which Spark's readers pass over."""
+    system, where = _at(spark, path)
+    stream = system.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    """Files and folders that a pattern of names fits, sorted."""
+    system, where = _at(spark, pattern)
+    return sorted(s.getPath().toString() for s in system.globStatus(where) or [])
+
+
+def logical(path: Column) -> Column:
+    """The file that a path is part of: Spark writes a file as a folder of parts, with folders of partitions between."""
+    return F.regexp_replace(path, r"(/[^/=]+=[^/]*)*/part-[^/]*$", "")
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Rows of JSON lines; blank lines are skipped and a malformed line fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -67,10 +120,11 @@ def distinct_ids(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns]).alias("entity_id")).where("entity_id is not null").distinct()
 
 
-def rows_by_file(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Non-blank lines of each file under path."""
+def rows_by_file(spark: SparkSession, path: str | list[str], pattern: str = "*.jsonl", whole: bool = False) -> DataFrame:
+    """(file, rows): non-blank lines of each file at or under path; with whole, a folder of parts counts as the file that it makes."""
     lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
-    return lines.where(F.trim("value") != "").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    file = F.col("_metadata.file_path")
+    return lines.where(F.trim("value") != "").groupBy((logical(file) if whole else file).alias("file")).agg(F.count("*").alias("rows"))
 
 
 def metrics_json(metrics: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Lineage cuts: a table written to the folder that all executors share."""
+"""Lineage cuts: a table written to the folder that all executors share, until the session ends or it is dropped."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,7 +28,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that were made here and not dropped yet.
+_LIVE: dict[str, SparkSession] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which clear() and the session's end delete."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _LIVE[path] = spark
+    return path
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear() -> None:
+    """Deletes all that was staged. Results that still read it have to be written before."""
+    for path, spark in list(_LIVE.items()):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        del _LIVE[path]
+
+
+@atexit.register
+def _end() -> None:
+    if SparkContext._active_spark_context is not None:
+        with suppress(Py4JError, OSError):  # the session may end at the same time
+            clear()

@@ -10,7 +10,9 @@ strings are compared word by word at the position. Strings of other lengths have
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,8 +25,10 @@ from .common import slices
 WINDOW = 10
 #: Words after A-Z have become a-z: what is left is 0-9, a-z and all beyond ASCII, here as UTF-8 bytes.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Bytes of benchmark words searched for at once; a larger benchmark takes several passes. Tables take about a hundred times as much.
+#: Bytes of benchmark words searched for at once; a larger benchmark is walked block by block. Tables take about a hundred times as much.
 BLOCK_BYTES = 2 << 20
+#: Bytes of texts that a task holds while it walks the blocks of a benchmark that has several.
+HELD_BYTES = 32 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,53 +87,78 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
-#: The tables of a worker process, kept from task to task, by broadcast: those of the latest blocks.
+#: The tables of a worker process, kept from task to task: those of the latest blocks.
 _BUILT: dict[tuple, tuple[dict, WuManber]] = {}
 KEPT = 2
 
 
 def _tables(shared, key: str, window: int) -> tuple[dict, WuManber]:
-    """Whose each window of a block is, and the search for them."""
+    """Whose each window of a block is, and the search for them. The block travels compressed and is opened to build the tables only."""
     if (key, window) not in _BUILT:
+        while len(_BUILT) >= KEPT:
+            del _BUILT[next(iter(_BUILT))]
         owners = defaultdict(list)
-        for item, words in shared.value:
+        for item, words in pickle.loads(zlib.decompress(shared.value)):
             for w in windows_of(words, window):
                 owners[w].append(item)
-        while len(_BUILT) >= KEPT:
-            del _BUILT[next(iter(_BUILT))]
         _BUILT[key, window] = dict(owners), WuManber(owners)
     return _BUILT[key, window]
 
 
-def _searcher(shared, key: str, window: int):
-    """Adds one block's spans and items to those that the rows carry from the blocks before."""
+def _held(batches: Iterator[pa.RecordBatch], column: str, blocks: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of the batches, one at a time for one block, else so many that blocks are changed seldom."""
+    part, size = [], 0
+    for batch in slices(batches):
+        part.append(batch)
+        size += batch.column(column).nbytes
+        if blocks == 1 or size >= HELD_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _searcher(shared: list[tuple], window: int):
+    """Spans and items of all blocks; one worker walks them, with the tables of one block or two at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, search = _tables(shared, key, window)
-        for batch in slices(batches):
-            n, spans, items = [], [], []
-            for text, old, known in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items"))):
-                words = words_of(text)
-                hits, who = [(x["s"], x["e"]) for x in old], set(known)
-                for at, s in search.find(words):
-                    hits.append((at, at + len(s)))
-                    who.update(owners[s])
-                n.append(len(words))
-                spans.append([{"s": s, "e": e} for s, e in _covered(hits)])
-                items.append(sorted(who))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], ["id", "text", "n_words", "spans", "items"])
+        for part in _held(batches, "text", len(shared)):
+            rows = sum(b.num_rows for b in part)
+            hits, items, n = [[] for _ in range(rows)], [set() for _ in range(rows)], [0] * rows
+            for block, key in shared:
+                owners, search = _tables(block, key, window)
+                at = 0
+                for batch in part:
+                    for text in batch.column("text").to_pylist():
+                        words = words_of(text)
+                        n[at] = len(words)
+                        for place, s in search.find(words):
+                            hits[at].append((place, place + len(s)))
+                            items[at].update(owners[s])
+                        if hits[at]:
+                            hits[at] = _covered(hits[at])
+                        at += 1
+            ids = pa.concat_arrays([b.column("id") for b in part])
+            spans = pa.array([[{"s": s, "e": e} for s, e in row] for row in hits], SPANS)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), spans, pa.array([sorted(i) for i in items], pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
 
     return run
 
 
-def _key(part: list[tuple[str, list[bytes]]]) -> str:
-    return hashlib.blake2b(repr(part).encode(), digest_size=16).hexdigest()
+def _shared(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[tuple]:
+    """The benchmark's blocks as broadcasts with their keys, read one row at a time; an empty benchmark is one empty block."""
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    out = []
+    for part in _blocks(items, block_bytes):
+        packed = zlib.compress(pickle.dumps(part), 1)
+        out.append((benchmark.sparkSession.sparkContext.broadcast(packed), hashlib.blake2b(packed, digest_size=16).hexdigest()))
+    return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark in parts of bounded size, read one row at a time."""
-    part, size = [], 0
-    for item, text in benchmark.toLocalIterator():
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The benchmark in parts of bounded size."""
+    part, size, none = [], 0, True
+    for item, text in items.toLocalIterator():
         words = words_of(text)
         if not words:
             continue
@@ -137,8 +166,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         size += sum(map(len, words))
         if size >= block_bytes:
             yield part
-            part, size = [], 0
-    yield part
+            part, size, none = [], 0, False
+    if part or none:
+        yield part
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -147,39 +177,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spans are disjoint word positions, end exclusive; items are item ids as strings, sorted. A null or
     wordless text has no spans; items without words or id are left out; an empty benchmark hits nothing.
     Items that repeat an id count as one. Other columns of docs are not read. Documents that repeat an id
-    are rows of their own, however large the benchmark; a pass a block, nothing is shuffled.
+    are rows of their own, however large the benchmark; nothing is shuffled.
     """
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, text string, n_words long, spans array<struct<s:bigint,e:bigint>>, items array<string>"
-    sc = docs.sparkSession.sparkContext
-    found = rows.withColumns({"spans": F.array().cast("array<struct<s:bigint,e:bigint>>"), "items": F.array().cast("array<string>")})
-    for part in _blocks(items, block_bytes):
-        found = found.mapInArrow(_searcher(sc.broadcast(part), _key(part), window), schema)
-    found = found.select("id", "n_words", "spans", "items")
+    schema = f"id {kind}, n_words long, spans array<struct<s:bigint,e:bigint>>, items array<string>"
+    found = rows.mapInArrow(_searcher(_shared(benchmark, item_col, item_text_col, block_bytes), window), schema)
     return found.withColumnRenamed("id", id_col)
 
 
-def _cleaner(shared, key: str, window: int, text_col: str):
+def _cleaner(shared: list[tuple], window: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, search = _tables(shared, key, window)
-        for batch in slices(batches):
-            clean = [next(search.find(words_of(t)), None) is None for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        for part in _held(batches, text_col, len(shared)):
+            for block, key in shared:
+                _, search = _tables(block, key, window)
+                for i, batch in enumerate(part):
+                    clean = [next(search.find(words_of(t)), None) is None for t in batch.column(text_col).to_pylist()]
+                    part[i] = batch.filter(pa.array(clean, pa.bool_()))
+            yield from part
 
     return run
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, in which no window of the benchmark occurs; a pass a block, nothing is shuffled.
+    """The rows of docs, all columns, in which no window of the benchmark occurs; one pass, nothing is shuffled.
 
     Null and wordless texts stay; rows that repeat are judged alike; an empty benchmark drops nothing. Ids are not read.
     """
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    for part in _blocks(items, block_bytes):
-        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(part), _key(part), window, text_col), docs.schema)
-    return docs
+    return docs.mapInArrow(_cleaner(_shared(benchmark, item_col, item_text_col, block_bytes), window, text_col), docs.schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -287,6 +287,19 @@ def test_benchmark_in_blocks(docs, bench):
     assert one == many and one[1]["n_items"] >= 1
 
 
+def test_a_benchmark_of_many_blocks_takes_one_worker(docs, bench, monkeypatch):
+    """One Python node in the plan and the same rows, with texts held in small parts or together."""
+    for held in (1, 1 << 30):
+        monkeypatch.setattr(decontaminate, "HELD_BYTES", held)
+        found = decontaminate.contamination(docs, bench, block_bytes=1)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        want = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
+        assert sorted(map(str, found.collect())) == want
+        clean = [sorted(str(r) for r in decontaminate.without_contamination(docs, bench, block_bytes=b).collect()) for b in (1, 1 << 20)]
+        assert clean[0] == clean[1] and len(clean[0]) < docs.count()
+    assert decontaminate.without_contamination(docs, bench.limit(0)).count() == docs.count()
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(
         [(1, "http://a/ b\r\nX: y", "<p>é</p>", 1), (2, None, "<p>é</p>", 2), (3, "http://c", None, 3), (4, "http://d", "", 4), (2, None, "<p>é</p>", 2), (None, "u", "<p>é</p>", 5)],

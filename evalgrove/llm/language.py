@@ -15,7 +15,7 @@ in every language. A row that continues a text begins where the row before it en
 the root, and again from the true state wherever that differs, until no row's beginning changes. Parses meet after
 a phrase or two, so the second round mostly is the last; the phrases are those of the whole text, of any length.
 
-The sample is bounded: of each language the DOCS documents of least id hash, CHARS characters in all.
+The sample is bounded by two parameters: of each language docs_per_language documents of least id hash, chars characters in all.
 They are shared out evenly, what short documents leave going to longer ones; of a document with more than its
 share, pieces of about PIECE characters are taken, evenly spaced from its beginning to its end.
 
@@ -260,7 +260,7 @@ def in_language(model: Model, limit: dict[str, list[float]], texts: list[str | N
     return out
 
 
-def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS) -> dict[str, list[str]]:
+def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS, chars: int = CHARS) -> dict[str, list[str]]:
     """The texts of each language that its automaton is built from: labelled, not held out, with text; by id hash, ties by id and text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")) & (F.length("text") > 0))
@@ -270,7 +270,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # in order of size each document may take an equal part of what those before it leave
     rising = Window.partitionBy("lang").orderBy("size", "n")
     everything = Window.partitionBy("lang")
-    left = F.lit(CHARS) - F.coalesce(F.sum("size").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.lit(chars) - F.coalesce(F.sum("size").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     level = F.floor(left / (F.count("*").over(everything) - F.row_number().over(rising) + 1))
     # the first document that is larger than its part sets the share of all after it
     sample = sample.withColumn("level", level)
@@ -309,7 +309,7 @@ def _identifier(shared, key: str):
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS, chars: int = CHARS) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row.
 
     A null text or one without a letter is "und" with score 0, and so is everything when nothing is
@@ -318,12 +318,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    run = _identifier(*_shared_sample(docs, id_col, text_col, lang_col, docs_per_language))
+    run = _identifier(*_shared_sample(docs, id_col, text_col, lang_col, docs_per_language, chars))
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def _shared_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int):
-    sample = training_sample(docs, id_col, text_col, lang_col, docs_per_language)
+def _shared_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int, chars: int):
+    sample = training_sample(docs, id_col, text_col, lang_col, docs_per_language, chars)
     key = xxhash.xxh3_128_hexdigest(repr(sorted(sample.items())).encode("utf-8", "surrogatepass"))
     return docs.sparkSession.sparkContext.broadcast(sample), key
 
@@ -337,12 +337,12 @@ def _keeper(shared, key: str, limit: dict[str, list[float]], text_col: str):
     return run
 
 
-def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS) -> DataFrame:
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS, chars: int = CHARS) -> DataFrame:
     """The rows of docs, all columns, whose text is in a learned language; one pass, nothing is shuffled.
 
     Junk and texts in languages that are not learned cost more than the limits() of the language nearest to
     them and go, as do texts that identify() gives no language. Below about 16 characters junk can't be
     told from clean text, and most of it stays.
     """
-    shared, key = _shared_sample(docs, id_col, text_col, lang_col, docs_per_language)
+    shared, key = _shared_sample(docs, id_col, text_col, lang_col, docs_per_language, chars)
     return docs.mapInArrow(_keeper(shared, key, limits(shared.value), text_col), docs.schema)

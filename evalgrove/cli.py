@@ -6,6 +6,9 @@ Models are clients, functions of (prompts, n) or (prompts, n, settings) that ret
 module:function and called on the executors; --replies replays a JSON-line file of (prompt, completion, reply) instead.
 Replies are committed by --chunk prompts to a log beside the output until the output is written: a run that broke off and is
 started again with --resume asks for the rest only.
+
+EVALGROVE_DATA is a folder for relative paths of what is read, EVALGROVE_VECTORS the default of --vectors, EVALGROVE_SCORED of
+what audit reads.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import argparse
 import importlib
 import inspect
 import json
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,9 +69,20 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
     _write_results(spark.read.schema(scored.schema).json(a.out), a)
 
 
+def _judge_of(spark: SparkSession, path: str) -> dict:
+    """Model and mode of the judge by the metadata of the run that a file belongs to."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    run = re.sub(r"_(samples|judged|scored)$", "", name.removesuffix(".jsonl"))
+    for found in files.paths_like(spark, f"{folder or '.'}/{run}*_metadata.json"):
+        told = json.loads(files.read_text(spark, found))
+        if told.get("judge_model"):
+            return {"judge_model": told["judge_model"], "judge_mode": told.get("judge_mode", "unknown")}
+    return {}
+
+
 def _write_results(scored: DataFrame, a: argparse.Namespace) -> None:
     (text,) = files.metrics_json(pipelines.run_results(scored, a.run, a.strict)).select("results").head()
-    files.write_text(scored.sparkSession, a.results, text + "\n")
+    files.write_text(scored.sparkSession, a.results, json.dumps(json.loads(text) | _judge_of(scored.sparkSession, a.input)) + "\n")
 
 
 def aggregate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -328,6 +343,20 @@ def questions(spark: SparkSession, a: argparse.Namespace) -> None:
     Q.outcome_stats(rows).show()
 
 
+#: Arguments that name what is read.
+READ = ("input", "chains", "index", "examples", "aliases", "samples", "paths", "descriptions", "replies")
+
+
+def _rooted(a: argparse.Namespace) -> argparse.Namespace:
+    """The arguments with relative paths of what is read below EVALGROVE_DATA, if it is set."""
+    root = os.environ.get("EVALGROVE_DATA", "").rstrip("/")
+    below = lambda x: f"{root}/{x}" if isinstance(x, str) and x and not re.match(r"/|\w+:", x) else x
+    for name in READ if root else ():
+        value = getattr(a, name, None)
+        setattr(a, name, [below(x) for x in value] if isinstance(value, list) else below(value))
+    return a
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="evalgrove")
     commands = parser.add_subparsers(required=True)
@@ -335,7 +364,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     def command(run, *paths: str) -> argparse.ArgumentParser:
         sub = commands.add_parser(run.__name__)
         sub.set_defaults(run_command=run)
-        sub.add_argument("input", **({"nargs": "+"} if run is audit else {}))
+        sub.add_argument("input", **({"nargs": "*", "default": os.environ.get("EVALGROVE_SCORED", "").split()} if run is audit else {}))
         for p in paths:
             sub.add_argument(f"--{p}", required=True)
         sub.add_argument("--run", default="run")
@@ -387,7 +416,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     sub.add_argument("--measure", default="exact_match")
     sub.add_argument("--encoder", help="module:function that gives texts their vectors, for the cascade's candidates; bigrams without")
     sub.add_argument("--model", help="the name that vectors are kept under")
-    sub.add_argument("--vectors")
+    sub.add_argument("--vectors", default=os.environ.get("EVALGROVE_VECTORS"))
     sub.add_argument("--top-k", type=int, default=3)
     sub.add_argument("--min-score", type=float, default=0.35)
     sub.add_argument("--stem", action="store_true", help="compare stems of words in direct matching")
@@ -414,7 +443,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     sub.add_argument("--seed", default="42")
     command(images, "root", "out").add_argument("--allow-missing", action="store_true")
     command(describe, "endpoint", "cache", "out").add_argument("--examples")
-    a = parser.parse_args(argv)
+    a = _rooted(parser.parse_args(argv))
     a.run_command(spark or SparkSession.builder.appName("evalgrove").getOrCreate(), a)
 
 

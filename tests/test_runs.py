@@ -128,7 +128,9 @@ def test_a_run_from_end_to_end(spark, tmp_path, monkeypatch, capsys):
     assert json.loads((run / "m_judged_metadata.json").read_text())["num_examples"] == 7
     cli.main(["score", at("m_judged.jsonl"), "--chains", str(tmp_path / "c.jsonl"), "--out", at("m_scored.jsonl"), "--results", at("m_results.json"), "--run", "r"], spark)
     one = json.loads((run / "m_results.json").read_text())
-    cli.main(["aggregate", at("m_scored.jsonl"), "--results", at("again_results.json"), "--run", "r"], spark)
+    assert (one["judge_model"], one["judge_mode"]) == ("Lab/J-3B", "free-form")
+    monkeypatch.setenv("EVALGROVE_DATA", str(run))
+    cli.main(["aggregate", "m_scored.jsonl", "--results", at("again_results.json"), "--run", "r"], spark)
     assert json.loads((run / "again_results.json").read_text()) == one
     cli.main(["catalog", str(tmp_path / "logs"), "--out", str(tmp_path / "runs")], spark)
     (row,) = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "runs")).collect()

@@ -5,10 +5,12 @@ the longest phrases that occur in the sample; the fewer phrases it needs, the mo
 explains. Phrase counts are normalised to bits, each phrase costing the logarithm of the sample's size
 per character of the text, and the language of least cost wins.
 
-The automata become one transition table. The commonest characters have columns in it; the transitions on
-all others are a sorted array by state and character, so no script is left out. Where a state has no transition
-on a character the phrase ends and the next begins with that character, so the table goes on from the root and
-the step counts one phrase; a character that the sample lacks is a phrase of its own.
+Each automaton is a sorted array of its transitions by state and character, about a megabyte. For the parse the
+commonest characters get columns in a table; the others are looked up in the array, so no script is left out. Where a
+state has no transition on a character the phrase ends and the next begins with that character, so the table goes on
+from the root and the step counts one phrase; a character that the sample lacks is a phrase of its own. A worker
+holds few tables at a time and makes those of further languages anew for each million characters, so some hundreds
+of languages fit into its memory.
 
 Texts are laid out in rows of CUT characters and all rows of a batch advance together, a character at a time,
 in every language. A row that continues a text begins where the row before it ended: it is first parsed from
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -40,12 +42,14 @@ from .common import slices
 DOCS = 60
 CHARS = 30_000
 PIECE = 250
-#: Characters that get a column of their own in the transition table; those of rarer ones are looked up.
+#: Characters that get a column of their own in a language's table; rarer ones are looked up.
 ALPHABET = 63
 #: Characters of a text parsed in one row; a layout that changes no result.
 CUT = 2048
 #: Characters parsed in one go.
 BATCH = 1_000_000
+#: Tables that a worker holds at a time, of some 11 MB each.
+TABLES = 8
 UNDETERMINED = "und"
 #: Lengths in characters for which limits are measured, and pieces of a language measured at each.
 LENGTHS = tuple(4 << k for k in range(9))
@@ -91,84 +95,102 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class Model:
-    """Tables of all languages: step[base + state * width + symbol] is twice the next row, odd where a phrase begins.
+class Rows:
+    """Rows of symbols side by side, the longest first: grid is (place, row), alive how many rows have a symbol at each place."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        sizes = np.array([len(r) for r in rows])
+        self.order = np.argsort(-sizes, kind="stable")
+        longest = int(sizes[self.order[0]])
+        self.grid = np.zeros((longest, len(rows)), np.int32)
+        for place, i in enumerate(self.order.tolist()):
+            self.grid[: sizes[i], place] = rows[i]
+        self.alive = np.searchsorted(-sizes[self.order], -np.arange(longest), side="left")
+
 
-    Symbols from width on have no column: rare holds (row * symbols + symbol) of their transitions in order, and
-    rare_step what step would. Symbol 0 is a character of no sample.
+class Automaton:
+    """One language's automaton: its transitions as arrays in order, and the table of its commonest characters, made from them.
+
+    Transition k leads from state keys[k] // symbols on symbol keys[k] % symbols to moves[k] >> 1; moves[k] & 1 tells
+    that a phrase begins with it. Symbols are the language's own, by falling count; 0 is a character that its sample lacks.
     """
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.languages = sorted(samples)
-        texts = {lang: np.concatenate([np.append(_codes(t), 0x0A) for t in samples[lang]]) for lang in self.languages}
-        every = np.concatenate([*texts.values(), np.zeros(0, np.uint32)])
-        chars, counts = np.unique(every, return_counts=True)
-        chars = chars[np.lexsort((chars, -counts))]
-        self.symbol = np.zeros(0x110000, np.int32)
-        self.symbol[chars] = np.arange(1, len(chars) + 1)
-        self.symbols = len(chars) + 1
-        self.width = min(len(chars), ALPHABET) + 1
-        tables, self.roots, self.bits, base = [], [], [], 0
-        rare: dict[int, int] = {}
-        for lang in self.languages:
-            codes = self.symbol[texts[lang]].tolist()
-            nxt = suffix_automaton(codes)
-            root = np.full(self.width, base, np.int32)  # an unknown character leads to the root
-            for c, s in nxt[0].items():
-                if c < self.width:
-                    root[c] = base + s
-            table = np.tile(root * 2 + 1, (len(nxt), 1))
-            for s, moves in enumerate(nxt):
-                for c, t in moves.items():
-                    begins = int(s == 0)  # at the root no phrase is open
-                    if c < self.width:
-                        table[s, c] = (base + t) * 2 + begins
-                    else:
-                        rare[(base + s) * self.symbols + c] = (base + t) * 2 + begins
-            tables.append(table)
-            self.roots.append(base)
-            self.bits.append(np.log2(max(2, len(codes))))
-            base += len(nxt)
-        self.step = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.rare = np.array(sorted(rare), np.int64)
-        self.rare_step = np.array([rare[k] for k in self.rare.tolist()], np.int32)
-
-    def _rare(self, rows: np.ndarray, symbols: np.ndarray, root: int) -> np.ndarray:
-        """step of symbols without a column: by their own transition, else by the root's, which begins a phrase, else the root."""
+    def __init__(self, sample: np.ndarray, known: int):
+        """sample: symbols that all languages share; known: how many there are."""
+        found, counts = np.unique(sample, return_counts=True)
+        found = found[np.lexsort((found, -counts))]
+        self.own = np.zeros(known, np.int32)
+        self.own[found] = np.arange(1, len(found) + 1)
+        self.symbols = len(found) + 1
+        self.width = min(len(found), ALPHABET) + 1
+        nxt = suffix_automaton(self.own[sample].tolist())
+        self.states = len(nxt)
+        keys = np.array([s * self.symbols + c for s, to in enumerate(nxt) for c in to], np.int64)
+        moves = np.array([2 * t + (s == 0) for s, to in enumerate(nxt) for t in to.values()], np.int32)
+        order = np.argsort(keys)
+        self.keys, self.moves = keys[order], moves[order]
+
+    def table(self) -> np.ndarray:
+        """Move by state * width + symbol. Without a transition the phrase ends and the next begins, so the root's move stands there."""
+        state, symbol = np.divmod(self.keys, self.symbols)
+        near = symbol < self.width
+        root = np.ones(self.width, np.int32)
+        root[symbol[near & (state == 0)]] = self.moves[near & (state == 0)]
+        out = np.tile(root, (self.states, 1))
+        out[state[near], symbol[near]] = self.moves[near]
+        return out.ravel()
+
+    def rare(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Moves on symbols without a column: by their own transition, else by the root's."""
 
         def find(key):
-            at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
-            return self.rare[at] == key, self.rare_step[at]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return self.keys[at] == key, self.moves[at]
+
+        own, there = find(states.astype(np.int64) * self.symbols + symbols)
+        known, begun = find(symbols.astype(np.int64))
+        return np.where(own, there, np.where(known, begun, 1)).astype(np.int32)
 
-        own, there = find(rows.astype(np.int64) * self.symbols + symbols)
-        known, begun = find(np.int64(root) * self.symbols + symbols)
-        return np.where(own, there, np.where(known, begun, root * 2 + 1)).astype(np.int32)
 
-    def _parse(self, rows: list[np.ndarray], j: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Model:
+    """The automata of all languages, a megabyte each, and the tables of at most TABLES of them; other tables are made when they are needed."""
+
+    def __init__(self, samples: dict[str, list[str]]):
+        self.languages = sorted(samples)
+        texts = [np.concatenate([np.append(_codes(t), 0x0A) for t in samples[lang]]) for lang in self.languages]
+        chars = np.unique(np.concatenate([*texts, np.zeros(0, np.uint32)]))
+        self.symbol = np.zeros(0x110000, np.int32)
+        self.symbol[chars] = np.arange(1, len(chars) + 1)
+        self.automata = [Automaton(self.symbol[t], len(chars) + 1) for t in texts]
+        self.bits = [np.log2(max(2, len(t))) for t in texts]
+        self._tables: dict[int, np.ndarray] = {}
+
+    def _table(self, j: int) -> np.ndarray:
+        if j in self._tables:
+            return self._tables[j]
+        table = self.automata[j].table()
+        if len(self._tables) < TABLES - 1:
+            self._tables[j] = table
+        return table
+
+    def _parse(self, rows: Rows, j: int, table: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that begin in each row in language j, from the states in begin, and the states at the rows' ends."""
-        order = np.argsort([-len(r) for r in rows], kind="stable")
-        lengths = np.array([len(rows[i]) for i in order])
-        longest, n = int(lengths[0]), len(rows)
-        grid = np.zeros((longest, n), np.int32)
-        for place, i in enumerate(order.tolist()):
-            grid[: len(rows[i]), place] = rows[i]
-        alive = np.searchsorted(-lengths, -np.arange(longest), side="left")  # rows with a character at each place
-        rare = np.flatnonzero((grid >= self.width).any(axis=1)).tolist()
-        off = {t: np.flatnonzero(grid[t] >= self.width) for t in rare}
+        automaton = self.automata[j]
+        grid = automaton.own[rows.grid]
+        far = grid >= automaton.width
+        off = {t: np.flatnonzero(far[t]) for t in np.flatnonzero(far.any(axis=1)).tolist()}
         symbols = {t: grid[t, where] for t, where in off.items()}
-        for t, where in off.items():
-            grid[t, where] = 0
-        state = begin[order].astype(np.int32)
-        count = np.zeros(n, np.int64)
-        for t in range(longest):
-            m = alive[t]
-            at = self.step[state[:m] * np.int32(self.width) + grid[t, :m]]
+        grid[far] = 0
+        state = begin[rows.order].astype(np.int32)
+        count = np.zeros(len(state), np.int64)
+        for t, m in enumerate(rows.alive.tolist()):
+            at = table[state[:m] * np.int32(automaton.width) + grid[t, :m]]
             if t in off:
-                at[off[t]] = self._rare(state[off[t]], symbols[t], self.roots[j])
+                at[off[t]] = automaton.rare(state[off[t]], symbols[t])
             count[:m] += at & 1
             np.right_shift(at, 1, out=state[:m])
-        phrases, end = np.empty(n, np.int64), np.empty(n, np.int32)
-        phrases[order], end[order] = count, state
+        phrases, end = np.empty_like(count), np.empty_like(state)
+        phrases[rows.order], end[rows.order] = count, state
         return phrases, end
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -183,15 +205,17 @@ class Model:
             return out
         owner = np.array(owner)
         follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-        for j, root in enumerate(self.roots):
-            begin = np.full(len(rows), root, np.int32)
-            count, end = self._parse(rows, j, begin)
+        laid = Rows(rows)
+        for j in range(len(self.languages)):
+            table = self._table(j)
+            begin = np.zeros(len(rows), np.int32)
+            count, end = self._parse(laid, j, table, begin)
             while True:
                 late = follows[end[follows - 1] != begin[follows]]
                 if not len(late):
                     break
                 begin[late] = end[late - 1]
-                count[late], end[late] = self._parse([rows[i] for i in late.tolist()], j, begin[late])
+                count[late], end[late] = self._parse(Rows([rows[i] for i in late.tolist()]), j, table, begin[late])
             np.add.at(out[:, j], owner, count)
         return out
 
@@ -223,31 +247,40 @@ class Model:
         return names, scores
 
 
-def limits(samples: dict[str, list[str]]) -> dict[str, list[float]]:
-    """Bits a character that a text of each of LENGTHS may cost in each language.
+def _limits_of(texts: list[str]) -> list[float]:
+    """Bits a character that a text of each of LENGTHS may cost in the language of these texts.
 
     The middle between what 99 of 100 labelled pieces cost at most and the median of shuffled ones; where
     the two overlap, as in a few characters, the former, so that short clean texts stay. Languages of
-    fewer than two documents can't be measured and have no limit.
+    fewer than two documents can't be measured and have no limit: infinity.
     """
-    model = Model({lang: texts[::2] for lang, texts in samples.items()})
+    model, other = Model({"": texts[::2]}), "\n".join(texts[1::2])
     rng = np.random.default_rng(0)
-    out = {}
-    for j, lang in enumerate(model.languages):
-        other = "\n".join(samples[lang][1::2])
-        out[lang] = []
-        for size in LENGTHS:
-            if not other:
-                out[lang].append(float("inf"))
-                continue
-            size = min(size, len(other))
-            pieces = [other[at : at + size] for at in np.linspace(0, len(other) - size, PIECES).astype(int).tolist()]
-            mixed = ["".join(p[i] for i in rng.permutation(len(p)).tolist()) for p in pieces]
-            clean, junk = float(np.quantile(model.cost(pieces)[:, j], 0.99)), float(np.median(model.cost(mixed)[:, j]))
-            out[lang].append(max(clean, (clean + junk) / 2))
+    out = []
+    for size in LENGTHS:
+        if not other:
+            out.append(float("inf"))
+            continue
+        size = min(size, len(other))
+        pieces = [other[at : at + size] for at in np.linspace(0, len(other) - size, PIECES).astype(int).tolist()]
+        mixed = ["".join(p[i] for i in rng.permutation(len(p)).tolist()) for p in pieces]
+        clean, junk = float(np.quantile(model.cost(pieces), 0.99)), float(np.median(model.cost(mixed)))
+        out.append(max(clean, (clean + junk) / 2))
     return out
 
 
+def _limiter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_limits_of(texts) for texts in batch.column("texts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(found, pa.list_(pa.float64()))], ["lang", "bits"])
+
+
+def limits(spark: SparkSession, samples: dict[str, list[str]]) -> dict[str, list[float]]:
+    """Bits a character that a text of each of LENGTHS may cost in each language; languages are dealt over the tasks."""
+    rows = spark.createDataFrame(sorted(samples.items()), "lang string, texts array<string>")
+    return {r["lang"]: r["bits"] for r in rows.mapInArrow(_limiter, "lang string, bits array<double>").collect()}
+
+
 def in_language(model: Model, limit: dict[str, list[float]], texts: list[str | None]) -> list[bool]:
     """Whether each text has a letter and costs at most its best language's limit for its length."""
     out = []
@@ -342,7 +375,8 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Junk and texts in languages that are not learned cost more than the limits() of the language nearest to
     them and go, as do texts that identify() gives no language. Below about 16 characters junk can't be
-    told from clean text, and most of it stays.
+    told from clean text, and most of it stays. A language with fewer than two labelled documents has no
+    limit: what is nearest to it stays.
     """
     shared, key = _shared_sample(docs, id_col, text_col, lang_col, docs_per_language, chars)
-    return docs.mapInArrow(_keeper(shared, key, limits(shared.value), text_col), docs.schema)
+    return docs.mapInArrow(_keeper(shared, key, limits(docs.sparkSession, shared.value), text_col), docs.schema)

@@ -3,8 +3,10 @@
 The field labels each line content or boilerplate; Viterbi decoding finds the likeliest sequence, and the
 share of words in content lines decides whether a text stays. Line weights and the rewards for staying in either
 state are trained together, by the gradient of the sequences' likelihood, which the forward-backward sums give.
-Training sequences are the lines of labelled documents one after another, each line taking its document's quality
-label, so labels change within them. The sample is bounded: DOCS documents of least id hash, with all their lines.
+A training sequence is a labelled document's lines, in runs of at most SEQUENCE. A line that several labelled documents
+hold takes the label that most of them have, any other one its document's, so labels change within a document where
+clean lines stand among bad ones. The sample is bounded: DOCS documents of least id hash, and of each at most RUNS runs,
+evenly spaced from its beginning to its end.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ MIN_CONTENT = 0.5
 #: Labelled documents learned from.
 DOCS = 4000
 FEATURES = 10
-#: Training lines laid out side by side in sequences of this length; steps, rate and ridge of the training.
+#: Lines of a training sequence, and sequences of one document; steps, rate and ridge of the training.
 SEQUENCE = 64
+RUNS = 4
 STEPS = 120
 RATE = 0.1
 RIDGE = 1e-4
@@ -180,31 +183,63 @@ def gradient(odds: np.ndarray, good: np.ndarray, real: np.ndarray, stay: tuple[f
     return score, by_line, by_stay
 
 
-def fit(rows: np.ndarray, good: np.ndarray, steps: int = STEPS) -> Field:
-    """The field of greatest likelihood of the lines' labels, less a ridge; both classes' documents count as they come."""
+def line_labels(lines: np.ndarray, of: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Labels of lines, given as hashes, with their documents and these documents' labels.
+
+    A line takes the label of most documents that hold it, each counted once. Where as many say the one as the
+    other, as for a line of one document, it keeps its own document's.
+    """
+    _, line = np.unique(lines, return_inverse=True)
+    once = np.unique(np.stack([line, of], axis=1), axis=0, return_index=True)[1]
+    votes = np.bincount(line[once], np.where(good[once], 1, -1), minlength=len(lines))[line]
+    return np.where(votes == 0, good, votes > 0)
+
+
+def fit(rows: np.ndarray, good: np.ndarray, sizes: np.ndarray, steps: int = STEPS) -> Field:
+    """The field of greatest likelihood of the lines' labels, less a ridge; both classes' lines count as they come.
+
+    sizes: lines of each sequence, one after another. Sequences of like size are laid out side by side.
+    """
     if not len(rows) or good.all() or not good.any():
         return Field()
-    n = -(-len(rows) // SEQUENCE)
-    x = np.zeros((n * SEQUENCE, rows.shape[1]))
-    x[: len(rows)] = rows
-    y = np.zeros(n * SEQUENCE, bool)
-    y[: len(rows)] = good
-    real = (np.arange(n * SEQUENCE) < len(rows)).reshape(n, SEQUENCE)
-    y = y.reshape(n, SEQUENCE)
+    starts, laid = np.cumsum(sizes) - sizes, []
+    size = np.maximum(1, 2 ** np.ceil(np.log2(sizes)).astype(int))
+    for length in np.unique(size).tolist():
+        some = np.flatnonzero(size == length)
+        real = np.arange(length) < sizes[some, None]
+        place = (starts[some, None] + np.arange(length))[real]
+        x, y = np.zeros((*real.shape, rows.shape[1])), np.zeros(real.shape, bool)
+        x[real], y[real] = rows[place], good[place]
+        laid.append((x, y, real))
     at = np.zeros(rows.shape[1] + 2)
     mean, power = np.zeros_like(at), np.zeros_like(at)
     for step in range(1, steps + 1):  # Adam on the mean log likelihood
-        _, by_line, by_stay = gradient((x @ at[:-2]).reshape(n, SEQUENCE), y, real, (at[-2], at[-1]))
-        g = np.append(by_line.reshape(-1) @ x, by_stay) / len(rows) - RIDGE * at
+        g = -RIDGE * at
+        for x, y, real in laid:
+            _, by_line, by_stay = gradient(x @ at[:-2], y, real, (at[-2], at[-1]))
+            g += np.append(np.tensordot(by_line, x, 2), by_stay) / len(rows)
         mean, power = 0.9 * mean + 0.1 * g, 0.999 * power + 0.001 * g**2
         at += RATE * mean / (1 - 0.9**step) / (np.sqrt(power / (1 - 0.999**step)) + 1e-8)
     return Field(at[:-2].copy(), (float(at[-2]), float(at[-1])))
 
 
-def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lines = [lines_of(text or "")[0].ravel() for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("quality"), pa.array(lines, pa.list_(pa.float64()))], ["_id", "quality", "lines"])
+def _sampler(runs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.float64())
+        for batch in batches:
+            ids, labels, hashes, lines = [], [], [], []
+            for key, label, text in zip(*(batch.column(c).to_pylist() for c in ("_id", "quality", "text"))):
+                rows, _ = lines_of(text or "")
+                known = [xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) for line in (text or "").split("\n") if line.strip(SPACES)]
+                known = np.array(known, np.uint64).view(np.int64)
+                number = min(runs, -(-len(rows) // SEQUENCE))
+                for at in np.linspace(0, max(0, len(rows) - SEQUENCE), number).astype(int).tolist():
+                    ids.append(key), labels.append(label)
+                    hashes.append(known[at : at + SEQUENCE])
+                    lines.append(rows[at : at + SEQUENCE].ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(labels, pa.int32()), pa.array(hashes, pa.list_(pa.int64())), pa.array(lines, kind)], ["_id", "quality", "hashes", "lines"])
+
+    return run
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, columns: list[Column], id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -219,13 +254,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, columns: lis
     return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_row", "_nth")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_limit: int = DOCS) -> Field:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_limit: int = DOCS, runs: int = RUNS) -> Field:
+    """A field learned from at most docs_limit labelled documents and runs * SEQUENCE lines of each."""
     sample = labelled_sample(docs, labels, docs_limit, [F.col(text_col).alias("text")], id_col).select(F.col("_id").cast("string").alias("_id"), "quality", "text")
-    found = sample.mapInArrow(_sampler, "_id string, quality int, lines array<double>").orderBy(F.xxhash64("_id"), "_id").toArrow().combine_chunks()
-    lines = found.column("lines").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.float64()))
-    rows = lines.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
-    number = lines.value_lengths().to_numpy(zero_copy_only=False) // FEATURES
-    return fit(rows, np.repeat(found.column("quality").to_numpy() == 1, number))
+    found = sample.mapInArrow(_sampler(runs), "_id string, quality int, hashes array<long>, lines array<double>").toPandas()
+    if not len(found):
+        return Field()
+    found = found.iloc[np.lexsort((found["_id"], [xxhash.xxh3_64_intdigest(i) for i in found["_id"]]))]
+    sizes = found["hashes"].map(len).to_numpy()
+    rows = np.concatenate(found["lines"].to_list()).reshape(-1, FEATURES)
+    _, of = np.unique(found["_id"], return_inverse=True)
+    good = line_labels(np.concatenate(found["hashes"].to_list()), np.repeat(of, sizes), np.repeat(found["quality"].to_numpy() == 1, sizes))
+    return fit(rows, good, sizes)
 
 
 def _judge(field: Field):

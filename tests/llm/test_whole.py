@@ -8,8 +8,9 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
-from evalgrove.llm import decontaminate, language, mixing, secrets, spans
+from evalgrove.llm import decontaminate, language, mixing, rules, secrets, spans
 
 
 def test_language_stage_rejects_planted_junk(spark, small):
@@ -76,6 +77,63 @@ def test_passages_pasted_in_mid_sentence_line_up(spark, leads):
     assert all("".join(spans.pieces(t)) == t for _, t in docs)
 
 
+def test_line_labels_follow_most_documents():
+    lines, of = np.array([7, 8, 7, 9, 7, 7, 9, 8]), np.array([0, 0, 1, 1, 2, 2, 3, 4])
+    good = np.array([True, True, False, False, False, False, True, True])
+    # 7: one good document against two, however often each has it; 9: as many of either; 8: good only
+    assert rules.line_labels(lines, of, good).tolist() == [False, True, False, False, False, False, True, True]
+
+
+def test_rules_split_a_document(spark, medium):
+    """Clean lines above or below spoilt ones, all of held-out documents, get the labels of their own parts."""
+    docs, labels = spark.read.parquet(f"{medium}/documents.parquet"), spark.read.parquet(f"{medium}/labels.parquet")
+    field = rules.train(docs, labels)
+    rows = docs.join(labels, "doc_id").where(language.held_out(docs["doc_id"])).orderBy("doc_id").select("text", "quality").collect()
+    clean = [r["text"] for r in rows if r["quality"] == 1 and r["text"] and r["text"].count("\n") >= 2]
+    spoilt = ["\n".join(x for x in r["text"].split("\n")[1:] if x.strip()) for r in rows if r["quality"] == 0 and r["text"] and "!! " in r["text"]]
+    assert len(clean) >= 10 and spoilt
+    right = total = 0
+    for i, text in enumerate(clean):
+        junk = "\n".join([spoilt[i % len(spoilt)].split("\n")[0]] + ["BUY NOW!! ### $$$ %%% WIN!! ***"] * 2)
+        for parts in ((text, junk), (junk, text)):
+            features, _ = rules.lines_of("\n".join(parts))
+            sizes = [len(rules.lines_of(p)[0]) for p in parts]
+            found = rules.viterbi(features @ field.weights, field.stay)
+            right += int((found == np.repeat([p is text for p in parts], sizes)).sum())
+            total += sum(sizes)
+    assert right >= 0.97 * total
+
+
+def test_rules_learn_from_evenly_spaced_runs(spark):
+    """A document of any length gives at most runs * SEQUENCE lines, from its beginning to its end."""
+    text = "\n".join(f"line number {i} of many." for i in range(10_000))
+    batch = pa.RecordBatch.from_pydict({"_id": ["1", "2"], "quality": pa.array([1, 0], pa.int32()), "text": [text, "# $\n\n% &"]})
+    out = next(iter(rules._sampler(3)(iter([batch])))).to_pydict()
+    assert out["_id"] == ["1", "1", "1", "2"] and list(map(len, out["hashes"])) == [rules.SEQUENCE] * 3 + [2]
+    last = rules.lines_of(text)[0][-rules.SEQUENCE :]
+    assert out["lines"][2] == pytest.approx(last.ravel().tolist())
+
+
+def test_two_hundred_languages_hold_few_tables(monkeypatch):
+    """Automata take a few numbers a character, tables are made for some languages at a time; phrases are the greedy ones in all."""
+    rng = np.random.default_rng(9)
+    syllables = {f"l{k:03d}": ["".join(map(chr, [*rng.integers(97, 123, 2), 0x400 + k])) for _ in range(40)] for k in range(200)}
+    text = lambda lang, n: "".join(s + " " * int(rng.integers(0, 2)) for s in rng.choice(syllables[lang], n))
+    samples = {lang: [text(lang, 150) for _ in range(3)] for lang in syllables}
+    model = language.Model(samples)
+    texts = [text(lang, 20) for lang in model.languages]
+    assert model.predict(texts)[0] == model.languages
+    assert len(model._tables) < language.TABLES
+    for lang, automaton in zip(model.languages, model.automata):
+        assert len(automaton.keys) <= 3 * sum(len(t) + 1 for t in samples[lang])
+    got = model.phrases([model.symbol[language._codes(t)] for t in texts[:3]])
+    for j in range(0, 200, 40):
+        parser = brute.Parser(samples[model.languages[j]])
+        assert got[:, j].tolist() == [parser.phrases(t) for t in texts[:3]]
+    monkeypatch.setattr(language, "TABLES", 1)
+    assert (language.Model(samples).phrases([model.symbol[language._codes(t)] for t in texts[:3]]) == got).all()
+
+
 def test_languages_of_many_characters():
     """Three scripts of 300 characters each, and rare letters: phrases are the greedy ones and texts of a sample go to its language."""
     rng = np.random.default_rng(5)

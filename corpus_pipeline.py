@@ -6,6 +6,8 @@ stage staged on its way, and the table that it read, go once its own is written.
 
 No rows give no rows. Rows that repeat are rows of their own, but for near-duplicates; ties don't arise, for each stage
 decides by text, and by id where it says so. Columns beyond those of documents pass through.
+
+Texts go to Python workers in small batches, for a worker serves one stage after another and keeps what it once took.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgrove.llm import decontaminate, language, mixing, near_dedup, secrets
-from evalgrove.llm.common import Staged, scratch, table
+from evalgrove.llm.common import Staged, scratch, small_batches, table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +24,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and letterless texts go.
     """
+    small_batches(spark)
     return language.with_language(docs)
 
 
@@ -31,11 +34,13 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows without an id go if a row with one is like them, else one text of the group stays; rows equal in id and
     text stay or go together.
     """
+    small_batches(spark)
     return near_dedup.first_of_copies(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of the benchmark occurs. Null and wordless texts stay."""
+    small_batches(spark)
     return decontaminate.without_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 

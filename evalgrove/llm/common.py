@@ -20,6 +20,8 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to a Python worker at a time, about.
+BATCH_BYTES = "4m"
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -113,6 +115,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch where the session names no bound of its own.
+
+    Spark's is 64 MB: both ends of a worker's pipe hold it, with what a growing buffer was before, and workers and
+    executors keep that memory for the steps that follow. A single longer row is still a batch.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of some rows, so that a worker holds few texts, and their results, at a time."""
     for batch in batches:

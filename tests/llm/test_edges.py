@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evalgrove.llm import components, decontaminate, language, mixing, near_dedup, quality, rules, secrets, spans, suffixes, warc
+from evalgrove.llm import common, components, decontaminate, language, mixing, near_dedup, quality, rules, secrets, spans, suffixes, warc
 
 #: Names that operators use inside.
 CLASHES = ("id", "size", "row", "part", "key", "digest", "spans", "kept", "u", "v", "h", "of", "n", "value", "found", "copies", "rep", "_id", "at", "end")
@@ -398,3 +399,22 @@ def test_pipeline_against_brute_force(spark, small):
     assert not any(brute.base_spans(r["text"]) for r in got)
     _, target = brute.target_words([{"source": d["source"], "text": d["text"]} for d in kept])
     assert sum(len(brute.WORD.findall(r["text"])) for r in got) == pytest.approx(sum(target.values()), rel=0.25)
+
+
+def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        common.small_batches(spark)
+        rows = spark.range(0, 20_000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+        largest = lambda: rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").agg(F.max("n"), F.count("*")).first()
+        size, count = largest()
+        assert size < 5 << 20 and count > 4
+        long = spark.range(1).select(F.repeat(F.lit("y"), 6 << 20).alias("text"), F.lit("en").alias("lang"), F.col("id").alias("doc_id"))
+        assert long.mapInArrow(lambda batches: batches, long.schema).count() == 1
+        spark.conf.set(key, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

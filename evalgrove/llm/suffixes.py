@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, release
+from .common import Staged, byte_slices, release, small_batches
 
 SIZE = 50
 GRAM = 16
@@ -44,9 +45,12 @@ PART = 4096
 FETCHED = 1 << 20
 TEXT = 1 << 15
 #: Bytes of text whose runs' numbers make up a part, about: a part is held in memory at a time, at about three bytes a byte.
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 #: Runs a batch of documents holds before it is sent.
-HELD = 1_000_000
+HELD = 400_000
+#: Bytes of text that a worker turns into Python objects at a time, and rows that it sends at a time.
+TEXTS = 1 << 20
+SENT = 50_000
 
 
 #: A suffix whose previous smaller group is not known yet.
@@ -243,7 +247,7 @@ def _scanner(parts: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         count = 0
-        for batch in batches:
+        for batch in byte_slices(batches, "text", TEXTS):
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 data = _bytes(text)
                 h, starts, n = runs(data, size)
@@ -263,13 +267,18 @@ def _scanner(parts: int, size: int):
     return run
 
 
-def _rows(kind: int, rows: np.ndarray, of) -> pa.RecordBatch:
-    columns = [np.full(len(rows), kind, np.int32), rows["h"], rows["g"], rows["id"], rows["start"], rows["n"].astype(np.int32), np.broadcast_to(np.asarray(of, np.int32), len(rows))]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["kind", "h", "g", "id", "start", "n", "of"])
+def _rows(kind: int, rows: np.ndarray, of) -> Iterator[pa.RecordBatch]:
+    of = np.broadcast_to(np.asarray(of, np.int32), len(rows))
+    for at in range(0, len(rows), SENT):
+        some = rows[at : at + SENT]
+        columns = [np.full(len(some), kind, np.int32), some["h"], some["g"], some["id"], some["start"], some["n"].astype(np.int32), of[at : at + SENT]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["kind", "h", "g", "id", "start", "n", "of"])
 
 
-def _decide(rows: np.ndarray, per_part: int) -> Iterator[pa.RecordBatch]:
-    """What becomes of the runs of a part: FULL to remove, ASKED to compare by text, CLASS to tell members."""
+def _decide(held: list[np.ndarray], per_part: int) -> Iterator[pa.RecordBatch]:
+    """What becomes of the runs of a part: FULL to remove, ASKED to compare by text, CLASS to tell members. Empties held."""
+    rows = np.concatenate(held)
+    held.clear()
     rows = rows[np.lexsort((rows["start"], rows["id"], rows["g"], rows["h"]))]
     heads = _cuts(rows["h"])
     lengths = np.diff(np.append(heads, len(rows)))
@@ -288,11 +297,11 @@ def _decide(rows: np.ndarray, per_part: int) -> Iterator[pa.RecordBatch]:
     plain = ~rows["many"]
     whole = rows[plain & (rows["id"] > first_of)]
     whole["h"] = whole["g"] = 0  # not needed any more
-    yield _rows(FULL, whole, 0)
+    yield from _rows(FULL, whole, 0)
     ask = plain & (rows["id"] == first_of) & (of_of > 0)
-    yield _rows(ASKED, rows[ask], of_of[ask])
+    yield from _rows(ASKED, rows[ask], of_of[ask])
     told = np.maximum.reduceat(rows["many"], classes)
-    yield _rows(CLASS, rows[classes][told], of[told])
+    yield from _rows(CLASS, rows[classes][told], of[told])
 
 
 def _decider(per_part: int):
@@ -301,15 +310,14 @@ def _decider(per_part: int):
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist()):
                 if part < 0:
-                    yield _rows(MEMBER, _unpack(data), 0)
+                    yield from _rows(MEMBER, _unpack(data), 0)
                     continue
                 if part != at and held:
-                    yield from _decide(np.concatenate(held), per_part)
-                    held = []
+                    yield from _decide(held, per_part)
                 at = part
                 held.append(_unpack(data))
         if held:
-            yield from _decide(np.concatenate(held), per_part)
+            yield from _decide(held, per_part)
 
     return run
 
@@ -317,16 +325,29 @@ def _decider(per_part: int):
 # 2. texts of the runs to compare
 
 
+def _lists(column: pa.Array) -> tuple[list[int], dict[str, pa.Array]]:
+    """Number of structs in each list of a column, and the structs' fields, one list after another."""
+    flat = column.flatten()
+    names = [f.name for f in flat.type]
+    return pc.fill_null(pc.list_value_length(column), 0).to_pylist(), dict(zip(names, flat.flatten()))
+
+
 def _fetcher(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, text, asked in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "asked"))):
+        for batch in byte_slices(batches, "text", TEXTS):
+            counts, asked = _lists(batch.column("asked"))
+            owner = pa.array(np.repeat(batch.column("id").to_numpy(), counts))
+            starts = asked["start"].to_numpy()
+            stops = (starts + asked["n"].to_numpy() + (size - 1)).tolist()
+            starts, out, at = starts.tolist(), [], 0
+            for text, n in zip(batch.column("text").to_pylist(), counts):
                 data = _bytes(text)
-                out += [(x["h"], x["part"], x["of"], i, x["start"], data[x["start"] : x["start"] + x["n"] + size - 1]) for x in asked]
-            columns = list(zip(*out)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["h", "part", "of", "id", "start", "s"])
+                out += [data[a:b] for a, b in zip(starts[at : at + n], stops[at : at + n])]
+                at += n
+            columns = [asked["h"], asked["part"], asked["of"], owner, asked["start"], pa.array(out, pa.binary())]
+            whole = pa.RecordBatch.from_arrays(columns, ["h", "part", "of", "id", "start", "s"])
+            for at in range(0, whole.num_rows, SENT):
+                yield whole.slice(at, SENT)
 
     return run
 
@@ -334,6 +355,19 @@ def _fetcher(size: int):
 # 3. equal strings by suffix array
 
 
+def _equal(data: bytes, order: np.ndarray, size: int) -> np.ndarray:
+    """Whether the strings of size bytes at neighbouring places of order are equal, compared in words of 8 bytes, 4, 2 or 1."""
+    words, step = np.frombuffer(data, np.uint8).astype(np.uint64), 1
+    while step < 8 and 2 * step <= size:
+        words = words[:-step] | (words[step:] << np.uint64(8 * step))
+        step *= 2
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in [*range(0, size - step + 1, step), size - step]:  # the last one may overlap
+        at = words[order + k]
+        same &= at[1:] == at[:-1]
+    return same
+
+
 def _least_of(strings: list[bytes], firsts: list[int], size: int) -> list[np.ndarray]:
     """For each of the runs the least first id of the runs that have each of its strings."""
     text: list[int] = []
@@ -348,11 +382,7 @@ def _least_of(strings: list[bytes], firsts: list[int], size: int) -> list[np.nda
         owner[b : b + len(s) - size + 1] = k
     order = np.array(suffix_array(text), np.int64)
     order = order[owner[order] >= 0]  # the starts of whole strings, equal ones side by side
-    symbols = np.array(text, np.int16)
-    a, b = order[:-1], order[1:]
-    same = np.ones(len(a), bool)
-    for k in range(size):
-        same &= symbols[a + k] == symbols[b + k]
+    same = _equal(b"\0".join(strings) + bytes(2), order, size)
     classes = np.cumsum(np.append(0, ~same))
     first = np.array(firsts, np.int64)[owner[order]]
     least = np.full(classes[-1] + 1, np.iinfo(np.int64).max)
@@ -486,32 +516,39 @@ def _part_sorter(size: int):
 # 4. what to remove
 
 
+def _merged(s: np.ndarray, e: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that the spans cover."""
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum.accumulate(e[order])
+    first = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
+    return s[first].tolist(), e[np.append(first[1:] - 1, len(e) - 1)].tolist()
+
+
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in byte_slices(batches, "text", TEXTS):
         n, gone, count, digest = [], [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+        counts, spans = _lists(batch.column("spans"))
+        begins, ends, upto = spans["s"].to_numpy(), spans["e"].to_numpy(), 0
+        for text, m in zip(batch.column("text").to_pylist(), counts):
             data = _bytes(text)
-            merged: list[list[int]] = []
-            for x in sorted((x["s"], x["e"]) for x in spans or ()):
-                if merged and x[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], x[1])
-                else:
-                    merged.append(list(x))
-            kept, at = [], 0
-            for s, e in merged:
-                kept.append(data[at:s])
+            left, right = _merged(begins[upto : upto + m], ends[upto : upto + m]) if m else ([], [])
+            upto += m
+            whole, at = hashlib.sha256(), 0
+            for s, e in zip(left, right):
+                whole.update(data[at:s])
                 at = e
-            kept.append(data[at:])
+            whole.update(data[at:])
             n.append(len(data))
-            gone.append(sum(e - s for s, e in merged))
-            count.append(len(merged))
-            digest.append(hashlib.sha256(b"".join(kept)).hexdigest())
+            gone.append(sum(right) - sum(left))
+            count.append(len(left))
+            digest.append(whole.hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in (n, gone, count)), pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(id, s, e): byte spans, possibly overlapping, of strings of size bytes that start in a document of smaller id."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0

@@ -418,3 +418,29 @@ def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_removal_of_repeats_holds_and_sends_little_at_a_time(monkeypatch):
+    """Parts, texts and what is asked of them pass through a worker in bounded batches, with nothing lost."""
+    n = 200_000
+    rows = np.zeros(n, suffixes.NUMBERS)
+    rows["h"], rows["g"], rows["id"], rows["n"] = np.arange(n) // 2, np.arange(n) // 2, np.arange(n) % 2, 1
+    held = [rows[: n // 2], rows[n // 2 :]]
+    out = list(suffixes._decide(held, suffixes.PART))
+    assert not held and sum(b.num_rows for b in out) == n // 2 and max(b.num_rows for b in out) <= suffixes.SENT
+
+    text = "0123456789" * 2000
+    asked = [[{"h": k, "part": 0, "of": 1, "start": k, "n": 2} for k in range(i % 3)] for i in range(300)]
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("part", pa.int32()), ("of", pa.int32()), ("start", pa.int32()), ("n", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([text] * 300), pa.array(asked, kind)], ["id", "text", "asked"])
+    got = list(suffixes._fetcher(50)(iter([batch])))
+    assert [(r["id"], r["h"], r["s"]) for b in got for r in b.to_pylist()] == [(i, k, text[k : k + 51].encode()) for i in range(300) for k in range(i % 3)]
+    assert len(got) > 300 * len(text) // (2 * suffixes.TEXTS)
+
+
+def test_neighbouring_strings_are_compared_whole():
+    random = np.random.default_rng(5)
+    for size in (1, 2, 3, 7, 8, 9, 50):
+        data = random.integers(97, 99, 400).astype(np.uint8).tobytes() + b"x" * 120
+        order = np.array(sorted(range(len(data) - size - 8), key=lambda i: data[i : i + size]))
+        assert suffixes._equal(data, order, size).tolist() == [data[a : a + size] == data[b : b + size] for a, b in zip(order, order[1:])]

@@ -51,10 +51,16 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages: license lines and other runs of a few words stay, as they do in clean documents."""
-    found = spans.deduplicate(table(spark, sf_dir, "documents"), sentences=None)
-    kept = F.coalesce("kept_text", F.lit(""))
-    return found.select("doc_id", "n_pieces", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+    """Runs of three sentences, however short, and passages; both are cut from the text.
+
+    n_removed counts the pieces in passages of 20 words or more, n_short_removed those that only runs of three short sentences cover.
+    """
+    found = spans.deduplicate(table(spark, sf_dir, "documents"))
+    kept, passages = F.coalesce("kept_text", F.lit("")), F.col("n_removed") - F.col("n_short")
+    return found.select(
+        "doc_id", "n_pieces", passages.alias("n_removed"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"),
+        F.col("n_short").alias("n_short_removed"),
+    )
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

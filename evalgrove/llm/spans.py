@@ -159,27 +159,38 @@ def _spanner(sentences: int | None, least: int, words: int):
     return run
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, gone, kept = [], [], []
-        for text, covered in zip(batch.column("text").to_pylist(), batch.column("covered").to_pylist()):
-            bad: set[int] = set()
-            for x in covered or ():
-                if x["s"] >= 0:
-                    bad.update(range(x["s"], x["e"]))
-            number = {x["e"] for x in covered or () if x["s"] < 0}
-            if not bad and len(number) == 1:
-                n.append(number.pop()), gone.append(0), kept.append(text)
-                continue
-            parts = pieces(text)
-            n.append(len(parts))
-            gone.append(len(bad))
-            kept.append("".join(p for i, p in enumerate(parts) if i not in bad) if text is not None else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_pieces", "n_removed", "kept_text"])
+def _cutter(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, gone, kept, short = [], [], [], []
+            for text, covered in zip(batch.column("text").to_pylist(), batch.column("covered").to_pylist()):
+                number = {x["e"] for x in covered or () if x["s"] < 0}
+                if all(x["s"] < 0 for x in covered or ()) and len(number) == 1:
+                    n.append(number.pop()), gone.append(0), kept.append(text), short.append(0)
+                    continue
+                tokens, ends, _, _ = _cut(text)
+                stops = [0, *ends]
+                blank = int(len(tokens) > 0 and not tokens[0].strip())
+                held = [max(at - blank, 0) for at in stops]  # words before each piece
+                bad: set[int] = set()
+                passages: set[int] = set()  # pieces that runs of enough words cover
+                for x in covered or ():
+                    if x["s"] >= 0:
+                        bad.update(range(x["s"], x["e"]))
+                        if held[min(x["e"], len(ends))] - held[min(x["s"], len(ends))] >= words:
+                            passages.update(range(x["s"], x["e"]))
+                n.append(len(ends))
+                gone.append(len(bad))
+                short.append(len(bad) - len(passages))
+                kept.append("".join("".join(tokens[i:j]) for at, (i, j) in enumerate(zip(stops, ends)) if at not in bad) if text is not None else None)
+            columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(short, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_pieces", "n_removed", "kept_text", "n_short"])
+
+    return run
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int | None = SENTENCES, least: int = PIECES, words: int = WORDS) -> DataFrame:
-    """(id, n_pieces, n_removed, kept_text) of every row; n_removed counts pieces.
+    """(id, n_pieces, n_removed, kept_text, n_short) of every row; n_removed counts pieces, n_short those that only runs of fewer words cover.
 
     Without a number of sentences only runs of at least words words count, so that license lines and the like stay.
     A span that comes again in its own text is not first either. A text of fewer sentences and words than a
@@ -194,4 +205,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = found.withColumn("nth", F.rank().over(order)).where("nth > 1 or again")
     covered = told.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("s", "e")).alias("covered"))
     cut = rows.join(Staged(covered, "covered").df, F.col("id") == F.col("of"), "left").select("id", "text", "covered")
-    return cut.mapInArrow(_cutter, "id long, n_pieces long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    return cut.mapInArrow(_cutter(words), "id long, n_pieces long, n_removed long, kept_text string, n_short long").withColumnRenamed("id", id_col)

@@ -107,6 +107,15 @@ def feedback_block(round_no: Column, failed: Column, max_chars: int = 2000, fina
     )
 
 
+def asked_root(question: Column, variant: str = "barebones") -> Column:
+    """What equal prompts of aggregation_prompt() have in common, whatever their candidates: the question as asked, up to where candidates begin.
+
+    In a prompt the same words follow the question, which ends without a line end, so a question that holds those words is cut at
+    the place where the prompt is. Prompts of questions with different roots are different.
+    """
+    return F.substring_index(strip(question_prompt(question, variant)), "\n\nCandidate answer", 1)
+
+
 def aggregation_prompt(question: Column, candidates: Column, variant: str = "barebones") -> Column:
     asked = F.concat(F.lit("Question:\n\n"), strip(question_prompt(question, variant)), F.lit("\n"))
     one = F.concat(F.lit("Candidate answer (may contain mistakes):\n\n---- Candidate ----\n"), strip(F.get(candidates, F.lit(0))), F.lit("\n\nNow write the improved final answer."))
